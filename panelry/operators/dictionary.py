@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelry import fixed
@@ -70,13 +70,14 @@ def normalize_dictionary(grid: DataFrame) -> DataFrame:
         "row_idx",
         F.transform("cells", lambda c: F.coalesce(strip(c), F.lit(""))).alias("cells"),
     )
+
+    def last_cell(start: str) -> Column:
+        return F.array_max(
+            F.transform("cells", lambda c, i: F.when(F.lower(c).startswith(start), i))
+        )
+
     positions = [
-        F.array_max(
-            F.transform(
-                "cells", lambda c, i, start=start: F.when(F.lower(c).startswith(start), i)
-            )
-        ).alias(f"__{field}")
-        for field, start in fixed.SHEET_LABELS.items()
+        last_cell(start).alias(f"__{field}") for field, start in fixed.SHEET_LABELS.items()
     ]
     headers = (
         cells.select("ano", "sheet", "row_idx", *positions)
@@ -89,7 +90,7 @@ def normalize_dictionary(grid: DataFrame) -> DataFrame:
     )
     rows = cells.join(headers, ["ano", "sheet"]).filter(F.col("row_idx") > F.col("__header"))
 
-    def cell(field: str):
+    def cell(field: str) -> Column:
         raw = F.coalesce(F.get("cells", F.col(f"__{field}")), F.lit(""))
         lines = F.transform(F.split(raw, "\n"), strip)
         return F.array_join(F.filter(lines, lambda line: line != ""), " | ")

@@ -105,7 +105,7 @@ def numbers_where_lossless(df: DataFrame) -> DataFrame:
             F.bool_and(number.isNotNull()).alias("numerico"),
             F.bool_and(plain.try_cast("bigint").isNotNull()).alias("inteiro"),
             # Whole numbers past 2^53 would be rounded by a double.
-            F.bool_and((F.abs(number) <= 2.0**53) | (number % 1 != 0)).alias("exato"),
+            F.bool_and((F.abs(number) < 2.0**53) | (number % 1 != 0)).alias("exato"),
         )
         .collect()
     )
