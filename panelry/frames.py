@@ -39,9 +39,18 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
         raise MissingColumns(f"columns not in the frame: {', '.join(missing)}")
 
 
+def quote(column: str) -> str:
+    """A column name as SQL text, dots included.
+
+    Selections of hundreds of columns are written as text: one call to the JVM
+    each, where column objects would take several per column.
+    """
+    return "`" + column.replace("`", "``") + "`"
+
+
 def name(column: str) -> Column:
     """Column by its exact name, dots included."""
-    return F.col("`" + column.replace("`", "``") + "`")
+    return F.col(quote(column))
 
 
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,5 +62,5 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def unpivot_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row ``(coluna, valor)`` per cell, every value as text."""
-    text = df.select(*[name(c).cast("string").alias(c) for c in columns])
-    return text.unpivot([], [name(c) for c in columns], "coluna", "valor")
+    text = df.selectExpr(*[f"CAST({quote(c)} AS STRING) AS {quote(c)}" for c in columns])
+    return text.unpivot([], [quote(c) for c in columns], "coluna", "valor")

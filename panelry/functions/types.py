@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelry import fixed
+from panelry.frames import quote
 
 # A number as the text editions write it.  A bare cast to double would also
 # take '12D', '10f' or '0x1p3', which are codes, not numbers.
@@ -18,6 +19,15 @@ NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity)\s*$"
 _TWO_63 = float(2**63)
 
 
+_TOKENS = ", ".join(f"'{token}'" for token in fixed.NA_TOKENS)
+_LATTICE = "array(" + ", ".join(f"'{t}'" for t in fixed.LATTICE) + ")"
+
+
+def text_map(table: dict[str, str]) -> Column:
+    """A small map of plain texts as a literal."""
+    return F.expr("map(" + ", ".join(f"'{x}'" for pair in table.items() for x in pair) + ")")
+
+
 def blank_to_null(col: Column) -> Column:
     """Null for the tokens that mean "no value"."""
     return F.when(~col.isin(*fixed.NA_TOKENS), col)
@@ -52,7 +62,7 @@ def value_rank(text: Column, keep_leading_zeros: bool | Column = True) -> Column
     rank = {name: position for position, name in enumerate(fixed.LATTICE, start=1)}
     value = number(text)
     whole = (value % 1 == 0) & fits_bigint(text, value)
-    sized = F.array_position(F.array(*map(F.lit, fixed.LATTICE)), integer_type(value, value))
+    sized = F.array_position(F.expr(_LATTICE), integer_type(value, value))
     keep = F.lit(keep_leading_zeros) if isinstance(keep_leading_zeros, bool) else keep_leading_zeros
     return (
         F.when(text.isNull(), 0)
@@ -66,7 +76,7 @@ def value_rank(text: Column, keep_leading_zeros: bool | Column = True) -> Column
 
 def width(name: Column) -> Column:
     """Position of a type name in the lattice; an unknown name ranks widest."""
-    position = F.array_position(F.array(*map(F.lit, fixed.LATTICE)), name)
+    position = F.array_position(F.expr(_LATTICE), name)
     return F.when(position > 0, position).otherwise(len(fixed.LATTICE) + 1)
 
 
@@ -89,8 +99,7 @@ def promote_names(names: Iterable[str | None]) -> str:
 
 def kind(column: Column) -> Column:
     """What the name prefix says a variable is."""
-    table = F.create_map(*[F.lit(x) for pair in fixed.KIND_BY_PREFIX.items() for x in pair])
-    return F.coalesce(table[F.substring(column, 1, 3)], F.lit(""))
+    return F.coalesce(text_map(fixed.KIND_BY_PREFIX)[F.substring(column, 1, 3)], F.lit(""))
 
 
 def kind_of(column: str) -> str:
@@ -99,10 +108,9 @@ def kind_of(column: str) -> str:
 
 def prefix_type(column: Column) -> Column:
     """The type the name prefix declares, ``""`` when it declares none."""
-    table = F.create_map(*[F.lit(x) for pair in fixed.TYPE_BY_PREFIX.items() for x in pair])
-    return (
-        F.when(column.isin(*fixed.TEXT_CODES), "string")
-        .otherwise(F.coalesce(table[F.substring(column, 1, 3)], F.lit("")))
+    declared = text_map(fixed.TYPE_BY_PREFIX)[F.substring(column, 1, 3)]
+    return F.when(column.isin(*fixed.TEXT_CODES), "string").otherwise(
+        F.coalesce(declared, F.lit(""))
     )
 
 
@@ -128,24 +136,41 @@ def lattice_type(data_type: T.DataType) -> str:
     return names.get(type(data_type), "string")
 
 
-def exact_cast(col: Column, source: T.DataType, target: str) -> Column:
-    """Cast to a lattice type; a value that does not fit stops the job.
+def blank_to_null_text(sql: str) -> str:
+    """:func:`blank_to_null` as SQL text, for selections of many columns."""
+    return f"CASE WHEN {sql} NOT IN ({_TOKENS}) THEN {sql} END"
 
-    A plain cast would null it (ANSI off) or cut ``1.5`` to ``1``.
+
+def cast_columns(df: DataFrame, plan: Mapping[str, str]) -> DataFrame:
+    """Cast the planned columns to lattice types; the others stay as they are.
+
+    A text value that does not fit its type stops the job.  A plain cast would
+    null it (ANSI off) or cut ``1.5`` to ``1``.
     """
-    spark_type = fixed.SPARK_TYPE[target]
-    if target == "string":
-        return col.cast("string")
-    if not isinstance(source, T.StringType):
-        return col.cast(spark_type)
-    text = blank_to_null(col)
-    value = number(text)
-    if target == "Float64":
-        converted = value
-    else:
-        whole = F.when(value % 1 == 0, value.try_cast("bigint"))
-        converted = F.coalesce(text.try_cast("bigint"), whole).try_cast(spark_type)
-    refused = F.raise_error(F.concat(F.lit(f"value does not fit {target}: "), text))
-    return F.when(text.isNull() | converted.isNotNull(), converted).otherwise(
-        refused.cast(spark_type)
-    )
+    cleaned, converted, checked = [], [], []
+    for i, field in enumerate(df.schema):
+        column, target = quote(field.name), plan.get(field.name)
+        text = isinstance(field.dataType, T.StringType)
+        if target is None or not text or target == "string":
+            kind = None if target is None else fixed.SPARK_TYPE[target]
+            cast = column if kind is None else f"CAST({column} AS {kind})"
+            cleaned.append(f"{cast} AS {column}")
+            converted.append(column)
+            checked.append(column)
+            continue
+        kind = fixed.SPARK_TYPE[target]
+        cleaned.append(f"{blank_to_null_text(column)} AS {column}")
+        number = f"CASE WHEN {column} RLIKE r'{NUMBER}' THEN try_cast({column} AS DOUBLE) END"
+        if target != "Float64":
+            whole = f"{number} % 1 = 0"
+            number = (
+                f"try_cast(coalesce(try_cast({column} AS BIGINT), "
+                f"CASE WHEN {whole} THEN try_cast({number} AS BIGINT) END) AS {kind})"
+            )
+        converted += [column, f"{number} AS __{i}"]
+        refused = f"raise_error(concat('value does not fit {target}: ', {column}))"
+        checked.append(
+            f"CASE WHEN {column} IS NULL OR __{i} IS NOT NULL THEN __{i} "
+            f"ELSE CAST({refused} AS {kind}) END AS {column}"
+        )
+    return df.selectExpr(*cleaned).selectExpr(*converted).selectExpr(*checked)

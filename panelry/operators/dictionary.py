@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelry import fixed
-from panelry.frames import name
 from panelry.functions import types
 from panelry.functions.text import strip
 from panelry.operators.catalog import edition_catalog, summarize_presence
@@ -216,14 +215,7 @@ def series_schema(dictionary: DataFrame) -> dict[str, str]:
 def cast_to_series(df: DataFrame, dictionary: DataFrame | Mapping[str, str]) -> DataFrame:
     """Apply the cast plan to one edition."""
     plan = series_schema(dictionary) if isinstance(dictionary, DataFrame) else dictionary
-    return df.select(
-        *[
-            types.exact_cast(name(f.name), f.dataType, plan[f.name]).alias(f.name)
-            if f.name in plan
-            else name(f.name)
-            for f in df.schema
-        ]
-    )
+    return types.cast_columns(df, plan)
 
 
 def audit_unstable(dictionary: DataFrame) -> DataFrame:

@@ -1,7 +1,6 @@
 """What every column holds, told by its values and not by its name.
 
-The cells are unpivoted to ``(coluna, valor)`` and counted by value, then by
-column.  Counting every distinct value would shuffle a wide edition almost
+The cells are unpivoted to one row each and counted by value, then by column.  Counting every distinct value would shuffle a wide edition almost
 whole, but the profile reports at most 200 distinct values and 5 examples.  So
 a small sample fixes, per column, a value with at least 201 distinct sample
 values up to it: every larger cell can no longer change the capped count or the
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelry import fixed
 from panelry.errors import MissingColumns
-from panelry.frames import local_frame, name, unpivot_text
+from panelry.frames import local_frame, quote, unpivot_text
 from panelry.functions import types
 
 PROFILE_COLUMNS = (
@@ -31,7 +30,7 @@ PROFILE_COLUMNS = (
 )
 
 _NUMBER = re.compile(types.NUMBER, re.ASCII)
-_SAMPLE_CELLS = 500_000
+_SAMPLE_CELLS = 200_000
 
 
 def profile(
@@ -59,7 +58,7 @@ def profile_editions(
         wanted = [c for c in (columns if columns is not None else df.columns) if c in df.columns]
         if not wanted:
             raise MissingColumns(f"none of the requested columns exists in {year}")
-        selected = df.select(*map(name, wanted))
+        selected = df.select(*map(quote, wanted))
         scanned[int(year)] = selected if limit_rows is None else selected.limit(limit_rows)
 
     spark = next(iter(scanned.values())).sparkSession
@@ -68,58 +67,72 @@ def profile_editions(
         {"ano": "int", "coluna": "string", "posicao": "int"},
         [(y, c, i) for y, df in scanned.items() for i, c in enumerate(df.columns)],
     )
-    bounds = local_frame(
-        spark,
-        {"ano": "int", "coluna": "string", "limite": "string", "textual": "boolean"},
-        # A row limit may pick other rows than the sample did, so nothing folds.
-        _fold_bounds(scanned)
-        if limit_rows is None
-        else [(y, c, None, False) for y, df in scanned.items() for c in df.columns],
-    )
+    # A row limit may pick other rows than the sample would, so nothing folds.
+    bounds = _fold_bounds(scanned) if limit_rows is None else {}
     cells = reduce(
         DataFrame.unionAll,
-        [
-            unpivot_text(df, df.columns).select(F.lit(year).alias("ano"), "coluna", "valor")
-            for year, df in scanned.items()
-        ],
+        [_bounded_cells(df, year, bounds) for year, df in scanned.items()],
     ).withColumn("valor", types.blank_to_null(F.col("valor")))
-    return _describe(catalog, _count_values(cells, bounds))
+    return _describe(catalog, _count_values(cells))
 
 
-def _fold_bounds(editions: Mapping[int, DataFrame]) -> list[tuple]:
-    """Per column: the value above which cells fold, and whether it holds text."""
+def _fold_bounds(
+    editions: Mapping[int, DataFrame],
+) -> dict[tuple[int, str], tuple[str | None, bool]]:
+    """Per column: the value above which cells fold, and whether it surely holds text."""
 
-    def of_edition(item: tuple[int, DataFrame]) -> list[tuple]:
+    def of_edition(item: tuple[int, DataFrame]) -> dict:
         year, df = item
-        rows = min(50_000, max(2_000, _SAMPLE_CELLS // len(df.columns)))
-        sample = df.select(*[name(c).cast("string").alias(c) for c in df.columns])
+        rows = min(20_000, max(2_000, _SAMPLE_CELLS // len(df.columns)))
+        sample = df.selectExpr(*[f"CAST({quote(c)} AS STRING)" for c in df.columns])
         table = sample.limit(rows).toArrow()
-        out = []
-        for column, data in zip(table.column_names, table.columns, strict=True):
+        out = {}
+        for column, data in zip(df.columns, table.columns, strict=True):
             values = set(data.unique().to_pylist()) - {None, *fixed.NA_TOKENS}
             cap = fixed.DISTINCT_CAP
             limit = sorted(values)[cap] if len(values) > cap else None
-            textual = not all(map(_NUMBER.match, values))
-            out.append((year, column, limit, textual))
+            out[year, column] = (limit, not all(map(_NUMBER.match, values)))
         return out
 
     with ThreadPoolExecutor(max_workers=8) as pool:
-        return [row for rows in pool.map(of_edition, editions.items()) for row in rows]
+        found = pool.map(of_edition, editions.items())
+        return {key: bound for bounds in found for key, bound in bounds.items()}
+
+
+def _bounded_cells(df: DataFrame, year: int, bounds: Mapping) -> DataFrame:
+    """One row per cell with its column's position and bound.
+
+    Those are literals of the expanded rows, so no cell pays for a join.
+    """
+    columns, groups = [], []
+    for i, column in enumerate(df.columns):
+        limit, textual = bounds.get((year, column), (None, False))
+        bound = "NULL" if limit is None else f"X'{limit.encode().hex()}'"
+        columns.append(
+            f"CAST({quote(column)} AS STRING) AS v{i}, {i} AS p{i}, "
+            f"CAST({bound} AS STRING) AS l{i}, {str(textual).upper()} AS t{i}"
+        )
+        groups.append(f"(v{i}, p{i}, l{i}, t{i})")
+    return df.sparkSession.sql(
+        "SELECT CAST(:year AS INT) AS ano, valor, posicao, limite, textual "
+        f"FROM (SELECT {', '.join(columns)} FROM {{cells}}) UNPIVOT INCLUDE NULLS "
+        f"((valor, posicao, limite, textual) FOR nome IN ({', '.join(groups)}))",
+        {"year": int(year)},
+        cells=df,
+    )
 
 
-def _count_values(cells: DataFrame, bounds: DataFrame) -> DataFrame:
+def _count_values(cells: DataFrame) -> DataFrame:
     """One row per (column, value) up to the bound, one for the rest of the column."""
-    # One row per column of the headers: the broadcast cannot grow with the data.
-    cells = cells.join(F.broadcast(bounds), ["ano", "coluna"])
     value, limit = F.col("valor"), F.col("limite")
     kept = F.when(limit.isNull() | (value <= limit), value)
     folded = F.when(value > limit, value)
     number = F.when(~F.col("textual"), types.number(F.col("resto")))
     return (
-        cells.select("ano", "coluna", "textual", "valor", kept.alias("chave"),
+        cells.select("ano", "posicao", "textual", "valor", kept.alias("chave"),
                      folded.alias("resto"))
         .withColumn("numero", number)
-        .groupBy("ano", "coluna", "textual", "chave")
+        .groupBy("ano", "posicao", "textual", "chave")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.count("valor").alias("preenchidos"),
@@ -142,7 +155,7 @@ def _measures(text: Column, number: Column) -> list[Column]:
 
 
 def _describe(catalog: DataFrame, counted: DataFrame) -> DataFrame:
-    by_column = ["ano", "coluna"]
+    by_column = ["ano", "posicao"]
     key = F.col("chave")
     number = F.col("numero_chave")
     known = key.isNotNull()
@@ -176,7 +189,7 @@ def _describe(catalog: DataFrame, counted: DataFrame) -> DataFrame:
     # the editions again.
     first = Window.partitionBy(*by_column).orderBy(F.asc_nulls_last("chave"))
     rows = F.sort_array(F.collect_list(F.struct("chave", *[
-        c for c in counted.columns if c not in ("ano", "coluna", "chave")
+        c for c in counted.columns if c not in ("ano", "posicao", "chave")
     ])))
     examples = (
         counted.withColumn("ordem", F.row_number().over(first))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelry.errors import MissingColumns, NoRows
-from panelry.frames import name, require, unpivot_text
+from panelry.frames import name, quote, require, unpivot_text
 from panelry.functions import types
 from panelry.functions.text import fold, fold_literal, strip
 
@@ -76,7 +76,7 @@ def sample_head(
     if order_by is not None:
         order = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
         matching = matching.orderBy(*order)
-    out = matching.limit(n).select(*map(name, kept))
+    out = matching.limit(n).select(*map(quote, kept))
     if check and out.isEmpty():
         raise NoRows(f"no row matches the filters ({df.count()} rows scanned)")
     return out
@@ -117,10 +117,10 @@ def numbers_where_lossless(df: DataFrame) -> DataFrame:
             elif row.exato:
                 target[row.coluna] = "double"
 
-    def converted(column: str) -> Column:
+    def converted(column: str) -> str:
         if column not in target:
-            return name(column)
-        plain = F.replace(name(column), F.lit(","), F.lit("."))
-        return F.trim(plain).try_cast(target[column]).alias(column)
+            return quote(column)
+        plain = f"trim(replace({quote(column)}, ',', '.'))"
+        return f"try_cast({plain} AS {target[column]}) AS {quote(column)}"
 
-    return df.select(*map(converted, df.columns))
+    return df.selectExpr(*map(converted, df.columns))

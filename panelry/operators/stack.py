@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from panelry import fixed
 from panelry.errors import MissingColumns
-from panelry.frames import as_list, name, require
+from panelry.frames import as_list, name, quote, require
 from panelry.functions import types
 
 log = logging.getLogger(__name__)
@@ -41,7 +41,7 @@ def load_edition(
         if strict:
             raise MissingColumns(f"columns not in the edition: {', '.join(dropped)}")
         log.warning("columns not in the edition, left out: %s", ", ".join(dropped))
-    out = df.select(*map(name, kept))
+    out = df.select(*map(quote, kept))
     if active_only and fixed.STATUS in kept:
         out = out.filter(_equals_code(out, fixed.STATUS, fixed.ACTIVE))
     elif active_only and strict:
@@ -100,15 +100,16 @@ def _typed(
     plan: Mapping[str, str],
     kept: Mapping[str, T.DataType],
 ) -> DataFrame:
-    def column(c: str) -> Column:
-        if c not in plan:
-            return (name(c) if c in df.columns else F.lit(None).cast(kept[c])).alias(c)
-        target = plan[c] if plan[c] != fixed.EMPTY else "string"
-        if c not in df.columns:
-            return F.lit(None).cast(fixed.SPARK_TYPE[target]).alias(c)
-        return types.exact_cast(name(c), df.schema[c].dataType, target).alias(c)
+    targets = {c: t if t != fixed.EMPTY else "string" for c, t in plan.items()}
+    cast = types.cast_columns(df, targets)
 
-    return df.select(*map(column, order))
+    def column(c: str) -> str:
+        if c in df.columns:
+            return quote(c)
+        absent = kept[c].simpleString() if c in kept else fixed.SPARK_TYPE[targets[c]]
+        return f"CAST(NULL AS {absent}) AS {quote(c)}"
+
+    return cast.selectExpr(*map(column, order))
 
 
 def load_panel(
@@ -139,7 +140,7 @@ def enrich_edition(
         added = [c for c in table.columns if c not in out.columns]
         if not added:
             continue
-        rows = table.select(*map(name, keys), F.struct(*map(name, added)).alias("__row"))
+        rows = table.select(*map(quote, keys), F.struct(*map(quote, added)).alias("__row"))
         for k in keys:
             rows = rows.filter(name(k).isNotNull())
         repeated = F.raise_error(F.lit(f"repeated key in an entity table: {', '.join(keys)}"))
@@ -152,10 +153,10 @@ def enrich_edition(
                     repeated.cast(rows.schema["__row"].dataType)
                 ),
             )
-            .select(*keys, *[F.col("__row")[c].alias(c) for c in added])
+            .select(*keys, "__row.*")
         )
         out = out.join(unique, keys, "left")
-    return out.select(*map(name, dict.fromkeys([*base.columns, *out.columns])))
+    return out.select(*map(quote, dict.fromkeys([*base.columns, *out.columns])))
 
 
 def upsert_by_key(
@@ -171,7 +172,7 @@ def upsert_by_key(
     """
     keys = as_list(keys)
     if newest is not None:
-        chosen = F.max_by(F.struct(*map(name, updates.columns)), name(newest)).alias("__row")
+        chosen = F.max_by(F.struct(*map(quote, updates.columns)), name(newest)).alias("__row")
         updates = updates.groupBy(*keys).agg(chosen).select("__row.*")
     touched = updates.select(*[name(k).alias(f"__{k}") for k in keys]).distinct()
     same = reduce(

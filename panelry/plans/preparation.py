@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from panelry import fixed
-from panelry.frames import name
+from panelry.frames import quote
 from panelry.operators.dictionary import data_dictionary, series_schema
 from panelry.operators.stack import stack_editions
 from panelry.sources.tables import read_dictionary, write_dictionary
@@ -31,7 +31,7 @@ def prepare_panel(
         dictionary = read_dictionary(spark, dictionary_path)
     plan = series_schema(dictionary)
     kept = {
-        year: df.select(*[name(c) for c in df.columns if c in plan or c == fixed.YEAR])
+        year: df.select(*[quote(c) for c in df.columns if c in plan or c == fixed.YEAR])
         for year, df in editions.items()
     }
     return dictionary, stack_editions(kept, plan)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelry import fixed
 from panelry.errors import MissingColumns
-from panelry.frames import name
+from panelry.frames import quote
 from panelry.functions import types
 from panelry.operators.profile import observed_types
 
@@ -66,7 +66,7 @@ def read_edition_text(
     kept = [c for c in (columns if columns is not None else df.columns) if c in df.columns]
     if not kept:
         raise MissingColumns(f"none of the requested columns exists in {path}")
-    return df.select(*[types.blank_to_null(name(c)).alias(c) for c in kept])
+    return df.selectExpr(*[f"{types.blank_to_null_text(quote(c))} AS {quote(c)}" for c in kept])
 
 
 def apply_prefix_types(
@@ -101,12 +101,7 @@ def apply_prefix_types(
     )
     if textual:
         warnings.warn(f"columns kept as text, not all numbers: {', '.join(textual)}", stacklevel=2)
-
-    def typed(c: str) -> Column:
-        target = plan[c] or "string"
-        return types.exact_cast(name(c), text.schema[c].dataType, target).alias(c)
-
-    return text.select(*map(typed, text.columns)), textual
+    return types.cast_columns(text, {c: kind or "string" for c, kind in plan.items()}), textual
 
 
 def edition_path(root: str, year: int) -> str:
@@ -160,7 +155,7 @@ def open_edition(
         kept = [c for c in columns if c in text.columns]
         if not kept:
             raise MissingColumns(f"none of the requested columns exists in {year}")
-        text = text.select(*map(name, kept))
+        text = text.select(*map(quote, kept))
     return apply_prefix_types(text)[0]
 
 
