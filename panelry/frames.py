@@ -60,7 +60,11 @@ def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df
 
 
-def unpivot_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row ``(coluna, valor)`` per cell, every value as text."""
-    text = df.selectExpr(*[f"CAST({quote(c)} AS STRING) AS {quote(c)}" for c in columns])
-    return text.unpivot([], [quote(c) for c in columns], "coluna", "valor")
+def explode_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row ``(posicao, valor)`` per cell, every value as text.
+
+    An exploded array keeps the generated code small for hundreds of columns,
+    where an unpivot expands into one projection per column.
+    """
+    cells = ", ".join(f"CAST({quote(c)} AS STRING)" for c in columns)
+    return df.selectExpr(f"posexplode(array({cells})) AS (posicao, valor)")

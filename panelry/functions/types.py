@@ -57,23 +57,6 @@ def integer_type(low: Column, high: Column) -> Column:
     return out
 
 
-def value_rank(text: Column, keep_leading_zeros: bool | Column = True) -> Column:
-    """Position in the lattice of the narrowest type that holds one text value."""
-    rank = {name: position for position, name in enumerate(fixed.LATTICE, start=1)}
-    value = number(text)
-    whole = (value % 1 == 0) & fits_bigint(text, value)
-    sized = F.array_position(F.expr(_LATTICE), integer_type(value, value))
-    keep = F.lit(keep_leading_zeros) if isinstance(keep_leading_zeros, bool) else keep_leading_zeros
-    return (
-        F.when(text.isNull(), 0)
-        .when(value.isNull() | (keep & has_leading_zero(text)), rank["string"])
-        .when(whole, sized)
-        .when((value % 1 == 0) & ~fits_bigint(text, value), rank["string"])
-        .otherwise(rank["Float64"])
-        .cast("int")
-    )
-
-
 def width(name: Column) -> Column:
     """Position of a type name in the lattice; an unknown name ranks widest."""
     position = F.array_position(F.expr(_LATTICE), name)

@@ -1,6 +1,6 @@
 """What every column holds, told by its values and not by its name.
 
-The cells are unpivoted to one row each and counted by value, then by column.  Counting every distinct value would shuffle a wide edition almost
+The cells are exploded to one row each and counted by value, then by column.  Counting every distinct value would shuffle a wide edition almost
 whole, but the profile reports at most 200 distinct values and 5 examples.  So
 a small sample fixes, per column, a value with at least 201 distinct sample
 values up to it: every larger cell can no longer change the capped count or the
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from panelry import fixed
 from panelry.errors import MissingColumns
-from panelry.frames import local_frame, quote, unpivot_text
+from panelry.frames import explode_cells, local_frame, quote
 from panelry.functions import types
 
 PROFILE_COLUMNS = (
@@ -53,6 +53,14 @@ def profile_editions(
     limit_rows: int | None = None,
 ) -> DataFrame:
     """Profile of several editions: the cells of all of them in one aggregation."""
+    return _described(editions, columns, limit_rows).select(*PROFILE_COLUMNS)
+
+
+def _described(
+    editions: Mapping[int, DataFrame],
+    columns: Sequence[str] | None,
+    limit_rows: int | None,
+) -> DataFrame:
     scanned = {}
     for year, df in sorted(editions.items()):
         wanted = [c for c in (columns if columns is not None else df.columns) if c in df.columns]
@@ -72,7 +80,7 @@ def profile_editions(
     cells = reduce(
         DataFrame.unionAll,
         [_bounded_cells(df, year, bounds) for year, df in scanned.items()],
-    ).withColumn("valor", types.blank_to_null(F.col("valor")))
+    )
     return _describe(catalog, _count_values(cells))
 
 
@@ -100,25 +108,23 @@ def _fold_bounds(
 
 
 def _bounded_cells(df: DataFrame, year: int, bounds: Mapping) -> DataFrame:
-    """One row per cell with its column's position and bound.
+    """One row per cell with its column's bound.
 
-    Those are literals of the expanded rows, so no cell pays for a join.
+    The bounds are literal arrays read at the column's position, so no cell
+    pays for a join.
     """
-    columns, groups = [], []
-    for i, column in enumerate(df.columns):
+    limits, flags = [], []
+    for column in df.columns:
         limit, textual = bounds.get((year, column), (None, False))
         bound = "NULL" if limit is None else f"X'{limit.encode().hex()}'"
-        columns.append(
-            f"CAST({quote(column)} AS STRING) AS v{i}, {i} AS p{i}, "
-            f"CAST({bound} AS STRING) AS l{i}, {str(textual).upper()} AS t{i}"
-        )
-        groups.append(f"(v{i}, p{i}, l{i}, t{i})")
-    return df.sparkSession.sql(
-        "SELECT CAST(:year AS INT) AS ano, valor, posicao, limite, textual "
-        f"FROM (SELECT {', '.join(columns)} FROM {{cells}}) UNPIVOT INCLUDE NULLS "
-        f"((valor, posicao, limite, textual) FOR nome IN ({', '.join(groups)}))",
-        {"year": int(year)},
-        cells=df,
+        limits.append(f"CAST({bound} AS STRING)")
+        flags.append(str(textual).upper())
+    return explode_cells(df, df.columns).selectExpr(
+        f"CAST({int(year)} AS INT) AS ano",
+        "posicao",
+        f"{types.blank_to_null_text('valor')} AS valor",
+        f"array({', '.join(limits)})[posicao] AS limite",
+        f"array({', '.join(flags)})[posicao] AS textual",
     )
 
 
@@ -206,9 +212,10 @@ def _report(columns: DataFrame) -> DataFrame:
     filled = F.coalesce("preenchidos", F.lit(0))
     numeric = F.coalesce("numerico", F.lit(True))
     zeros = numeric & F.coalesce("zeros", F.lit(False))
-    observed = (
-        F.when(F.col("preenchidos") == 0, fixed.EMPTY)
-        .when(~numeric | zeros, "string")
+    # The type the values would have if leading zeros meant nothing.
+    plain = (
+        F.when(filled == 0, fixed.EMPTY)
+        .when(~numeric, "string")
         .when(~F.col("inteiro"), "Float64")
         .when(~F.col("cabe"), "string")
         .otherwise(types.integer_type(F.col("minimo"), F.col("maximo")))
@@ -218,7 +225,8 @@ def _report(columns: DataFrame) -> DataFrame:
         "coluna",
         "posicao",
         types.kind(F.col("coluna")).alias("natureza"),
-        F.when(rows == 0, fixed.EMPTY).otherwise(observed).alias("dtype_dados"),
+        plain.alias("dtype_numerico"),
+        F.when(zeros & (filled > 0), "string").otherwise(plain).alias("dtype_dados"),
         types.prefix_type(F.col("coluna")).alias("dtype_prefixo"),
         rows.alias("n_linhas"),
         F.when(rows == 0, 1.0).otherwise((rows - filled) / rows).alias("pct_nulo"),
@@ -236,11 +244,7 @@ def _report(columns: DataFrame) -> DataFrame:
         & (F.col("dtype_dados") != fixed.EMPTY)
         & (types.width(F.col("dtype_dados")) > types.width(F.col("dtype_prefixo")))
     )
-    return (
-        out.withColumn("conflito", conflict)
-        .orderBy("ano", "posicao")
-        .select(*PROFILE_COLUMNS)
-    )
+    return out.withColumn("conflito", conflict).orderBy("ano", "posicao")
 
 
 def types_by_year(profiles: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
@@ -269,21 +273,20 @@ def promoted_types(profiles: DataFrame) -> DataFrame:
 def observed_types(
     df: DataFrame, columns: Sequence[str], keep_leading_zeros: bool = True
 ) -> dict[str, str]:
-    """Narrowest type of each column, in one scan; the plan it returns is one entry per column."""
+    """Narrowest type of each column; the plan it returns is one entry per column.
+
+    Leading zeros make an identifier of a code, not of a count or a flag.
+    """
     if not columns:
         return {}
-    cells = unpivot_text(df, columns).select(
-        "coluna", types.blank_to_null(F.col("valor")).alias("valor")
-    )
-    # Leading zeros make an identifier of a code, not of a count or a flag.
-    code = F.lit(keep_leading_zeros) & F.col("coluna").startswith("CO_")
-    ranks = (
-        cells.groupBy("coluna")
-        .agg(F.max(types.value_rank(F.col("valor"), code)).alias("rank"))
-        .collect()
-    )
-    names = (fixed.EMPTY, *fixed.LATTICE)
-    return {c: fixed.EMPTY for c in columns} | {row.coluna: names[row["rank"]] for row in ranks}
+    described = _described({0: df}, columns, None)
+    rows = described.select("coluna", "dtype_dados", "dtype_numerico").collect()
+    return {
+        row.coluna: row.dtype_dados
+        if keep_leading_zeros and row.coluna.startswith("CO_")
+        else row.dtype_numerico
+        for row in rows
+    }
 
 
 def audit_conflicts(profiles: DataFrame) -> DataFrame:

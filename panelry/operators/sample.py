@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelry.errors import MissingColumns, NoRows
-from panelry.frames import name, quote, require, unpivot_text
+from panelry.frames import explode_cells, name, quote, require
 from panelry.functions import types
 from panelry.functions.text import fold, fold_literal, strip
 
@@ -95,9 +95,9 @@ def numbers_where_lossless(df: DataFrame) -> DataFrame:
     plain = F.replace(value, F.lit(","), F.lit("."))
     number = types.number(plain)
     tests = (
-        unpivot_text(df, text_columns)
+        explode_cells(df, text_columns)
         .filter(value.isNotNull())
-        .groupBy("coluna")
+        .groupBy("posicao")
         .agg(
             (
                 F.bool_or(F.length(value) > 1) & F.bool_or(value.rlike("^0[^.,]"))
@@ -113,9 +113,9 @@ def numbers_where_lossless(df: DataFrame) -> DataFrame:
     for row in tests:
         if row.numerico and not row.zeros:
             if row.inteiro:
-                target[row.coluna] = "bigint"
+                target[text_columns[row.posicao]] = "bigint"
             elif row.exato:
-                target[row.coluna] = "double"
+                target[text_columns[row.posicao]] = "double"
 
     def converted(column: str) -> str:
         if column not in target:
