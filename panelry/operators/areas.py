@@ -120,10 +120,30 @@ def usable_years(
 # -- the aggregation ---------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Measure:
+    """A measure in two steps: per area and name, then per area.
+
+    Sums and counts are all the first step keeps, so it combines map side in a
+    hash aggregation.  Taking the smallest name there would not: an aggregate
+    of texts sorts every row first.
+    """
+
+    total: Column
+    filled: Column
+    mode: str
+
+    def combined(self, total: str, filled: str) -> Column:
+        value = F.sum(total)
+        if self.mode == SUM:
+            return value
+        return F.try_divide(value, F.sum(filled).cast("double")) * 100
+
+
 def measure(
     df: DataFrame, variable: str, category: int | None = None, where: Column | None = None
-) -> Column:
-    """Aggregate expression of a variable; nulls never count in a denominator."""
+) -> Measure:
+    """How a variable is aggregated; nulls never count in a denominator."""
     mode = aggregation_for(variable)
     require(df, [variable])
     text = isinstance(df.schema[variable].dataType, T.StringType)
@@ -133,11 +153,12 @@ def measure(
             known = fixed.CODE_LABELS.get(variable, {})
             options = ", ".join(f"{k}={v}" for k, v in known.items()) or "see the dictionary"
             raise InvalidQuery(f"{variable} is a category: choose one code. Options: {options}")
-        wanted = F.lit(str(category)) if text else F.lit(category)
-        return F.avg((value == wanted).cast("double")) * 100
+        hit = (value == (F.lit(str(category)) if text else F.lit(category))).cast("double")
+        return Measure(F.sum(hit), F.count(hit), mode)
     if text:
         raise InvalidQuery(f"{variable} holds text and cannot be summed or averaged")
-    return F.sum(value) if mode == SUM else F.avg(value.cast("double")) * 100
+    number = value if mode == SUM else value.cast("double")
+    return Measure(F.sum(number), F.count(number), mode)
 
 
 def area_code(column: str) -> Column:
@@ -184,19 +205,25 @@ def area_aggregate(
         rows = rows.filter(name(cut.filter_column) == cut.filter_value)
     if check and rows.isEmpty():
         raise InvalidQuery(f"no unit in {cut.scope}/{cut.code} in the requested years")
-    code = area_code(cut.column)
-    title = (
-        F.min(name(cut.name_column))
-        if cut.name_column and cut.name_column in panel.columns
-        else F.min(code)
+    titled = cut.name_column is not None and cut.name_column in panel.columns
+    title = name(cut.name_column) if titled else area_code(cut.column)
+    by_name = (
+        rows.filter(name(cut.column).isNotNull())
+        .groupBy(
+            name(year).alias("ano"), name(cut.column).alias("__area"), title.alias("__name")
+        )
+        .agg(
+            value.total.alias("__total"),
+            value.filled.alias("__filled"),
+            F.count(F.lit(1)).alias("__rows"),
+        )
     )
     return (
-        rows.filter(name(cut.column).isNotNull())
-        .groupBy(name(year).alias("ano"), name(cut.column).alias("__area"))
+        by_name.groupBy("ano", "__area")
         .agg(
-            title.alias("nome"),
-            value.alias("valor"),
-            F.count(F.lit(1)).alias("escolas"),
+            F.min("__name").alias("nome"),
+            value.combined("__total", "__filled").alias("valor"),
+            F.sum("__rows").alias("escolas"),
         )
         .select("ano", area_code("__area").alias("codarea"), "nome", "valor", "escolas")
     )
@@ -318,6 +345,8 @@ def quantile_breaks(
         df.filter(name(value).isNotNull() & name(by).isNotNull())
         .groupBy(name(by).alias("__g"), name(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
+        # Always true: it keeps the count in every use, so all share one shuffle.
+        .filter(F.col("__c") > 0)
     )
     shares = F.array(*[F.lit(i / _BINS) for i in range(1, _BINS)])
     edges = counts.groupBy("__g").agg(

@@ -44,17 +44,29 @@ def _flag(year: int) -> str:
 
 
 def _by_column(catalog: DataFrame, years: Sequence[int]) -> DataFrame:
-    """One row per column: a flag per year and the file order of its newest year."""
-    newest = F.max_by(F.struct("ano", "posicao"), "ano")
-    return (
+    """One row per column: a flag per year and the file order of its newest year.
+
+    Only numbers are aggregated, which keeps the hash aggregation; the position
+    in each year also tells whether the column is there.
+    """
+    position = F.coalesce("posicao", F.lit(0))
+    grouped = (
         catalog.filter(F.col("ano").isin(*years))
         .groupBy("coluna")
         .agg(
-            *[F.bool_or(F.col("ano") == year).alias(_flag(year)) for year in years],
-            newest["ano"].alias("__newest"),
-            newest["posicao"].alias("__position"),
+            F.max("ano").alias("__newest"),
+            *[
+                F.max(F.when(F.col("ano") == year, position)).alias(f"__p{year}")
+                for year in years
+            ],
         )
     )
+    return grouped.select(
+        "coluna",
+        "__newest",
+        F.coalesce(*[f"__p{year}" for year in reversed(years)]).alias("__position"),
+        *[F.col(f"__p{year}").isNotNull().alias(_flag(year)) for year in years],
+    )
 
 
 def file_order() -> list[Column]:

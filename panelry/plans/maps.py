@@ -159,64 +159,94 @@ def area_tables(panel: DataFrame, specs: Sequence[MapSpec], year: str = fixed.YE
             return None
         return F.coalesce(name(cut.filter_column) == cut.filter_value, F.lit(False))
 
-    measures, counts, titles = {}, {}, {}
+    measures, counts = {}, {}
     for spec in specs:
         scope = (spec.cut.filter_column, spec.cut.filter_value)
         where = condition(spec.cut)
         measures.setdefault(
             (spec.variable, spec.category, scope),
-            measure(rows, spec.variable, spec.category, where).cast("double"),
+            measure(rows, spec.variable, spec.category, where),
         )
         counts.setdefault(scope, F.count(F.lit(1)) if where is None else F.count_if(where))
-        titled = spec.cut.name_column
-        titles[(spec.cut.column, scope)] = (
-            F.min(name(titled) if where is None else F.when(where, name(titled)))
-            if titled and titled in panel.columns
-            else F.min(area_code(spec.cut.column))
-        )
     value_at = {key: f"m{i}" for i, key in enumerate(measures)}
     count_at = {key: f"n{i}" for i, key in enumerate(counts)}
-    title_at = {key: f"t{i}" for i, key in enumerate(titles)}
 
-    # The levels repeat as keys under their own names, because titles without a
-    # name column aggregate the level columns themselves.
-    keys = [name(year).alias("__year")] + [
-        name(c).alias(f"__level{i}") for i, c in enumerate(levels)
-    ]
-    keyed = rows.select("*", *keys)
-    sets = [["__year", f"__level{i}"] for i in range(len(levels))]
-    grouped = keyed.groupingSets(
-        [[F.col(c) for c in one] for one in sets],
-        "__year",
-        *[f"__level{i}" for i in range(len(levels))],
-    ).agg(
+    # One grouping set per level: year, area and the area's name.  The keys are
+    # copies, because the measures may read the same columns.
+    n = len(levels)
+    names = [fixed.AREA_NAME.get(c) for c in levels]
+    keyed = rows.select(
+        "*",
+        name(year).alias("__year"),
+        *[name(c).alias(f"__level{i}") for i, c in enumerate(levels)],
+        *[
+            (name(t) if t in panel.columns else area_code(c)).alias(f"__name{i}")
+            for i, (c, t) in enumerate(zip(levels, names, strict=True))
+        ],
+    )
+    keys = ["__year", *[f"__level{i}" for i in range(n)], *[f"__name{i}" for i in range(n)]]
+    sets = [[F.col(k) for k in ("__year", f"__level{i}", f"__name{i}")] for i in range(n)]
+    by_name = keyed.groupingSets(sets, *keys).agg(
         F.grouping_id().alias("__set"),
-        *[m.alias(value_at[k]) for k, m in measures.items()],
-        *[n.alias(count_at[k]) for k, n in counts.items()],
-        *[t.alias(title_at[k]) for k, t in titles.items()],
+        *[m.total.alias(f"{value_at[k]}t") for k, m in measures.items()],
+        *[m.filled.alias(f"{value_at[k]}f") for k, m in measures.items()],
+        *[c.alias(count_at[k]) for k, c in counts.items()],
+    )
+
+    # The grouping id has one bit per key, set where the key is rolled up.
+    def set_of(level: int) -> int:
+        grouped = {0, 1 + level, 1 + n + level}
+        return sum(1 << (2 * n - j) for j in range(2 * n + 1) if j not in grouped)
+
+    code, title = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i in range(n):
+        at = F.col("__set") == set_of(i)
+        code = F.when(at, area_code(f"__level{i}")).otherwise(code)
+        title = F.when(at, F.col(f"__name{i}")).otherwise(title)
+    areas = (
+        by_name.select(
+            F.col("__year").alias("ano"),
+            "__set",
+            code.alias("codarea"),
+            title.alias("__name"),
+            *[f"{v}{part}" for v in value_at.values() for part in "tf"],
+            *count_at.values(),
+        )
+        .filter(F.col("codarea").isNotNull())
+        .groupBy("ano", "__set", "codarea")
+        .agg(
+            *[
+                m.combined(f"{value_at[k]}t", f"{value_at[k]}f").cast("double").alias(value_at[k])
+                for k, m in measures.items()
+            ],
+            *[F.sum(c).alias(c) for c in count_at.values()],
+            # The name an area has among the rows of each scope.
+            *[
+                F.min(F.when(F.col(c) > 0, F.col("__name"))).alias(f"{c}t")
+                for c in count_at.values()
+            ],
+        )
     )
 
     def entry(spec: MapSpec):
         scope = (spec.cut.filter_column, spec.cut.filter_value)
-        serves = F.col("__year").isin(*spec.years)
+        count = count_at[scope]
+        serves = F.col("ano").isin(*spec.years)
         return F.struct(
             F.lit(spec.slug).alias("slug"),
-            F.col(title_at[(spec.cut.column, scope)]).alias("nome"),
+            F.col(f"{count}t").alias("nome"),
             F.col(value_at[(spec.variable, spec.category, scope)]).alias("valor"),
-            F.when(serves, F.col(count_at[scope])).otherwise(0).cast("bigint").alias("escolas"),
+            F.when(serves, F.col(count)).otherwise(0).cast("bigint").alias("escolas"),
         )
 
-    code, entries = F.lit(None).cast("string"), None
+    entries = None
     for i, level in enumerate(levels):
-        # The grouping id has one bit per key, set where the key is rolled up.
-        here = sum(1 << (len(levels) - 1 - j) for j in range(len(levels)) if j != i)
-        at = F.col("__set") == here
-        code = F.when(at, area_code(f"__level{i}")).otherwise(code)
+        at = F.col("__set") == set_of(i)
         maps = F.array(*[entry(s) for s in specs if s.cut.column == level])
         entries = F.when(at, maps) if entries is None else entries.when(at, maps)
     return (
-        grouped.select(F.col("__year").alias("ano"), code.alias("codarea"), F.inline(entries))
-        .filter(F.col("codarea").isNotNull() & (F.col("escolas") > 0))
+        areas.select("ano", "codarea", F.inline(entries))
+        .filter(F.col("escolas") > 0)
         .select("slug", "ano", "codarea", "nome", "valor", "escolas")
     )
 
