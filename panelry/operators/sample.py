@@ -67,19 +67,18 @@ def sample_head(
 
     Without ``order_by`` the scan stops at the first partitions that give
     enough rows, in file order for one file.  With it, each task keeps its own
-    ``n`` first rows.  When nothing matches, ``check`` counts the scanned rows
-    for the error.
+    ``n`` first rows.  ``check`` looks for a first match, unordered, and counts
+    the scanned rows for the error when there is none.
     """
     equals, contains = dict(equals or {}), dict(contains or {})
     kept = project(df, columns, [*equals, *contains])
     matching = where_contains(where_equals(df, equals), contains)
+    if check and matching.isEmpty():
+        raise NoRows(f"no row matches the filters ({df.count()} rows scanned)")
     if order_by is not None:
         order = [order_by] if isinstance(order_by, (str, Column)) else list(order_by)
         matching = matching.orderBy(*order)
-    out = matching.limit(n).select(*map(quote, kept))
-    if check and out.isEmpty():
-        raise NoRows(f"no row matches the filters ({df.count()} rows scanned)")
-    return out
+    return matching.limit(n).select(*map(quote, kept))
 
 
 def numbers_where_lossless(df: DataFrame) -> DataFrame:
