@@ -129,8 +129,9 @@ def enrich_edition(
     """Add the columns ``base`` lacks from tables with one row per key.
 
     Left joins: a unit without a row keeps null, never zero.  A repeated key
-    stops the job instead of multiplying rows.  The check is an aggregation on
-    the join key, so it needs no shuffle beyond the join's own.
+    stops the job instead of multiplying rows.  The check shuffles the keys
+    alone and stays out of the join, whose two sides remain plain shuffles: so
+    AQE can split a key that holds many rows of ``base``.
     """
     keys = as_list(key)
     require(base, keys)
@@ -140,22 +141,18 @@ def enrich_edition(
         added = [c for c in table.columns if c not in out.columns]
         if not added:
             continue
-        rows = table.select(*map(quote, keys), F.struct(*map(quote, added)).alias("__row"))
+        rows = table.select(*map(quote, [*keys, *added]))
         for k in keys:
             rows = rows.filter(name(k).isNotNull())
-        repeated = F.raise_error(F.lit(f"repeated key in an entity table: {', '.join(keys)}"))
-        unique = (
+        repeated = (
             rows.groupBy(*keys)
-            .agg(F.first("__row").alias("__row"), F.count(F.lit(1)).alias("__n"))
-            .withColumn(
-                "__row",
-                F.when(F.col("__n") == 1, F.col("__row")).otherwise(
-                    repeated.cast(rows.schema["__row"].dataType)
-                ),
-            )
-            .select(*keys, "__row.*")
+            .agg(F.count(F.lit(1)).alias("__n"))
+            .agg(F.count_if(F.col("__n") > 1))
+            .scalar()
         )
-        out = out.join(unique, keys, "left")
+        refused = F.raise_error(F.lit(f"repeated key in an entity table: {', '.join(keys)}"))
+        rows = rows.filter(F.when(repeated == 0, True).otherwise(refused.cast("boolean")))
+        out = out.join(rows, keys, "left")
     return out.select(*map(quote, dict.fromkeys([*base.columns, *out.columns])))
 
 

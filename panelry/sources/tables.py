@@ -82,16 +82,11 @@ def geojson_features(features: DataFrame) -> DataFrame:
 def write_geojson_features(features: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Features, one per line; a map column (``slug``) becomes the folder."""
     lines = geojson_features(features)
-    writer = lines.write.mode(mode)
-    if "slug" in lines.columns:
-        lines, writer = lines.select("slug", "value"), writer
-        writer = lines.write.mode(mode).partitionBy("slug")
-    writer.text(path)
+    by = [c for c in ("slug",) if c in lines.columns]
+    lines.select(*by, "value").write.mode(mode).partitionBy(*by).text(path)
 
 
 def write_area_table(areas: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The table behind the maps, as text."""
-    writer = areas.write.mode(mode).option("header", True)
-    if "slug" in areas.columns:
-        writer = writer.partitionBy("slug")
-    writer.csv(path)
+    by = [c for c in ("slug",) if c in areas.columns]
+    areas.write.mode(mode).partitionBy(*by).csv(path, header=True)
