@@ -1,11 +1,12 @@
 """What every column holds, told by its values and not by its name.
 
-The cells are exploded to one row each and counted by value, then by column.  Counting every distinct value would shuffle a wide edition almost
-whole, but the profile reports at most 200 distinct values and 5 examples.  So
-a small sample fixes, per column, a value with at least 201 distinct sample
-values up to it: every larger cell can no longer change the capped count or the
-examples and is folded, map side, into one running row of its column.  The
-sample only decides how much is folded; the result is exact for any sample.
+The cells are exploded to one row each and counted by value, then by column.
+Counting every distinct value would shuffle a wide edition almost whole, but
+the profile reports at most 200 distinct values and 5 examples.  So a small
+sample fixes, per column, a value with at least 201 distinct sample values up
+to it: every larger cell can no longer change the capped count or the examples
+and is folded, map side, into one running row of its column.  The sample only
+decides how much is folded; the result is exact for any sample.
 """
 
 from __future__ import annotations
