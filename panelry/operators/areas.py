@@ -350,7 +350,7 @@ def quantile_breaks(
     )
     shares = F.array(*[F.lit(i / _BINS) for i in range(1, _BINS)])
     edges = counts.groupBy("__g").agg(
-        F.array_distinct(F.percentile_approx("__v", shares, F.lit(10_000))).alias("__edges")
+        F.array_distinct(F.percentile_approx("__v", shares, F.lit(1_000))).alias("__edges")
     )
     # The number of edges not above the value.
     in_bin = F.size(F.filter("__edges", lambda e: e <= F.col("__v")))
