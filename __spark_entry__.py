@@ -693,11 +693,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return overview_by_uf(spark, SMOKE)
 
 
+try:
+    from panelry.llm import queries as llm_queries
+    from panelry.llm import statements as llm_statements
+except ImportError:
+    llm_queries = llm_statements = None
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {query.__name__: query for query in QUERIES}
+    more = llm_queries.queries() if llm_queries else {}
+    return {query.__name__: query for query in QUERIES} | more
 
 
 def oracle_sql() -> dict[str, str]:
     from oracles import oracle_sql as statements
 
-    return statements()
+    return statements() | (llm_statements.oracle_sql() if llm_statements else {})
