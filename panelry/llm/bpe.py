@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 from panelry.llm.common import whole_text
 
 SHORT = 48
-REMEMBERED = 1 << 19
+NONE = 1 << 40
+REMEMBERED = 1 << 20
+#: Pieces already folded by this Python worker, by vocabulary; it serves many tasks.
+FOLDED: dict[str, dict[str, bytes]] = {}
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -26,17 +29,29 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def digest_of(ranks: dict[bytes, int]) -> str:
+    state = hashlib.sha256()
+    for piece, rank in ranks.items():
+        state.update(b"%d:%d:" % (rank, len(piece)) + piece)
+    return state.hexdigest()
+
+
 def fold_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    get = ranks.get
     parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None and (best is None or rank < best):
-                best, at = rank, i
-        if best is None:
+    pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+    while pairs:
+        best = min(pairs)
+        if best == NONE:
             break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        at = pairs.index(best)
+        merged = parts[at] + parts.pop(at + 1)
+        parts[at] = merged
+        del pairs[at]
+        if at:
+            pairs[at - 1] = get(parts[at - 1] + merged, NONE)
+        if at < len(pairs):
+            pairs[at] = get(merged + parts[at + 1], NONE)
     return [ranks[part] for part in parts]
 
 
@@ -87,7 +102,7 @@ def encoder(ranks: dict[bytes, int], pattern: str):
     import regex
 
     pieces = regex.compile(pattern)
-    known: dict[str, bytes] = {}
+    known = FOLDED.setdefault(digest_of(ranks), {})
 
     def encode(text: str) -> bytes:
         cut = pieces.findall(text)

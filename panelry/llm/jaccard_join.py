@@ -52,16 +52,30 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def shingles(text: str, words: int, known: dict[str, int]) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``words`` words; a shorter text is one shingle."""
-    hashes = hash_words(WORD.findall(text.lower()), known)
-    if not len(hashes):
-        return hashes
-    width = min(words, len(hashes))
-    total = np.zeros(len(hashes) - width + 1, np.uint64)
-    for k in range(width):
-        total = mix(total + hashes[k:len(hashes) - width + 1 + k])
-    return np.unique(total)
+def shingles(texts: list[str], words: int, known: dict[str, int]) -> list[np.ndarray]:
+    """Per text the sorted distinct hashes of all its runs of ``words`` words.
+
+    A shorter text is one shingle of all its words, a text without words has none.
+    """
+    cut = [WORD.findall(text.lower()) for text in texts]
+    flat = hash_words([w for own in cut for w in own], known)
+    rolled = np.zeros(len(flat), np.uint64)
+    for k in range(words):
+        ahead = np.zeros_like(flat)
+        ahead[:len(flat) - k] = flat[k:]
+        rolled = mix(rolled + ahead)
+    out, at = [], 0
+    for own in cut:
+        n = len(own)
+        if n >= words:
+            out.append(np.unique(rolled[at:at + n - words + 1]))
+        else:
+            single = np.zeros(min(n, 1), np.uint64)
+            for value in flat[at:at + n]:
+                single = mix(single + value)
+            out.append(single)
+        at += n
+    return out
 
 
 def set_key(held: np.ndarray) -> bytes:
@@ -96,7 +110,7 @@ def sketches(words: int, coordinates: int):
         odd = np.random.default_rng(7).integers(0, 1 << 31, coordinates, np.uint32) * np.uint32(2) + np.uint32(1)
         known: dict[str, int] = {}
         for given in batches:
-            sets = [shingles(text, words, known) for text in given.column("text").to_pylist()]
+            sets = shingles(given.column("text").to_pylist(), words, known)
             sizes = np.array([len(s) for s in sets], np.int32)
             flat = minima([s for s in sets if len(s)], odd).ravel()
             ends = np.cumsum(np.concatenate([[0], np.where(sizes > 0, coordinates, 0)])).astype(np.int32)
@@ -149,7 +163,7 @@ def shingle_sets(words: int):
 
         known: dict[str, int] = {}
         for given in batches:
-            sets = [shingles(t, words, known) for t in given.column("text").to_pylist()]
+            sets = shingles(given.column("text").to_pylist(), words, known)
             same = [set_key(s) == k for s, k in zip(sets, given.column("set_key").to_pylist())]
             rest = given.select(["member", "leaves"]).filter(pa.array(same, pa.bool_()))
             held = [s.astype("<u8").tobytes() for s, right in zip(sets, same) if right]

@@ -13,37 +13,30 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import WORD, fraction, hash_words, labelled_sample, whole_text, written
-
-HASHED = 256
-SHAPES = 10
-
-
-def features(text: str, known: dict[str, int]) -> tuple[np.ndarray, int]:
-    """Hashed word frequencies and the shape of a text, and its number of words."""
-    words = WORD.findall(text.lower())
-    out = np.zeros(HASHED + SHAPES)
-    chars, lines = max(1, len(text)), text.split("\n")
-    if words:
-        places = (hash_words(words, known) >> np.uint64(40)) % np.uint64(HASHED)
-        counts = np.bincount(places.astype(np.int64), minlength=HASHED)
-        out[:HASHED] = np.sqrt(counts / len(words))
-    letters = sum(len(w) for w in words)
-    out[HASHED:] = (
-        letters / chars, text.count(" ") / chars, text.count("|") / chars * 10,
-        sum(map(text.count, "#$%&*")) / chars * 10, sum(map(text.count, ".,;:!?")) / chars * 10,
-        sum(map(text.count, "0123456789")) / chars * 10, 1 - len(set(lines)) / len(lines),
-        1 - len(set(words)) / max(1, len(words)), letters / max(1, len(words)) / 10, np.log1p(len(words)) / 10,
-    )
+from panelry.llm.common import fraction, labelled_sample, whole_text, written
+
+BYTES = 256
+SHAPES = 5
+
+
+def features(text: str) -> tuple[np.ndarray, int]:
+    """Frequencies of the text's bytes, its repetition and lengths, and its number of words."""
+    words, lines = text.split(), text.split("\n")
+    out = np.zeros(BYTES + SHAPES)
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    if len(raw):
+        out[:BYTES] = np.sqrt(np.bincount(raw, minlength=BYTES) / len(raw))
+    n = max(1, len(words))
+    out[BYTES:] = (1 - len(set(lines)) / len(lines), 1 - len(set(words)) / n, len(raw) / n / 10,
+                   np.log1p(len(words)) / 10, len(lines) / n)
     return out, len(words)
 
 
 def feature_rows(batches):
     import pyarrow as pa
 
-    known: dict[str, int] = {}
     for given in batches:
-        rows = [features(t, known)[0] for t in given.column("text").to_pylist()]
+        rows = [features(t)[0] for t in given.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [given.column("domain"), pa.array(rows, pa.list_(pa.float64()))], names=["domain", "x"])
 
@@ -52,9 +45,8 @@ def posteriors(weights: np.ndarray, bias: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        known: dict[str, int] = {}
         for given in batches:
-            made = [features(t, known) for t in given.column("text").to_pylist()]
+            made = [features(t) for t in given.column("text").to_pylist()]
             if not made:
                 continue
             score = np.stack([x for x, _ in made]) @ weights.T + bias
@@ -76,7 +68,7 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: int, sample_rows: in
     sample = labelled_sample(plain, labelled, sample_rows).select("domain", "text")
     rows = written(sample.mapInArrow(feature_rows, "domain int, x array<double>"), "features")
     seen = sorted(r["domain"] for r in rows.select("domain").distinct().collect())
-    weights, bias = np.zeros((domains, HASHED + SHAPES)), np.full(domains, -50.0)
+    weights, bias = np.zeros((domains, BYTES + SHAPES)), np.full(domains, -50.0)
     if len(seen) > 1:
         code = F.element_at(F.create_map(*[F.lit(x) for i, d in enumerate(seen) for x in (d, float(i))]), F.col("domain"))
         train = rows.select(code.alias("label"), array_to_vector("x").alias("features"))
@@ -105,8 +97,7 @@ def fit_rates(docs: DataFrame, target: list[float], low: float, high: float, rou
     """
     d = len(target)
     goal = np.array(target, float) / sum(target)
-    held = docs
-    base = held.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
+    base = docs.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
     if not base:
         return docs.withColumn("rate", F.lit(min(max(1.0, low), high)))
     steps, best = [], (np.inf, [])
@@ -115,7 +106,7 @@ def fit_rates(docs: DataFrame, target: list[float], low: float, high: float, rou
         rate = rate_of(steps, low, high)
         inside = ((rate > low) & (rate < high)) | F.lit(not steps)
         weight = F.when(inside, F.col("n_tokens")).otherwise(0).cast("double")
-        sums = held.withColumn("rate", rate).agg(
+        sums = docs.withColumn("rate", rate).agg(
             *[F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(d)],
             *[F.sum(weight * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)],
         ).first()

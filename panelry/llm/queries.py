@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelry.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
+from panelry.llm import bpe, chat, exact_dedup, graph_search, html_text, jaccard_join, licenses, mixing, quality, toxicity
 from panelry.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -21,14 +21,26 @@ def domain_labels(labels):
     return labels.select(F.col("doc_id").cast("long"), domain.alias("domain"))
 
 
+def op1_chat_formatting(spark, folder):
+    return chat.format_turns(table(spark, folder, "conversations"))
+
+
 def op2_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op4_jaccard_join(spark, folder):
     return jaccard_join.similar_documents(table(spark, folder, "documents"))
 
 
+def op5_quality(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), domain_labels(table(spark, folder, "labels")), MIX)
     p = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(("poor", "good", "toxic"))]
@@ -39,11 +51,22 @@ def op7_bpe(spark, folder):
     return bpe.encoding_digest(table(spark, folder, "documents"), RANKS, PATTERN)
 
 
+def op8_html_text(spark, folder):
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+def op9_graph_search(spark, folder):
+    return graph_search.nearest(table(spark, folder, "embeddings"))
+
+
 def op10_exact_dedup(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = (op2_toxicity, op4_jaccard_join, op6_mixing, op7_bpe, op10_exact_dedup)
+QUERIES = (
+    op1_chat_formatting, op2_toxicity, op3_license_scan, op4_jaccard_join, op5_quality, op6_mixing, op7_bpe,
+    op8_html_text, op9_graph_search, op10_exact_dedup,
+)
 
 
 def queries():

@@ -5,8 +5,9 @@
 2. Families of terms and text patterns are the voters; one pass over the whole texts gives the
    votes and term hits of every document.
 3. A log-linear label model of the votes and the hidden label, with pairwise terms for correlated
-   voters, is fitted by expectation maximisation on the counts of vote patterns.  There are
-   2^voters patterns however many documents, so its sums are exact.
+   voters, is fitted by expectation maximisation on the counts of vote patterns.  The label is
+   hidden but for the labelled rows, which anchor the two classes.  There are 2^voters patterns
+   however many documents, so its sums are exact.
 4. Logistic regression learns the posterior labels from term hits and patterns; it scores all.
 """
 
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from panelry.llm.common import WORD, crc_bucket, fraction, labelled_sample, whole_text, written
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 LEXICON_VOTERS = 10
 PATTERNS = (re.compile(r"[!?]{2,}"), re.compile(r"\b[^\W\d_a-z]{4,}\b"))
 VOTERS = LEXICON_VOTERS + len(PATTERNS)
 PAIRS = 12
+PURE = 0.8
 
 
 def terms_of(word: str) -> list[str]:
@@ -54,8 +56,8 @@ def term_counts(batches):
 def lexicon(sample: DataFrame, terms: int) -> tuple[list[str], list[int], float]:
     """The strongest terms, the voter of each, and the share of toxic rows.
 
-    A term is taken if its documents are toxic more often than chance at a level of 0.05 over all
-    terms (Chernoff bound), most surprising first.
+    A term is taken if ``PURE`` of its documents are toxic and chance would give as many at a
+    level below 0.05 over all terms (Chernoff bound), most surprising first.
     """
     total = sample.groupBy("toxic").count().collect()
     size = {r["toxic"]: r["count"] for r in total}
@@ -69,13 +71,14 @@ def lexicon(sample: DataFrame, terms: int) -> tuple[list[str], list[int], float]
     other = F.when(share < 1, (1 - share) * F.log((1 - share) / F.lit(1 - base))).otherwise(0.0)
     strength = n * (share * F.log(share / F.lit(base)) + other)
     level = math.log(max(1, counts.count()) / 0.05)
-    best = counts.where("pos > 0").where((share > max(0.5, 2 * base)) & (strength > level)) \
+    best = counts.where("pos > 0").where((share >= PURE) & (strength > level)) \
         .orderBy(strength.desc(), "term").limit(terms).collect()
     chosen = [r["term"] for r in best]
     family: dict[str, int] = {}
+    families = itertools.count()
     for term in sorted(chosen, key=len):
         stem = next((family["^" + term[1:n + 1]] for n in PREFIXES if "^" + term[1:n + 1] in family), None)
-        family[term] = stem if stem is not None else len(set(family.values())) % LEXICON_VOTERS
+        family[term] = stem if stem is not None else next(families) % LEXICON_VOTERS
     return chosen, [family[t] for t in chosen], base
 
 
@@ -123,32 +126,39 @@ class LabelModel:
         """Chance of label 1 for every vote pattern."""
         return 1 / (1 + np.exp(-np.clip(self.log_odds, -30, 30)))
 
-    def fit(self, counts: np.ndarray, rounds: int = 30) -> LabelModel:
+    def fit(self, counts: np.ndarray, known: np.ndarray, rounds: int = 30) -> LabelModel:
+        """``counts`` of unlabelled rows by pattern, ``known`` of labelled rows by label and pattern."""
         v = self.states.astype(float)
-        weight = counts / counts.sum()
+        self.free, self.fixed = counts, known
         # start: any lexicon vote speaks for label 1, no vote against it
         q = np.where(v[:, :LEXICON_VOTERS].any(axis=1), 0.9, self.base * 0.1)
-        q = self.independent(v, weight, q, rounds)
-        self.pairs = self.correlated(v, weight, q)
-        self.log_odds = self.joint(v, weight, q, rounds)
+        q, start = self.independent(v, q, rounds)
+        self.pairs = self.correlated(v, q)
+        self.log_odds = self.joint(v, q, start, rounds)
         return self
 
-    def independent(self, v, weight, q, rounds):
+    def shares(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of every pattern with label 0 and with label 1; known labels count as they are."""
+        total = self.free.sum() + self.fixed.sum()
+        return ((self.free * (1 - q) + self.fixed[0]) / total, (self.free * q + self.fixed[1]) / total)
+
+    def independent(self, v, q, rounds):
         """Naive Bayes by expectation maximisation: accuracies without correlations."""
         for _ in range(rounds):
-            prior = np.clip((weight * q).sum(), 1e-6, 1 - 1e-6)
-            hit = ((weight * q) @ v + 1e-6) / (prior + 2e-6)
-            false = ((weight * (1 - q)) @ v + 1e-6) / (1 - prior + 2e-6)
-            odds = math.log(prior / (1 - prior)) + v @ np.log(hit / false) + (1 - v) @ np.log((1 - hit) / (1 - false))
-            q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        return q
-
-    def correlated(self, v, weight, q):
+            zero, one = self.shares(q)
+            prior = np.clip(one.sum(), 1e-6, 1 - 1e-6)
+            hit = (one @ v + 1e-6) / (prior + 2e-6)
+            false = (zero @ v + 1e-6) / (1 - prior + 2e-6)
+            odds = np.log([hit / false, (1 - hit) / (1 - false)])
+            bias = math.log(prior / (1 - prior)) + odds[1].sum()
+            q = 1 / (1 + np.exp(-np.clip(bias + v @ (odds[0] - odds[1]), -30, 30)))
+        return q, (np.log(false / (1 - false)), np.concatenate([[bias], odds[0] - odds[1]]))
+
+    def correlated(self, v, q):
         """Pairs of voters whose votes go together more than the labels explain."""
         found = {}
         for i, j in itertools.combinations(range(self.voters), 2):
-            for label in (q, 1 - q):
-                w = weight * label
+            for w in self.shares(q):
                 w = w / max(w.sum(), 1e-12)
                 a, b = w @ v[:, i], w @ v[:, j]
                 spread = math.sqrt(max(a * (1 - a) * b * (1 - b), 1e-12))
@@ -156,23 +166,23 @@ class LabelModel:
                 found[i, j] = max(found.get((i, j), 0), together)
         return [p for p in sorted(found, key=found.get, reverse=True)[:PAIRS] if found[p] > 0.05]
 
-    def joint(self, v, weight, q, rounds):
+    def joint(self, v, q, start, rounds):
         """Expectation maximisation with gradient steps on the exact joint distribution."""
         both = np.stack([v[:, i] * v[:, j] for i, j in self.pairs], axis=1) if self.pairs else np.zeros((len(v), 0))
         shared = np.concatenate([v, both], axis=1)
         own = np.concatenate([np.ones((len(v), 1)), v], axis=1)
-        theta, phi = np.zeros(shared.shape[1]), np.zeros(own.shape[1])
-        phi[0] = math.log(max(self.base, 1e-6) / max(1 - self.base, 1e-6))
+        theta, phi = np.concatenate([start[0], np.zeros(both.shape[1])]), start[1].copy()
         for _ in range(rounds):
-            seen_shared, seen_own = weight @ shared, (weight * q) @ own
+            zero, one = self.shares(q)
+            seen_shared, seen_own = (zero + one) @ shared, one @ own
             for _ in range(40):
-                zero = shared @ theta
-                one = zero + own @ phi
-                top = max(zero.max(), one.max())
-                e0, e1 = np.exp(zero - top), np.exp(one - top)
+                low = shared @ theta
+                high = low + own @ phi
+                top = max(low.max(), high.max())
+                e0, e1 = np.exp(low - top), np.exp(high - top)
                 z = e0.sum() + e1.sum()
-                theta += 2.0 * (seen_shared - ((e0 + e1) / z) @ shared - 1e-4 * theta)
-                phi += 2.0 * (seen_own - (e1 / z) @ own - 1e-4 * phi)
+                theta += seen_shared - ((e0 + e1) / z) @ shared
+                phi += seen_own - (e1 / z) @ own
             q = 1 / (1 + np.exp(-np.clip(own @ phi, -30, 30)))
         return own @ phi
 
@@ -202,10 +212,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, term
     found = written(plain.mapInArrow(
         hits(chosen, voter), "doc_id long, held_out boolean, votes int, hits array<int>"), "votes")
     train = found.where("NOT held_out")
-    counts = np.zeros(1 << VOTERS)
-    for row in train.groupBy("votes").count().collect():  # at most 2^VOTERS rows
-        counts[row["votes"]] = row["count"]
-    model = LabelModel(VOTERS, base).fit(counts)
+    counts = np.zeros((3, 1 << VOTERS))
+    told = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    patterns = train.join(told, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(2)).alias("label")).count()
+    for row in patterns.collect():  # at most 3 * 2^VOTERS rows
+        counts[row["label"], row["votes"]] = row["count"]
+    model = LabelModel(VOTERS, base).fit(counts[2], counts[:2])
     size = len(chosen) + len(PATTERNS)
     vector = F.udf(lambda own: SparseVector(size, own, [1.0] * len(own)), VectorUDT())
     posterior = F.element_at(F.lit([float(x) for x in model.posterior()]), F.col("votes") + 1)
