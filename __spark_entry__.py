@@ -7,6 +7,7 @@ yearly slices of ``orders`` are the editions, nations and customers the areas.
 
 from __future__ import annotations
 
+import os
 import sys
 import warnings
 from collections.abc import Callable
@@ -15,7 +16,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+ROOT = str(Path(__file__).resolve().parent)
+sys.path.insert(0, ROOT)
+# Python workers of sessions started later find the packages too
+os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [os.environ.get("PYTHONPATH")])])
 
 import panelry as p  # noqa: E402
 from panelry import fixed  # noqa: E402
