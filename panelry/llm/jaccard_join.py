@@ -3,9 +3,11 @@
 A run samples shared tokens of a set by minimum hashes: at each node of a random tree a set goes
 on to the child named by its smallest token under one hash, and with probability ``FORK`` also to
 a second child under another hash.  Two sets of similarity s keep a common path with chance
-p(d+1) = (1+f) s p(d) - f s^2 p(d)^2, p(0) = 1, whatever else is in the table.  A node that holds
-few sets is not split further but compared by brute force, so most sets stop after one level.
-Runs repeat until 1 - (1 - p)^runs reaches the target recall for a pair at the threshold.
+p(d+1) = (1+f) s p(d) - f s^2 p(d)^2, p(0) = 1, whatever else is in the table.  A set alone in its
+node is done; below ``SHALLOW`` levels, which part texts that merely share a passage, a node of
+few sets is not split further but compared by brute force.  Nodes with the same members are
+compared once.  Runs repeat until 1 - (1 - p)^runs reaches the target recall for a pair at the
+threshold and the full depth.
 
 Nodes that never get small (large groups of near copies) are cut into blocks and compared block
 by block.  Inside a node the shared tokens of all pairs are one matrix product, and only counts
@@ -26,6 +28,7 @@ from panelry.llm.components import components
 
 DEPTH = 4
 FORK = 0.25
+SHALLOW = 2
 SMALL = 12
 BLOCK = 768
 TOKENS = 1_500_000
@@ -148,6 +151,9 @@ def leaves(members: DataFrame, runs: int) -> DataFrame:
         counts = rows.groupBy("node").agg(
             F.count("*").alias("n"), F.sum("size").alias("tokens")).where("n > 1")
         rows = written(rows.join(counts, "node"), "nodes")
+        if level < SHALLOW:
+            rows = rows.select("member", "size", "node", "mins")
+            continue
         ended = rows if level == DEPTH - 1 else rows.where(F.col("n") <= SMALL)
         ended = ended.select("member", F.col("node").alias("leaf"), "n", "tokens")
         found = ended if found is None else found.unionByName(ended)
@@ -268,9 +274,17 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     return found.select("doc_id", "set_key").join(classes, "set_key").drop("set_key")
 
 
+def different(nodes: DataFrame) -> DataFrame:
+    """One node of all those that hold the same members, told by two 64-bit digests of them."""
+    same = nodes.groupBy("leaf").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("member", F.lit(1))).alias("a"),
+        F.bit_xor(F.xxhash64("member", F.lit(2))).alias("b"))
+    return nodes.join(same.groupBy("n", "a", "b").agg(F.min("leaf").alias("leaf")).select("leaf"), "leaf", "left_semi")
+
+
 def candidate_links(plain, members, nodes, words, threshold):
     """Brute force over the leaves; only the texts of their members are read into sets again."""
-    nodes = written(nodes, "leaves")
+    nodes = written(different(written(nodes, "leaves")), "leaves")
     paths = nodes.groupBy("member").agg(F.collect_set("leaf").alias("leaves"))
     texts = plain.join(members.join(paths, "member"), "doc_id")
     full = texts.select("member", "set_key", "leaves", "text").mapInArrow(
