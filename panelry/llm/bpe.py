@@ -14,7 +14,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import whole_text
+from panelry.llm.common import in_parts, whole_text
 
 SHORT = 48
 NONE = 1 << 40
@@ -177,7 +177,7 @@ def _mapped(docs, ranks_path, pattern, schema, columns):
         for piece, rank in ranks.items():
             token[rank] = piece
         to_ids = encoder(ranks, pattern)
-        for given in batches:
+        for given in in_parts(batches):
             data = [to_ids(text) for text in given.column("text").to_pylist()]
             made = columns(data, token)
             yield pa.RecordBatch.from_arrays(

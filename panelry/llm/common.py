@@ -58,6 +58,20 @@ def hash_words(words: list[str], known: dict[str, int], limit: int = 1 << 20) ->
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def in_parts(batches, column: str = "text", chars: int = 4 << 20):
+    """The Arrow batches cut so that none holds much more than ``chars`` bytes of text."""
+    import pyarrow.compute as pc
+
+    for given in batches:
+        sizes = pc.fill_null(pc.binary_length(given.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, low = np.cumsum(sizes), 0
+        while low < len(sizes):
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + chars, "right")))
+            yield given.slice(low, high - low)
+            low = high
+
+
 def fraction(column: str, seed: int) -> Column:
     """A fixed number in [0, 1) per value, spread evenly."""
     return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))

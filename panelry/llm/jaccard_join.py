@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import WORD, hash_words, whole_text, written
+from panelry.llm.common import WORD, hash_words, in_parts, whole_text, written
 from panelry.llm.components import components
 
 DEPTH = 4
@@ -112,7 +112,7 @@ def sketches(words: int, coordinates: int):
 
         odd = np.random.default_rng(7).integers(0, 1 << 31, coordinates, np.uint32) * np.uint32(2) + np.uint32(1)
         known: dict[str, int] = {}
-        for given in batches:
+        for given in in_parts(batches):
             sets = shingles(given.column("text").to_pylist(), words, known)
             sizes = np.array([len(s) for s in sets], np.int32)
             flat = minima([s for s in sets if len(s)], odd).ravel()
@@ -168,7 +168,7 @@ def shingle_sets(words: int):
         import pyarrow as pa
 
         known: dict[str, int] = {}
-        for given in batches:
+        for given in in_parts(batches):
             sets = shingles(given.column("text").to_pylist(), words, known)
             same = [set_key(s) == k for s, k in zip(sets, given.column("set_key").to_pylist())]
             rest = given.select(["member", "leaves"]).filter(pa.array(same, pa.bool_()))
@@ -266,9 +266,10 @@ def similar_documents(docs: DataFrame, words: int = 5, threshold: float = 0.8, r
     named = sets.select("set_key", "set_id", "copies", "size", member)
     degrees = linked.groupBy("member").agg(F.sum("links").alias("n_links"))
     label = components(linked.select(F.col("member").alias("a"), F.col("root").alias("b")))
-    grouped = named.join(label.withColumnRenamed("node", "member"), "member", "left")
-    lowest = grouped.where("label IS NOT NULL").groupBy("label").agg(F.min("set_id").alias("class_id"))
-    classes = grouped.join(lowest, "label", "left").join(degrees, "member", "left").select(
+    grouped = label.withColumnRenamed("node", "member").join(named.select("member", "set_id"), "member")
+    lowest = grouped.groupBy("label").agg(F.min("set_id").alias("class_id"))
+    of_linked = grouped.join(lowest, "label").select("member", "class_id")
+    classes = named.join(of_linked, "member", "left").join(degrees, "member", "left").select(
         "set_key", F.coalesce("class_id", "set_id").alias("class_id"), "set_id",
         F.col("size").alias("set_size"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return found.select("doc_id", "set_key").join(classes, "set_key").drop("set_key")

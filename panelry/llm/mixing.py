@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import fraction, labelled_sample, whole_text, written
+from panelry.llm.common import fraction, in_parts, labelled_sample, whole_text, written
 
 BYTES = 256
 SHAPES = 5
@@ -35,7 +35,7 @@ def features(text: str) -> tuple[np.ndarray, int]:
 def feature_rows(batches):
     import pyarrow as pa
 
-    for given in batches:
+    for given in in_parts(batches):
         rows = [features(t)[0] for t in given.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [given.column("domain"), pa.array(rows, pa.list_(pa.float64()))], names=["domain", "x"])
@@ -45,7 +45,7 @@ def posteriors(weights: np.ndarray, bias: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
-        for given in batches:
+        for given in in_parts(batches):
             made = [features(t) for t in given.column("text").to_pylist()]
             if not made:
                 continue

@@ -13,11 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import whole_text, written
+from panelry.llm.common import in_parts, whole_text, written
 
 ORDER = 5
 START, END = "\x02", "\x03"
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 2 << 20
 
 
 def padded(text: str, order: int) -> str:
@@ -51,7 +51,7 @@ def count_grams(order: int):
     def run(batches):
         import pyarrow as pa
 
-        for given in batches:
+        for given in in_parts(batches, chars=BLOCK_CHARS):
             grams, number, _ = windows(given.column("text").to_pylist(), order)
             counts = np.bincount(number, minlength=len(grams))
             yield pa.RecordBatch.from_arrays(

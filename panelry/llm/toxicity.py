@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import WORD, crc_bucket, fraction, labelled_sample, whole_text, written
+from panelry.llm.common import WORD, crc_bucket, fraction, in_parts, labelled_sample, whole_text, written
 
 PREFIXES = (4, 5, 6, 7, 8)
 LEXICON_VOTERS = 10
@@ -42,7 +42,7 @@ def term_counts(batches):
 
     import pyarrow as pa
 
-    for given in batches:
+    for given in in_parts(batches):
         counts = (Counter(), Counter())
         for text, toxic in zip(given.column("text").to_pylist(), given.column("toxic").to_pylist()):
             words = set(WORD.findall(text.lower()))
@@ -90,7 +90,7 @@ def hits(terms: list[str], voter: list[int]):
         import pyarrow as pa
 
         known: dict[str, tuple[int, ...]] = {}
-        for given in batches:
+        for given in in_parts(batches):
             votes, found = [], []
             for text in given.column("text").to_pylist():
                 words = set(WORD.findall(text.lower()))
