@@ -3,8 +3,9 @@
 The model is trained on all trusted texts.  Its counts are one table of n-grams of every order:
 raw counts for the longest, numbers of different left neighbours below, three discounts per
 order, and the weight each context gives to the next shorter one.  Documents are dealt to blocks
-of bounded size; a block asks the table only for its own different n-grams, so the join carries
-distinct n-grams and the texts move once.
+of bounded size by their id, packed and compressed on the way; a block meets the trusted ids to
+count its n-grams, and asks the table only for its own different n-grams to score them, so the
+joins carry distinct n-grams and never texts.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 
 from panelry.llm.common import in_parts, whole_text, written
 
-ORDER = 5
+ORDER = 4
 START, END = "\x02", "\x03"
-BLOCK_CHARS = 2 << 20
+BLOCK_CHARS = 3 << 20
+PACKED = 24 << 20
 
 
 def padded(text: str, order: int) -> str:
@@ -47,24 +49,61 @@ def windows(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.nda
     return grams, number, lengths - order + 1
 
 
+def packed(batches):
+    """Texts of one batch and block as one compressed Arrow stream."""
+    import pyarrow as pa
+
+    for given in in_parts(batches, chars=PACKED):
+        blocks = given.column("block").to_numpy(zero_copy_only=False)
+        order = np.argsort(blocks, kind="stable")
+        names, first = np.unique(blocks[order], return_index=True)
+        rows = given.take(pa.array(order)).select(["doc_id", "lang", "text"])
+        data = []
+        for low, high in zip(first, [*first[1:], len(order)]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                # a copy of the slice alone, or its neighbours would be written too
+                out.write_batch(rows.take(pa.array(np.arange(low, high))))
+            data.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+
+
+def unpacked(group):
+    import pyarrow as pa
+
+    return pa.concat_tables(pa.ipc.open_stream(d).read_all() for d in group["data"])
+
+
+def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    return docs.withColumn("block", block_of(blocks)).mapInArrow(packed, "block int, data binary")
+
+
+def block_of(blocks: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+
+
 def count_grams(order: int):
-    def run(batches):
-        import pyarrow as pa
+    """n-gram counts of the trusted texts of one block."""
 
-        for given in in_parts(batches, chars=BLOCK_CHARS):
-            grams, number, _ = windows(given.column("text").to_pylist(), order)
-            counts = np.bincount(number, minlength=len(grams))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams, pa.string()), pa.array(counts, pa.int64())], names=["gram", "n"])
+    def run(packs, trusted):
+        import pandas as pd
+
+        if not len(packs) or not len(trusted):
+            return pd.DataFrame({"gram": [], "n": []})
+        table = unpacked(packs)
+        known = set(trusted["doc_id"].tolist())
+        texts = [t for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()) if i in known]
+        grams, number, _ = windows(texts, order)
+        return pd.DataFrame({"gram": grams, "n": np.bincount(number, minlength=len(grams))})
 
     return run
 
 
-def language_model(trusted: DataFrame, order: int = ORDER) -> DataFrame:
+def language_model(packs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """``gram``, ``p``, ``back``: probability of every seen n-gram of every order given what goes
     before its last character, and the weight of shorter n-grams where it is the context."""
-    text = trusted.select(whole_text().alias("text")).where("text <> ''")
-    top = written(text.mapInArrow(count_grams(order), "gram string, n long")
+    top = written(packs.groupBy("block").cogroup(trusted.groupBy("block"))
+                  .applyInPandas(count_grams(order), "gram string, n long")
                   .groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     levels = {order: top}
     for k in range(order - 1, 0, -1):
@@ -111,7 +150,7 @@ def asked(order: int):
     def run(group):
         import pandas as pd
 
-        grams, _, _ = windows(group["text"].to_list(), order)
+        grams, _, _ = windows(unpacked(group)["text"].to_pylist(), order)
         every = {g[k:] for g in grams for k in range(order + 1)} | {g[k:-1] for g in grams for k in range(order)}
         return pd.DataFrame({"block": group["block"].iloc[0], "gram": list(every)})
 
@@ -119,14 +158,15 @@ def asked(order: int):
 
 
 def score(order: int):
-    def run(docs, known):
+    def run(packs, known):
         import pandas as pd
 
-        if not len(docs):
-            return pd.DataFrame({"doc_id": [], "lang": [], "trusted": [], "n_chars": [], "log_p": []})
+        if not len(packs):
+            return pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "log_p": []})
+        docs = unpacked(packs)
         p = dict(zip(known["gram"], known["p"]))
         back = dict(zip(known["gram"], known["back"]))
-        grams, number, lengths = windows(docs["text"].to_list(), order)
+        grams, number, lengths = windows(docs["text"].to_pylist(), order)
 
         def chance(gram):
             weight = 1.0
@@ -139,25 +179,22 @@ def score(order: int):
                 weight *= back.get(gram[:-1], 1.0)
                 gram = gram[1:]
 
-        logs = np.log([chance(g) for g in grams]) if grams else np.zeros(0)
+        logs = np.log([chance(g) for g in grams])
         ends = np.cumsum(lengths)
         total = np.concatenate([[0.0], np.cumsum(logs[number])])
-        sums = total[ends] - total[ends - lengths]
-        return pd.DataFrame({"doc_id": docs["doc_id"].astype("Int64"), "lang": docs["lang"],
-                             "trusted": docs["trusted"], "n_chars": lengths - 1, "log_p": sums / lengths})
+        return pd.DataFrame({
+            "doc_id": pd.array(docs["doc_id"].to_pylist(), "Int64"), "lang": docs["lang"].to_pylist(),
+            "n_chars": lengths - 1, "log_p": (total[ends] - total[ends - lengths]) / lengths})
 
     return run
 
 
-def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """``doc_id``, ``lang``, ``trusted``, ``n_chars``, ``log_p`` (mean natural log per character)."""
-    chars = docs.agg(F.sum(F.length("text") + order).alias("c")).first()["c"] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("text", "doc_id"), F.lit(blocks)).cast("int"))
-    wanted = dealt.groupBy("block").applyInPandas(asked(order), "block int, gram string")
+def perplexities(packs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """``doc_id``, ``lang``, ``n_chars``, ``log_p`` (mean natural log per character)."""
+    wanted = packs.groupBy("block").applyInPandas(asked(order), "block int, gram string")
     known = wanted.join(model, "gram")
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
-        score(order), "doc_id long, lang string, trusted boolean, n_chars long, log_p double")
+    return packs.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+        score(order), "doc_id long, lang string, n_chars long, log_p double")
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = ORDER) -> DataFrame:
@@ -170,17 +207,19 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order:
     Repeated rows are scored alike, further columns are ignored, an empty table gives an empty
     result.
     """
-    known = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("is", F.lit(True))
+    known = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
     plain = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), whole_text().alias("text"))
-    marked = plain.join(known, "doc_id", "left").select(
-        "doc_id", "lang", "text", F.coalesce("is", F.lit(False)).alias("trusted"))
-    model = language_model(marked.where("trusted"), order)
-    trained = not model.isEmpty()
-    scored = written(perplexities(marked.where("text <> ''"), model, order), "scores") if trained else None
+    chars = plain.agg(F.sum(F.length("text") + order).alias("c")).first()["c"] or 0
+    blocks = max(1, -(-chars // BLOCK_CHARS))
+    packs = in_blocks(plain.where("text <> ''"), blocks)
+    model = language_model(packs, known.withColumn("block", block_of(blocks)), order)
+    trained = not model.where("gram <> ''").isEmpty()
     if not trained:
         nothing = F.lit(None).cast("double")
         return plain.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), nothing.alias("perplexity"),
                             nothing.alias("threshold"), (F.col("text") != "").alias("kept"))
+    scored = written(perplexities(packs, model, order), "scores").join(
+        known.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
     limit = F.percentile_approx("log_p", 1 - quantile, 10_000)
     of_language = scored.where("trusted").groupBy("lang").agg(limit.alias("own_limit"))
     of_all = scored.where("trusted").agg(limit.alias("limit")).first()["limit"]
