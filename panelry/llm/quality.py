@@ -14,12 +14,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import in_parts, whole_text, written
+from panelry.llm.common import crc_bucket, in_parts, whole_text, written
 
 ORDER = 4
 START, END = "\x02", "\x03"
 BLOCK_CHARS = 3 << 20
 PACKED = 24 << 20
+FOLDS = 5
 
 
 def padded(text: str, order: int) -> str:
@@ -89,12 +90,12 @@ def count_grams(order: int):
         import pandas as pd
 
         if not len(packs) or not len(trusted):
-            return pd.DataFrame({"gram": [], "n": []})
+            return pd.DataFrame({"gram": pd.Series([], dtype=object), "n": pd.Series([], dtype="int64")})
         table = unpacked(packs)
         known = set(trusted["doc_id"].tolist())
         texts = [t for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist()) if i in known]
         grams, number, _ = windows(texts, order)
-        return pd.DataFrame({"gram": grams, "n": np.bincount(number, minlength=len(grams))})
+        return pd.DataFrame({"gram": pd.Series(grams, dtype=object), "n": np.bincount(number, minlength=len(grams))})
 
     return run
 
@@ -152,7 +153,7 @@ def asked(order: int):
 
         grams, _, _ = windows(unpacked(group)["text"].to_pylist(), order)
         every = {g[k:] for g in grams for k in range(order + 1)} | {g[k:-1] for g in grams for k in range(order)}
-        return pd.DataFrame({"block": group["block"].iloc[0], "gram": list(every)})
+        return pd.DataFrame({"block": group["block"].iloc[0], "gram": pd.Series(list(every), dtype=object)})
 
     return run
 
@@ -162,7 +163,8 @@ def score(order: int):
         import pandas as pd
 
         if not len(packs):
-            return pd.DataFrame({"doc_id": [], "lang": [], "n_chars": [], "log_p": []})
+            return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "lang": pd.Series([], dtype=object),
+                                 "n_chars": pd.Series([], dtype="int64"), "log_p": pd.Series([], dtype=float)})
         docs = unpacked(packs)
         p = dict(zip(known["gram"], known["p"]))
         back = dict(zip(known["gram"], known["back"]))
@@ -183,7 +185,7 @@ def score(order: int):
         ends = np.cumsum(lengths)
         total = np.concatenate([[0.0], np.cumsum(logs[number])])
         return pd.DataFrame({
-            "doc_id": pd.array(docs["doc_id"].to_pylist(), "Int64"), "lang": docs["lang"].to_pylist(),
+            "doc_id": pd.array(docs["doc_id"].to_pylist(), "Int64"), "lang": pd.Series(docs["lang"].to_pylist(), dtype=object),
             "n_chars": lengths - 1, "log_p": (total[ends] - total[ends - lengths]) / lengths})
 
     return run
@@ -200,9 +202,10 @@ def perplexities(packs: DataFrame, model: DataFrame, order: int = ORDER) -> Data
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order: int = ORDER) -> DataFrame:
     """One row per document: ``doc_id``, ``lang``, ``n_chars``, ``perplexity``, ``threshold``, ``kept``.
 
-    Trusted texts are those labelled quality 1.  A document is kept if its perplexity is at most
-    that ``quantile`` of the trusted texts of its language (of all trusted texts where the
-    language has none).  Null and empty texts have no perplexity and are not kept; without any
+    Trusted texts are those labelled quality 1.  The model counts those whose crc32(doc_id) mod
+    ``FOLDS`` is not 0; the others, which it has not seen, set the thresholds (all trusted texts,
+    if there are no others).  A document is kept if its perplexity is at most that ``quantile`` of
+    these texts of its language (of all of them where the language has none).  Null and empty texts have no perplexity and are not kept; without any
     trusted text nothing can be judged and all other documents are kept, perplexity null.
     Repeated rows are scored alike, further columns are ignored, an empty table gives an empty
     result.
@@ -212,7 +215,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order:
     chars = plain.agg(F.sum(F.length("text") + order).alias("c")).first()["c"] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     packs = in_blocks(plain.where("text <> ''"), blocks)
-    model = language_model(packs, known.withColumn("block", block_of(blocks)), order)
+    fold = crc_bucket("doc_id", FOLDS)
+    model = language_model(packs, known.where(fold != 0).withColumn("block", block_of(blocks)), order)
     trained = not model.where("gram <> ''").isEmpty()
     if not trained:
         nothing = F.lit(None).cast("double")
@@ -220,9 +224,13 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order:
                             nothing.alias("threshold"), (F.col("text") != "").alias("kept"))
     scored = written(perplexities(packs, model, order), "scores").join(
         known.withColumn("trusted", F.lit(True)), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+    unseen = scored.where(F.col("trusted") & (fold == 0))
     limit = F.percentile_approx("log_p", 1 - quantile, 10_000)
-    of_language = scored.where("trusted").groupBy("lang").agg(limit.alias("own_limit"))
-    of_all = scored.where("trusted").agg(limit.alias("limit")).first()["limit"]
+    of_all = unseen.agg(limit.alias("limit")).first()["limit"]
+    if of_all is None:
+        unseen = scored.where("trusted")
+        of_all = unseen.agg(limit.alias("limit")).first()["limit"]
+    of_language = unseen.groupBy("lang").agg(limit.alias("own_limit"))
     bound = F.coalesce("own_limit", F.lit(of_all))
     named = of_language.withColumnRenamed("lang", "of_lang")
     judged = scored.join(named, F.col("lang").eqNullSafe(F.col("of_lang")), "left").select(
