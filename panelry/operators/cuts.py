@@ -85,7 +85,7 @@ def _parameter(query: Column, key: str) -> Column:
         F.split(query, "&"), lambda p: p.startswith(f"{key}=") & (F.length(p) > len(key) + 1)
     )
     last = F.when(F.size(values) > 0, F.element_at(values, -1))
-    return F.try_url_decode(F.substring(last, len(key) + 2, 1 << 20))
+    return F.try_url_decode(F.regexp_replace(last, f"^{key}=", ""))
 
 
 def parse_addresses(df: DataFrame, url: str = "url") -> DataFrame:

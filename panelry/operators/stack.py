@@ -164,13 +164,14 @@ def upsert_by_key(
 ) -> DataFrame:
     """Rows of ``existing`` whose key is not updated, plus the updates.
 
-    ``newest`` orders updates that share a key, of which the last one counts.
+    Of updates that share a key one counts: the last by ``newest``, and among
+    its ties, or without it, the largest row in the order of the columns.
     Null keys are equal to each other.
     """
     keys = as_list(keys)
-    if newest is not None:
-        chosen = F.max_by(F.struct(*map(quote, updates.columns)), name(newest)).alias("__row")
-        updates = updates.groupBy(*keys).agg(chosen).select("__row.*")
+    row = F.struct(*map(quote, updates.columns))
+    order = row if newest is None else F.struct(name(newest), row)
+    updates = updates.groupBy(*keys).agg(F.max_by(row, order).alias("__row")).select("__row.*")
     touched = updates.select(*[name(k).alias(f"__{k}") for k in keys]).distinct()
     same = reduce(
         Column.__and__, [existing[k].eqNullSafe(touched[f"__{k}"]) for k in keys]

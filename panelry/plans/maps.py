@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,8 @@ from panelry.operators.cuts import cut_of, parse_cuts
 from panelry.operators.dictionary import describe_variable
 from panelry.sources.tables import write_area_table, write_geojson_features
 
-# A list of maps is written by people.  Longer ones are refused, because the
-# plan of the shared aggregation grows with the list.
-MAX_MAPS = 2_000
+# Maps of one shared aggregation, whose plan grows with them; longer lists take several.
+MAPS_PER_SCAN = 100
 
 
 @dataclass(frozen=True)
@@ -68,9 +68,7 @@ def resolve(
 def resolve_all(catalog: DataFrame, queries: DataFrame, line: str = "linha") -> list[MapSpec]:
     """Check a list of saved queries; any that cannot be answered is an error."""
     parsed = parse_cuts(queries, line)
-    rows = parsed.limit(MAX_MAPS + 1).collect()
-    if len(rows) > MAX_MAPS:
-        raise InvalidQuery(f"more than {MAX_MAPS} maps in one list")
+    rows = parsed.collect()
     wrong = [f"{row[line]!r}: {row.erro}" for row in rows if row.erro]
     if wrong:
         raise InvalidQuery("; ".join(wrong))
@@ -93,7 +91,18 @@ def resolve_all(catalog: DataFrame, queries: DataFrame, line: str = "linha") ->
                 int(category) if category else None,
             )
         )
-    return with_slugs(catalog, specs)
+    return check_distinct(with_slugs(catalog, specs))
+
+
+def check_distinct(specs: Sequence[MapSpec]) -> list[MapSpec]:
+    """Refuse lists in which two maps would take one name, and so one folder."""
+    by_slug: dict[str, list[MapSpec]] = {}
+    for spec in specs:
+        by_slug.setdefault(spec.slug, []).append(spec)
+    same = [slug for slug, found in by_slug.items() if len(set(found)) > 1]
+    if same:
+        raise InvalidQuery(f"different maps of one name: {', '.join(sorted(same))}")
+    return [found[0] for found in by_slug.values()]
 
 
 def with_slugs(frame: DataFrame, specs: Sequence[MapSpec]) -> list[MapSpec]:
@@ -149,7 +158,10 @@ def build_map(
 
 def area_tables(panel: DataFrame, specs: Sequence[MapSpec], year: str = fixed.YEAR) -> DataFrame:
     """``(slug, ano, codarea, nome, valor, escolas)`` of every map, in one scan."""
-    specs = list({spec.slug: spec for spec in specs}.values())
+    specs = check_distinct(specs)
+    if len(specs) > MAPS_PER_SCAN:
+        parts = [specs[i : i + MAPS_PER_SCAN] for i in range(0, len(specs), MAPS_PER_SCAN)]
+        return reduce(DataFrame.unionByName, [area_tables(panel, part, year) for part in parts])
     levels = sorted({spec.cut.column for spec in specs})
     require(panel, levels)
     rows = panel_rows(panel, sorted({y for s in specs for y in s.years}), year=year)
@@ -258,8 +270,7 @@ def meshes_of(meshes: DataFrame, specs: Sequence[MapSpec]) -> DataFrame:
         {"slug": "string", "malha": "string"},
         sorted({(s.slug, s.cut.mesh) for s in specs}),
     )
-    # At most MAX_MAPS rows.
-    return meshes.join(F.broadcast(pairs), "malha").drop("malha")
+    return meshes.join(pairs, "malha").drop("malha")
 
 
 def build_all_maps(
