@@ -1,14 +1,17 @@
 """Toxicity by weak supervision: voters, a label model over them, a linear classifier.
 
-1. Lexicon terms (words and word beginnings) that occur in toxic documents far more often than
-   chance are taken from a bounded sample of labelled rows outside the held-out fold.
+1. Lexicon terms (words, word beginnings, and beginnings that two or three different words share,
+   as a syllable that is harmless once may tell when it comes back) that occur in toxic documents
+   far more often than chance are taken from a bounded sample of labelled rows outside the
+   held-out fold.
 2. Families of terms and text patterns are the voters; one pass over the whole texts gives the
    votes and term hits of every document.
 3. A log-linear label model of the votes and the hidden label, with pairwise terms for correlated
    voters, is fitted by expectation maximisation on the counts of vote patterns.  The label is
    hidden but for the labelled rows, which anchor the two classes.  There are 2^voters patterns
    however many documents, so its sums are exact.
-4. Logistic regression learns the posterior labels from term hits and patterns; it scores all.
+4. Logistic regression learns the posterior labels (given votes, and the label where it is known)
+   from term hits and patterns; it scores all.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from panelry.llm.common import WORD, crc_bucket, fraction, in_parts, labelled_sample, whole_text, written
 
 PREFIXES = (4, 5, 6, 7, 8)
+REPEATS = (2, 3)
 LEXICON_VOTERS = 10
 PATTERNS = (re.compile(r"[!?]{2,}"), re.compile(r"\b[^\W\d_a-z]{4,}\b"))
 VOTERS = LEXICON_VOTERS + len(PATTERNS)
@@ -36,6 +40,14 @@ def terms_of(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
 
 
+def repeated(words: set[str]) -> list[str]:
+    """Beginnings that several different words share, as ``2beginning`` and ``3beginning``."""
+    from collections import Counter
+
+    shared = Counter(word[:n] for word in words for n in PREFIXES if len(word) > n)
+    return [f"{k}{stem}" for stem, n in shared.items() for k in REPEATS if n >= k]
+
+
 def term_counts(batches):
     """Documents with each term, by label, summed within the batch."""
     from collections import Counter
@@ -47,6 +59,7 @@ def term_counts(batches):
         for text, toxic in zip(given.column("text").to_pylist(), given.column("toxic").to_pylist()):
             words = set(WORD.findall(text.lower()))
             counts[toxic].update({t for w in words for t in terms_of(w)})
+            counts[toxic].update(repeated(words))
         terms = list(counts[0] | counts[1])
         yield pa.RecordBatch.from_arrays(
             [pa.array(terms, pa.string()), pa.array([counts[1][t] for t in terms], pa.int64()),
@@ -77,28 +90,33 @@ def lexicon(sample: DataFrame, terms: int) -> tuple[list[str], list[int], float]
     family: dict[str, int] = {}
     families = itertools.count()
     for term in sorted(chosen, key=len):
-        stem = next((family["^" + term[1:n + 1]] for n in PREFIXES if "^" + term[1:n + 1] in family), None)
-        family[term] = stem if stem is not None else next(families) % LEXICON_VOTERS
-    return chosen, [family[t] for t in chosen], base
+        own = next((family[term[1:n + 1]] for n in PREFIXES if term[1:n + 1] in family), None)
+        family.setdefault(term[1:], own if own is not None else next(families) % LEXICON_VOTERS)
+    return chosen, [family[t[1:]] for t in chosen], base
 
 
 def hits(terms: list[str], voter: list[int]):
     """Votes and term hits of every document from its whole text."""
     index = {t: i for i, t in enumerate(terms)}
+    stems = {t[1:] for t in terms if t[0] not in "=^"}
 
     def run(batches):
         import pyarrow as pa
 
         known: dict[str, tuple[int, ...]] = {}
+        alike: dict[str, bool] = {}
         for given in in_parts(batches):
             votes, found = [], []
             for text in given.column("text").to_pylist():
                 words = set(WORD.findall(text.lower()))
                 if len(known) > 1 << 20:
                     known.clear()
+                    alike.clear()
                 for word in words.difference(known):
                     known[word] = tuple(index[t] for t in terms_of(word) if t in index)
-                own = sorted({i for word in words for i in known[word]})
+                    alike[word] = any(len(word) > n and word[:n] in stems for n in PREFIXES)
+                again = (index.get(t) for t in repeated({word for word in words if alike[word]}))
+                own = sorted({i for word in words for i in known[word]}.union(i for i in again if i is not None))
                 mask = 0
                 for i in own:
                     mask |= 1 << voter[i]
@@ -214,13 +232,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, term
     train = found.where("NOT held_out")
     counts = np.zeros((3, 1 << VOTERS))
     told = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    patterns = train.join(told, "doc_id", "left").groupBy("votes", F.coalesce("toxic", F.lit(2)).alias("label")).count()
+    train = train.join(told, "doc_id", "left").withColumn("label", F.coalesce("toxic", F.lit(2)))
+    patterns = train.groupBy("votes", "label").count()
     for row in patterns.collect():  # at most 3 * 2^VOTERS rows
         counts[row["label"], row["votes"]] = row["count"]
     model = LabelModel(VOTERS, base).fit(counts[2], counts[:2])
     size = len(chosen) + len(PATTERNS)
     vector = F.udf(lambda own: SparseVector(size, own, [1.0] * len(own)), VectorUDT())
-    posterior = F.element_at(F.lit([float(x) for x in model.posterior()]), F.col("votes") + 1)
+    # where the label is known it is the posterior, as in the fit of the label model
+    posterior = F.coalesce(F.col("toxic").cast("double"), F.element_at(
+        F.lit([float(x) for x in model.posterior()]), F.col("votes") + 1))
     share = min(1.0, sample_rows / max(1.0, counts.sum()))
     soft = train.where(fraction("doc_id", 23) < share).select(vector("hits").alias("features"), posterior.alias("q"))
     both = soft.select("features", F.explode(F.array(
