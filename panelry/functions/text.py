@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -26,9 +27,11 @@ def fold_literal(text: str) -> str:
 
 
 def _ascii_table() -> tuple[dict[str, str], dict[str, str]]:
-    """Letters and signs up to U+024F whose compatibility form is ASCII."""
+    """Letters and signs whose compatibility form holds ASCII characters."""
     single, several = {}, {}
-    for code in range(0xA0, 0x250):
+    for code in range(0xA0, sys.maxunicode + 1):
+        if 0xAC00 <= code < 0xF900:  # syllables, surrogates and private use have none
+            continue
         char = chr(code)
         plain = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
         if len(plain) == 1:
@@ -44,9 +47,11 @@ _SINGLE, _SEVERAL = _ascii_table()
 def to_ascii(col: Column) -> Column:
     """Drop accents; characters without an ASCII form disappear."""
     out = F.translate(col, "".join(_SINGLE), "".join(_SINGLE.values()))
-    for char, plain in _SEVERAL.items():
-        out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    # ligatures, enclosed numbers and the like are rare: only texts that hold any are taken apart
+    known = F.str_to_map(F.lit("\x1e".join(f"{a}\x1f{b}" for a, b in _SEVERAL.items())), F.lit("\x1e"), F.lit("\x1f"))
+    apart = F.array_join(F.transform(
+        F.split(out, ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(known[c], F.lit("")))), "")
+    return F.when(out.rlike(r"[^\x00-\x7F]"), apart).otherwise(out)
 
 
 def slug(*parts: Column) -> Column:

@@ -411,10 +411,8 @@ def quantile_classes(
 
 def class_ranges(breaks: DataFrame, by: str = "ano") -> DataFrame:
     """Legend: lower and upper limit of each class; the last one is open."""
-    return breaks.select(by, F.posexplode(F.concat(F.array(F.lit(0.0)), "cortes"))).select(
-        by,
-        F.col("pos").alias("classe"),
-        F.col("col").alias("de"),
-    ).join(
-        breaks.select(by, F.posexplode("cortes").alias("classe", "ate")), [by, "classe"], "left"
+    lower = F.concat(F.array(F.lit(0.0)), "cortes")
+    limits = F.arrays_zip(lower.alias("de"), F.col("cortes").alias("ate"))
+    return breaks.select(by, F.posexplode(limits).alias("classe", "limites")).select(
+        by, "classe", "limites.de", "limites.ate"
     )

@@ -91,11 +91,12 @@ def numbers_where_lossless(df: DataFrame) -> DataFrame:
     if not text_columns:
         return df
     value = F.col("valor")
-    plain = F.replace(value, F.lit(","), F.lit("."))
-    number = types.number(plain)
+    plain, number = F.col("ponto"), F.col("numero")
     tests = (
         explode_cells(df, text_columns)
         .filter(value.isNotNull())
+        .withColumn("ponto", F.replace(value, F.lit(","), F.lit(".")))
+        .withColumn("numero", types.number(plain))
         .groupBy("posicao")
         .agg(
             (

@@ -84,8 +84,9 @@ def stack_editions(
         if column in plan:
             continue
         found = [df.schema[column].dataType for df in frames if column in df.columns]
-        if len(set(found)) == 1:
-            kept[column] = found[0]
+        wide = _one_family(found)
+        if wide is not None:
+            kept[column] = wide
         else:
             plan[column] = types.promote_names(map(types.lattice_type, found))
     if year in order:
@@ -94,6 +95,26 @@ def stack_editions(
     return reduce(DataFrame.unionAll, [_typed(df, order, plan, kept) for df in frames])
 
 
+def _one_family(found: Sequence[T.DataType]) -> T.DataType | None:
+    """The type that holds all values where the types are alike: one type, exact
+    numbers with a decimal among them, or dates and timestamps."""
+    if len(set(found)) == 1:
+        return found[0]
+    digits = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+    if any(isinstance(t, T.DecimalType) for t in found):
+        exact = [
+            (t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (digits.get(type(t)), 0)
+            for t in found
+        ]
+        if any(whole is None for whole, _ in exact):
+            return None
+        whole, scale = (max(part) for part in zip(*exact, strict=True))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+    if all(isinstance(t, (T.DateType, T.TimestampType)) for t in found):
+        return T.TimestampType()
+    return None
+
+
 def _typed(
     df: DataFrame,
     order: Sequence[str],
@@ -104,6 +125,8 @@ def _typed(
     cast = types.cast_columns(df, targets)
 
     def column(c: str) -> str:
+        if c in df.columns and c in kept and df.schema[c].dataType != kept[c]:
+            return f"CAST({quote(c)} AS {kept[c].simpleString()}) AS {quote(c)}"
         if c in df.columns:
             return quote(c)
         absent = kept[c].simpleString() if c in kept else fixed.SPARK_TYPE[targets[c]]
