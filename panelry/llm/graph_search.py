@@ -4,7 +4,9 @@ Vectors are dealt to shards of bounded size by content.  In a shard, points ente
 growing batches: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps
 a candidate only if no kept one is ``ALPHA`` times nearer to it than the point is, so edges point
 in different directions.  Every query then runs a beam search in every shard, and the shards'
-best are merged.  Scores of what the searches found are exact cosines in double precision.
+best are merged.  Queries are dealt to blocks of bounded size, and a task holds one shard and one
+block; the graph of a shard is built again for each block, which costs less than searching it.
+Scores of what the searches found are exact cosines in double precision.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
 BATCH = 256
+QUERIES = 8192
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -152,15 +155,16 @@ def usable(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD, beam: int = BEAM,
+            block: int = QUERIES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found by cosine.
 
     Queries are the rows whose id is divisible by ``every``; all rows are indexed, a row is not
     its own neighbour.  Ties go to the smaller id.  Null, zero and non-finite vectors and rows
     without an id take no part; vectors of another length than most are searched among their
     kind.  Equal vectors are one point that keeps its ``k + 1`` smallest ids, which are all that
-    can be among the ``k`` nearest.  A repeated id counts once per different vector.  Further
-    columns are ignored, an empty table gives an empty result.
+    can be among the ``k`` nearest.  A repeated id is one query and one neighbour, by the
+    nearest of its vectors.  Further columns are ignored, an empty table gives an empty result.
     """
     rows = usable(vectors)
     shards = max(1, -(-rows.count() // shard))
@@ -168,11 +172,17 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD,
     few = rows.distinct().withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
     points = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")) \
         .withColumn("size", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0).distinct().select(
+    asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    blocks = max(1, -(-asked.count() // block))
+    points = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = asked.select(
         F.col("vec_id").alias("query_id"), "v", F.size("v").alias("size"),
+        F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    found = points.groupBy("shard", "size").cogroup(queries.groupBy("shard", "size")).applyInPandas(
+    keys = ["shard", "size", "block"]
+    found = points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(
         search_shard(k, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)) \
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(best)) \
         .where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
