@@ -176,7 +176,6 @@ def data_dictionary(
     editions: Mapping[int, DataFrame],
     common_only: bool = True,
     descriptions: DataFrame | None = None,
-    limit_rows: int | None = None,
 ) -> DataFrame:
     """One row per column: what it is and whether it serves a series.
 
@@ -188,7 +187,7 @@ def data_dictionary(
         raise ValueError(f"no column is common to all of the years {years}")
     catalog = edition_catalog(editions)
     target = sorted(common) if common_only else None
-    profiles = profile_editions(editions, target, limit_rows)
+    profiles = profile_editions(editions, target)
     positions = catalog.select("coluna", F.col("ano").alias("__first"), F.col("posicao"))
     out = (
         summarize_profiles(profiles)

@@ -3,17 +3,15 @@
 The cells are exploded to one row each and counted by value, then by column.
 Counting every distinct value would shuffle a wide edition almost whole, but
 the profile reports at most 200 distinct values and 5 examples.  So a small
-sample fixes, per column, a value with at least 201 distinct sample values up
-to it: every larger cell can no longer change the capped count or the examples
+random sample fixes, per column, a value with at least 201 distinct values
+below it: every larger cell can no longer change the capped count or the examples
 and is folded, map side, into one running row of its column.  The sample only
 decides how much is folded; the result is exact for any sample.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,82 +28,74 @@ PROFILE_COLUMNS = (
     "zeros_a_esquerda", "exemplos",
 )
 
-_NUMBER = re.compile(types.NUMBER, re.ASCII)
 _SAMPLE_CELLS = 200_000
+_CUT = 64
+_SEED = 17
 
 
-def profile(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    ano: int = 0,
-    limit_rows: int | None = None,
-) -> DataFrame:
-    """Profile of one edition, one row per column.
-
-    ``limit_rows`` profiles only some rows and gives unreliable types, since
-    edition files are ordered by state; the default scans everything.
-    """
-    return profile_editions({ano: df}, columns, limit_rows)
+def profile(df: DataFrame, columns: Sequence[str] | None = None, ano: int = 0) -> DataFrame:
+    """Profile of one edition, one row per column."""
+    return profile_editions({ano: df}, columns)
 
 
 def profile_editions(
-    editions: Mapping[int, DataFrame],
-    columns: Sequence[str] | None = None,
-    limit_rows: int | None = None,
+    editions: Mapping[int, DataFrame], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Profile of several editions: the cells of all of them in one aggregation."""
-    return _described(editions, columns, limit_rows).select(*PROFILE_COLUMNS)
-
-
-def _described(
-    editions: Mapping[int, DataFrame],
-    columns: Sequence[str] | None,
-    limit_rows: int | None,
-) -> DataFrame:
     scanned = {}
     for year, df in sorted(editions.items()):
         wanted = [c for c in (columns if columns is not None else df.columns) if c in df.columns]
         if not wanted:
             raise MissingColumns(f"none of the requested columns exists in {year}")
-        selected = df.select(*map(quote, wanted))
-        scanned[int(year)] = selected if limit_rows is None else selected.limit(limit_rows)
-
-    spark = next(iter(scanned.values())).sparkSession
-    catalog = local_frame(
-        spark,
-        {"ano": "int", "coluna": "string", "posicao": "int"},
-        [(y, c, i) for y, df in scanned.items() for i, c in enumerate(df.columns)],
-    )
-    # A row limit may pick other rows than the sample would, so nothing folds.
-    bounds = _fold_bounds(scanned) if limit_rows is None else {}
+        scanned[int(year)] = df.select(*map(quote, wanted))
+    bounds = _fold_bounds(scanned)
     cells = reduce(
         DataFrame.unionAll,
         [_bounded_cells(df, year, bounds) for year, df in scanned.items()],
     )
-    return _describe(catalog, _count_values(cells))
+    return _describe(_catalog(scanned), _count_values(cells)).select(*PROFILE_COLUMNS)
+
+
+def _catalog(editions: Mapping[int, DataFrame]) -> DataFrame:
+    return local_frame(
+        next(iter(editions.values())).sparkSession,
+        {"ano": "int", "coluna": "string", "posicao": "int"},
+        [(y, c, i) for y, df in editions.items() for i, c in enumerate(df.columns)],
+    )
 
 
 def _fold_bounds(
     editions: Mapping[int, DataFrame],
 ) -> dict[tuple[int, str], tuple[str | None, bool]]:
-    """Per column: the value above which cells fold, and whether it surely holds text."""
+    """Per column: the value above which cells fold, and whether it surely holds text.
 
-    def of_edition(item: tuple[int, DataFrame]) -> dict:
-        year, df = item
+    The rows are drawn at random and their values cut short on the executors;
+    one short text per column reaches the driver.  Any value whose cut lies
+    below the bound lies below it itself, so a cut is as good a bound.
+    """
+    counts = reduce(DataFrame.unionAll, [
+        df.select(F.lit(year).alias("ano")).groupBy("ano").count() for year, df in editions.items()
+    ])
+    sizes = {row["ano"]: row["count"] for row in counts.collect()}
+    cells = []
+    for year, df in editions.items():
         rows = min(20_000, max(2_000, _SAMPLE_CELLS // len(df.columns)))
-        sample = df.selectExpr(*[f"CAST({quote(c)} AS STRING)" for c in df.columns])
-        table = sample.limit(rows).toArrow()
-        out = {}
-        for column, data in zip(df.columns, table.columns, strict=True):
-            values = set(data.unique().to_pylist()) - {None, *fixed.NA_TOKENS}
-            cap = fixed.DISTINCT_CAP
-            limit = sorted(values)[cap] if len(values) > cap else None
-            out[year, column] = (limit, not all(map(_NUMBER.match, values)))
-        return out
-
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        found = pool.map(of_edition, editions.items())
-        return {key: bound for bounds in found for key, bound in bounds.items()}
+        drawn = df.sample(min(1.0, rows / max(1, sizes.get(year, 0))), seed=_SEED)
+        cells.append(explode_cells(drawn, df.columns).selectExpr(
+            f"CAST({year} AS INT) AS ano", "posicao",
+            f"{types.blank_to_null_text('valor')} AS valor",
+        ))
+    value = F.col("valor")
+    cuts = F.sort_array(F.collect_set(F.substring(value, 1, _CUT)))
+    found = reduce(DataFrame.unionAll, cells).groupBy("ano", "posicao").agg(
+        F.get(cuts, fixed.DISTINCT_CAP + 1).alias("limite"),
+        F.coalesce(F.bool_or(value.isNotNull() & types.number(value).isNull()), F.lit(False))
+        .alias("textual"),
+    )
+    return {
+        (row.ano, editions[row.ano].columns[row.posicao]): (row.limite, row.textual)
+        for row in found.collect()
+    }
 
 
 def _bounded_cells(df: DataFrame, year: int, bounds: Mapping) -> DataFrame:
@@ -276,11 +266,27 @@ def observed_types(
 ) -> dict[str, str]:
     """Narrowest type of each column; the plan it returns is one entry per column.
 
-    Leading zeros make an identifier of a code, not of a count or a flag.
+    Leading zeros make an identifier of a code, not of a count or a flag.  A
+    type needs no distinct values, so this is one small row per column and task.
     """
-    if not columns:
+    wanted = [c for c in columns if c in df.columns]
+    if not wanted:
         return {}
-    described = _described({0: df}, columns, None)
+    value, parsed = F.col("valor"), F.col("numero")
+    measured = (
+        explode_cells(df, wanted)
+        .selectExpr("0 AS ano", "posicao", f"{types.blank_to_null_text('valor')} AS valor")
+        .withColumn("numero", types.number(value))
+        .groupBy("ano", "posicao")
+        .agg(
+            F.count(F.lit(1)).alias("n_linhas"),
+            F.count("valor").alias("preenchidos"),
+            *_measures(value, parsed),
+        )
+        .withColumns({"distintos": F.lit(0), "menores": F.array()})
+    )
+    described = _report(_catalog({0: df.select(*map(quote, wanted))}).join(
+        measured, ["ano", "posicao"], "left"))
     rows = described.select("coluna", "dtype_dados", "dtype_numerico").collect()
     return {
         row.coluna: row.dtype_dados

@@ -156,10 +156,26 @@ def test_profile_scans_its_source_once(spark, tmp_path):
     assert "WindowGroupLimit" in final
 
 
-def test_limit_rows(spark, by):
-    df = spark.range(1000).select(F.col("id").cast("string").alias("CO_A")).coalesce(1)
-    got = by(p.profile(df, limit_rows=10), "coluna")
-    assert got["CO_A"]["n_linhas"] == 10 and got["CO_A"]["n_distintos"] == 10
+def test_long_cells_stay_off_the_driver(spark, by):
+    """20 000 texts of 80 KB, more than a driver takes at once; beginnings alike past the cut."""
+    df = spark.range(0, 20_000, 1, 16).select(
+        F.concat(F.repeat(F.lit("x"), 80_000), F.lpad(F.col("id").cast("string"), 5, "0")).alias("NO_A"),
+        F.concat(F.lpad(F.col("id").cast("string"), 5, "0"), F.repeat(F.lit("y"), 100)).alias("NO_B"),
+    )
+    got = by(p.profile(df, ["NO_B"]), "coluna")["NO_B"]
+    assert (got["n_distintos"], got["contagem_exata"], got["largura_max"]) == (200, False, 105)
+    assert got["exemplos"].startswith("00000y") and got["n_linhas"] == 20_000
+    long = by(p.profile(df.withColumn("NO_A", F.concat("NO_B", "NO_A")), ["NO_A"]), "coluna")["NO_A"]
+    assert (long["n_distintos"], long["largura_max"], long["dtype_dados"]) == (200, 80_110, "string")
+
+
+def test_column_constant_in_its_first_rows(spark, by):
+    df = spark.range(0, 30_000, 1, 3).select(
+        F.when(F.col("id") < 20_000, 7).otherwise(F.col("id")).cast("string").alias("CO_A"))
+    got = by(p.profile(df), "coluna")["CO_A"]
+    assert (got["n_distintos"], got["contagem_exata"], got["n_linhas"]) == (200, False, 30_000)
+    assert (got["minimo"], got["maximo"], got["exemplos"]) == (
+        7.0, 29_999.0, "20000, 20001, 20002, 20003, 20004")
 
 
 def test_types_by_year_and_promotion(editions, by):
