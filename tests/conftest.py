@@ -21,12 +21,13 @@ def spark():
 @pytest.fixture(scope="session")
 def units(spark):
     rows = [
-        (2023, 1, "MG", 3106200, "Belo Horizonte", 3, 1, 500, 30, 1, 0),
-        (2023, 2, "MG", 3106200, "Belo Horizonte", 2, 1, 300, 20, 1, 1),
-        (2023, 3, "MG", 3170206, "Uberlândia", 4, 1, 250, 15, 1, 1),
-        (2023, 4, "SP", 3550308, "São Paulo", 2, 1, 900, 60, 1, 1),
-        (2023, 5, "SP", 3550308, "São Paulo", 4, 2, 120, 10, 0, 0),
-        (2023, 6, "BA", 2927408, "Salvador", 3, 1, 400, 25, None, 0),
+        (2015, 101, "PE", 2611606, "Recife", 2, 1, 610, 41, 1, 1),
+        (2015, 102, "PE", 2611606, "Recife", 3, 1, 75, 6, 0, 1),
+        (2015, 103, "PE", 2604106, "Caruaru", 3, 2, 140, 9, None, 1),
+        (2015, 104, "PE", 2604106, "Caruaru", 4, 1, 210, 14, 1, 0),
+        (2015, 105, "RS", 4314902, "Porto Alegre", 2, 1, 1300, 88, 1, 1),
+        (2015, 106, "RS", 4314902, "Porto Alegre", 4, 1, 330, 27, 0, None),
+        (2015, 107, "GO", 5208707, "Goiânia", 4, 1, 95, 11, None, None),
     ]
     return spark.createDataFrame(
         rows,
@@ -36,15 +37,17 @@ def units(spark):
     )
 
 
+# One column goes, one comes, one code turns to letters, one count outgrows its type.
+_ALWAYS = "CO_ENTIDADE;NU_ANO_CENSO;IN_BIBLIOTECA;CO_ORGAO_REGIONAL;TP_DEPENDENCIA"
 HEADERS = {
-    2021: "NU_ANO_CENSO;CO_ENTIDADE;TP_DEPENDENCIA;CO_ORGAO_REGIONAL;QT_MAT_BAS;IN_BIBLIOTECA",
-    2022: "NU_ANO_CENSO;CO_ENTIDADE;TP_DEPENDENCIA;CO_ORGAO_REGIONAL;QT_MAT_BAS;IN_BIBLIOTECA",
-    2023: "NU_ANO_CENSO;CO_ENTIDADE;TP_DEPENDENCIA;CO_ORGAO_REGIONAL;IN_BIBLIOTECA;NO_ENTIDADE",
+    2014: _ALWAYS + ";QT_MAT_BAS",
+    2015: "QT_MAT_BAS;" + _ALWAYS,
+    2016: "NO_ENTIDADE;" + _ALWAYS,
 }
 ROWS = {
-    2021: ["2021;11000023;3;11;1200;1", "2021;11000040;4;12;80;0"],
-    2022: ["2022;11000023;3;13;40000;1", "2022;11000040;2;14;500;"],
-    2023: ["2023;11000023;3;0MI11;1;ESCOLA AÇÃO", "2023;11000040;2;0MI12;0;ESCOLA B"],
+    2014: ["52000231;2014;1;7;4;310", "52000202;2014;0;9;2;45", "52000303;2014;1;64;3;2999"],
+    2015: ["70001;52000231;2015;1;5;3", "150;52000404;2015;;6;3", "88;52000303;2015;0;7;2"],
+    2016: ["LICEU SÃO JOÃO;52000231;2016;0;07X;4", "COLÉGIO ÉDEN;52000505;2016;1;08Y;1"],
 }
 
 

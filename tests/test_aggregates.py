@@ -5,7 +5,7 @@ import panelry as p
 
 def test_count_with_share(units):
     rows = p.count_by(units, "SG_UF", share=True).collect()
-    assert [(r.SG_UF, r.escolas) for r in rows] == [("MG", 3), ("SP", 2), ("BA", 1)]
+    assert [(r.SG_UF, r.escolas) for r in rows] == [("PE", 4), ("RS", 2), ("GO", 1)]
     assert sum(r.pct for r in rows) == pytest.approx(1)
 
 
@@ -24,25 +24,24 @@ def test_sum_keeps_null_where_the_overview_shows_zero(spark):
 
 def test_sum_of_default_and_missing_columns(units):
     sums = {r.SG_UF: r.QT_MAT_BAS for r in p.sum_by(units, "SG_UF").collect()}
-    assert sums["SP"] == 1020
+    assert sums["RS"] == 1630
     with pytest.raises(KeyError, match="QT_MAT_"):
         p.sum_by(units.drop("QT_MAT_BAS"), "SG_UF")
 
 
 def test_rates_ignore_nulls(units):
     national = {r.indicador: r.taxa for r in p.rate(units).collect()}
-    assert national == {"IN_INTERNET": pytest.approx(0.8), "IN_BIBLIOTECA": pytest.approx(0.5)}
-    assert [r.indicador for r in p.rate(units).collect()] == ["IN_INTERNET", "IN_BIBLIOTECA"]
+    assert national == {"IN_INTERNET": pytest.approx(0.6), "IN_BIBLIOTECA": pytest.approx(0.8)}
+    assert [r.indicador for r in p.rate(units).collect()] == ["IN_BIBLIOTECA", "IN_INTERNET"]
     grouped = {r.SG_UF: r.IN_INTERNET for r in p.rate_by(units, "SG_UF").collect()}
-    assert grouped == {"MG": 1.0, "SP": 0.5, "BA": None}
+    assert grouped == {"PE": pytest.approx(2 / 3), "RS": 0.5, "GO": None}
 
 
 def test_overview(units):
-    rows = p.overview_by_uf(units).collect()
-    mg = rows[0].asDict()
-    assert mg == {
-        "SG_UF": "MG", "escolas": 3, "matriculas": 1050, "docentes": 65, "regiao": "Sudeste",
-        "matriculas_por_escola": 350.0,
+    rows = {r.SG_UF: r.asDict() for r in p.overview_by_uf(units).collect()}
+    assert rows["PE"] == {
+        "SG_UF": "PE", "escolas": 4, "matriculas": 1035, "docentes": 70, "regiao": "Nordeste",
+        "matriculas_por_escola": 258.75,
     }
     assert "matriculas" not in p.overview_by_uf(units.drop("QT_MAT_BAS")).columns
     with pytest.raises(KeyError):
@@ -50,9 +49,9 @@ def test_overview(units):
 
 
 def test_overview_with_a_region_dimension(spark, units):
-    regions = spark.createDataFrame([("MG", "x"), ("SP", "y")], "SG_UF string, NO_REGIAO string")
+    regions = spark.createDataFrame([("PE", "x"), ("RS", "y")], "SG_UF string, NO_REGIAO string")
     rows = {r.SG_UF: r.regiao for r in p.overview_by_uf(units, regions=regions).collect()}
-    assert rows == {"MG": "x", "SP": "y", "BA": None}
+    assert rows == {"PE": "x", "RS": "y", "GO": None}
 
 
 def test_distribution(units):
@@ -61,7 +60,7 @@ def test_distribution(units):
     table = p.distribution(units, by="SG_UF")
     assert table.columns == ["SG_UF", "Estadual", "Municipal", "Privada"]
     assert {r.SG_UF: r.Municipal for r in table.collect()} == {
-        "BA": 1.0, "MG": pytest.approx(1 / 3), "SP": 0.0,
+        "GO": 0.0, "PE": 0.5, "RS": 0.0,
     }
 
 
@@ -72,24 +71,24 @@ def test_distribution_drops_groups_without_labels(spark):
 
 def test_time_series(spark):
     df = spark.createDataFrame(
-        [(2021, "MG", 10), (2021, "SP", 20), (2023, "MG", 15), (2023, "SP", 25), (2024, "SP", None)],
+        [(2012, "PA", 7), (2012, "CE", 5), (2013, "PA", 9), (2013, "CE", None), (2018, "CE", None)],
         "NU_ANO_CENSO int, SG_UF string, QT_MAT_BAS int",
     )
-    assert [tuple(r) for r in p.time_series(df).collect()] == [(2021, 30), (2023, 40), (2024, None)]
+    assert [tuple(r) for r in p.time_series(df).collect()] == [(2012, 12), (2013, 9), (2018, None)]
     split = {(r[0], r[1]): r[2] for r in p.time_series(df, by="SG_UF").collect()}
-    assert len(split) == 5 and split[(2023, "MG")] == 15
+    assert len(split) == 5 and split[(2013, "PA")] == 9 and split[(2013, "CE")] is None
 
 
 def test_top_areas(units):
     rows = p.top_areas(units, 2).collect()
     assert [(r.NO_MUNICIPIO, r.escolas, r.total) for r in rows] == [
-        ("São Paulo", 2, 1020), ("Belo Horizonte", 2, 800),
+        ("Porto Alegre", 2, 1630), ("Recife", 2, 685),
     ]
 
 
 def test_labels_and_regions(spark, units):
     first = p.label(units).orderBy("CO_ENTIDADE").first()
-    assert (first.DS_DEPENDENCIA, first.TP_DEPENDENCIA) == ("Municipal", 3)
+    assert (first.DS_DEPENDENCIA, first.TP_DEPENDENCIA) == ("Estadual", 2)
     odd = spark.createDataFrame([(9,), (None,)], "TP_LOCALIZACAO int")
     assert [r.DS_LOCALIZACAO for r in p.label(odd).collect()] == [None, None]
     with pytest.raises(KeyError):
@@ -97,7 +96,7 @@ def test_labels_and_regions(spark, units):
     with pytest.raises(KeyError):
         p.label(units, "CO_MUNICIPIO")
     regions = {r.SG_UF: r.NO_REGIAO for r in p.add_region(units).collect()}
-    assert regions["BA"] == "Nordeste"
+    assert regions["GO"] == "Centro-Oeste"
 
 
 def test_share_reuses_the_counts(units):

@@ -9,16 +9,14 @@ from panelry import fixed
 @pytest.mark.parametrize(
     ("file", "matches"),
     [
-        ("microdados_ed_basica_2024.csv", True),
-        ("Tabela_Escola_2025_V2.csv", True),
-        ("Tabela_Escola_2026.csv", True),
-        ("ESCOLAS.CSV", True),
-        ("Tabela_Gestor_Escolar_2025_v2.csv", False),
-        ("Tabela_Matricula_2025_V2.csv", False),
-        ("Tabela_Docente_2025_V2.csv", False),
-        ("Tabela_Turma_2025_V2.csv", False),
-        ("Tabela_Curso_Tecnico_2025_V2.csv", False),
-        ("suplemento_cursos_tecnicos_2024.csv", False),
+        ("microdados_ed_basica_2017.csv", True),
+        ("Tabela_Escola_2031_V4.csv", True),
+        ("Escolas.csv", True),
+        ("Tabela_Escola_2031.xlsx", False),
+        ("Tabela_Turma_2031.csv", False),
+        ("Tabela_Docente_2032_V3.csv", False),
+        ("microdados_superior_2018.csv", False),
+        ("leia_me.csv", False),
     ],
 )
 def test_file_names(spark, file, matches):
@@ -28,20 +26,20 @@ def test_file_names(spark, file, matches):
 
 def test_largest_file_per_year(spark, edition_root):
     listing = spark.createDataFrame(
-        [("/x/m_2023/ESCOLAS.CSV", 5), ("/x/m_2023/d/microdados_ed_basica_2023.csv", 9),
+        [("/x/m_2016/ESCOLAS.CSV", 5), ("/x/m_2016/d/microdados_ed_basica_2016.csv", 9),
          ("/x/m_2024/outro.csv", 99), ("/x/Tabela_Escola_2025.csv", 1)],
         "path string, length bigint",
     )
     found = {r.ano: r.path for r in p.discover_editions(listing).collect()}
-    assert found == {2023: "/x/m_2023/d/microdados_ed_basica_2023.csv", 2025: "/x/Tabela_Escola_2025.csv"}
+    assert found == {2016: "/x/m_2016/d/microdados_ed_basica_2016.csv", 2025: "/x/Tabela_Escola_2025.csv"}
     real = p.discover_editions(p.list_files(spark, str(edition_root)))
-    assert sorted(r.ano for r in real.collect()) == [2021, 2022, 2023]
+    assert sorted(r.ano for r in real.collect()) == [2014, 2015, 2016]
 
 
 def test_text_scan_binds_by_name(editions):
-    df = editions[2023].select("NO_ENTIDADE", "CO_ORGAO_REGIONAL").collect()
-    assert [tuple(r) for r in df] == [("ESCOLA AÇÃO", "0MI11"), ("ESCOLA B", "0MI12")]
-    assert editions[2022].collect()[1].IN_BIBLIOTECA is None
+    df = editions[2016].select("CO_ORGAO_REGIONAL", "NO_ENTIDADE").collect()
+    assert [tuple(r) for r in df] == [("07X", "LICEU SÃO JOÃO"), ("08Y", "COLÉGIO ÉDEN")]
+    assert editions[2015].collect()[1].IN_BIBLIOTECA is None
 
 
 def test_text_scan_columns_and_tokens(spark, tmp_path):
@@ -56,7 +54,7 @@ def test_text_scan_columns_and_tokens(spark, tmp_path):
 
 def test_tolerant_typing(spark):
     df = spark.createDataFrame(
-        [("3106200", "0MI11", "120", "", "2023"), ("3550308", "00009", "340", "1", "2023")],
+        [("2611606", "07X", "88", "", "2016"), ("4314902", "00017", "7100", "0", "2016")],
         "CO_MUNICIPIO string, CO_X string, QT_MAT_BAS string, IN_INTERNET string, NU_ANO_CENSO string",
     )
     with pytest.warns(UserWarning, match="CO_X"):
@@ -67,13 +65,13 @@ def test_tolerant_typing(spark):
         "IN_INTERNET": "tinyint", "NU_ANO_CENSO": "int",
     }
     assert [tuple(r) for r in typed.collect()] == [
-        (3106200, "0MI11", 120, None, 2023), (3550308, "00009", 340, 1, 2023),
+        (2611606, "07X", 88, None, 2016), (4314902, "00017", 7100, 0, 2016),
     ]
 
 
 def test_values_widen_the_prefix(spark):
     df = spark.createDataFrame(
-        [("300", "1.5", "00009", "007"), ("1", "2", "00010", "8")],
+        [("300", "1.5", "00017", "007"), ("1", "2", "00023", "8")],
         "IN_X string, TP_Y string, CO_Z string, QT_W string",
     )
     with warnings.catch_warnings():
@@ -82,44 +80,44 @@ def test_values_widen_the_prefix(spark):
         eaten, _ = p.apply_prefix_types(df, keep_leading_zeros=False)
         by_profile, _ = p.apply_prefix_types(df, p.profile(df))
     assert dict(typed.dtypes) == {"IN_X": "smallint", "TP_Y": "double", "CO_Z": "string", "QT_W": "int"}
-    assert [tuple(r) for r in typed.collect()] == [(300, 1.5, "00009", 7), (1, 2.0, "00010", 8)]
+    assert [tuple(r) for r in typed.collect()] == [(300, 1.5, "00017", 7), (1, 2.0, "00023", 8)]
     assert dict(eaten.dtypes)["CO_Z"] == "bigint"
     assert dict(by_profile.dtypes)["QT_W"] == "string"
 
 
 def test_columnar_copy(spark, editions, tmp_path):
     root = str(tmp_path / "copy")
-    typed, _ = p.apply_prefix_types(editions[2023])
-    assert not p.edition_exists(spark, root, 2023)
-    p.write_edition(typed, root, 2023)
-    p.write_edition(typed.limit(0), root, 2023)  # kept
-    back = p.read_edition(spark, root, 2023)
+    typed, _ = p.apply_prefix_types(editions[2016])
+    assert not p.edition_exists(spark, root, 2016)
+    p.write_edition(typed, root, 2016)
+    p.write_edition(typed.limit(0), root, 2016)  # kept
+    back = p.read_edition(spark, root, 2016)
     assert back.count() == 2 and dict(back.dtypes)[fixed.YEAR] == "int"
-    p.write_edition(typed.limit(1), root, 2023, overwrite=True)
-    assert p.read_edition(spark, root, 2023).count() == 1
-    p.write_edition(p.apply_prefix_types(editions[2021])[0], root, 2021)
-    assert p.read_edition(spark, root, 2023).count() == 1
+    p.write_edition(typed.limit(1), root, 2016, overwrite=True)
+    assert p.read_edition(spark, root, 2016).count() == 1
+    p.write_edition(p.apply_prefix_types(editions[2014])[0], root, 2014)
+    assert p.read_edition(spark, root, 2016).count() == 1
 
 
 def test_text_is_the_fallback_for_missing_columns(spark, editions, edition_root, tmp_path):
     root = str(tmp_path / "copy")
-    csv = str(edition_root / "microdados_2023" / "dados" / "microdados_ed_basica_2023.csv")
-    p.write_edition(editions[2023].select("CO_ENTIDADE", "NU_ANO_CENSO"), root, 2023)
-    assert "NO_ENTIDADE" in p.open_edition(spark, root, 2023, csv, ["NO_ENTIDADE"]).columns
-    assert "NO_ENTIDADE" not in p.open_edition(spark, root, 2023, csv, ["QT_NOPE"]).columns
-    assert "NO_ENTIDADE" not in p.open_edition(spark, root, 2023, None, ["NO_ENTIDADE"]).columns
+    csv = str(edition_root / "microdados_2016" / "dados" / "microdados_ed_basica_2016.csv")
+    p.write_edition(editions[2016].select("CO_ENTIDADE", "NU_ANO_CENSO"), root, 2016)
+    assert "NO_ENTIDADE" in p.open_edition(spark, root, 2016, csv, ["NO_ENTIDADE"]).columns
+    assert "NO_ENTIDADE" not in p.open_edition(spark, root, 2016, csv, ["QT_NOPE"]).columns
+    assert "NO_ENTIDADE" not in p.open_edition(spark, root, 2016, None, ["NO_ENTIDADE"]).columns
 
 
 def test_load_edition(spark, units):
     df = units.selectExpr("*", "cast(1 + CO_ENTIDADE % 2 as tinyint) as TP_SITUACAO_FUNCIONAMENTO")
     loaded = p.load_edition(df)
     assert "IN_INTERNET" not in loaded.columns and "CO_UF" not in loaded.columns
-    assert {r.CO_ENTIDADE for r in loaded.collect()} == {2, 4, 6}
-    assert p.load_edition(df, ["CO_ENTIDADE"]).count() == 6
-    assert p.load_edition(df, uf="MG", active_only=False).count() == 3
-    assert p.load_edition(df, uf=["MG", "BA"]).count() == 2
+    assert {r.CO_ENTIDADE for r in loaded.collect()} == {102, 104, 106}
+    assert p.load_edition(df, ["CO_ENTIDADE"]).count() == 7
+    assert p.load_edition(df, uf="PE", active_only=False).count() == 4
+    assert p.load_edition(df, uf=["PE", "GO"]).count() == 2
     with pytest.raises(KeyError):
-        p.load_edition(df, ["CO_ENTIDADE"], uf="MG")
+        p.load_edition(df, ["CO_ENTIDADE"], uf="PE")
     with pytest.raises(KeyError):
         p.load_edition(df, ["NOPE"])
     with pytest.raises(KeyError):
@@ -127,14 +125,14 @@ def test_load_edition(spark, units):
 
 
 def test_stack_promotes_before_the_union(spark):
-    one = spark.createDataFrame([(2021, 11, 1200)], "NU_ANO_CENSO int, CO_X bigint, QT_Y int")
-    two = spark.createDataFrame([("2023", "0MI11", "a")], "NU_ANO_CENSO string, CO_X string, NO_Z string")
-    panel = p.stack_editions({2023: two, 2021: one})
+    one = spark.createDataFrame([(2014, 23, 640)], "NU_ANO_CENSO int, CO_X bigint, QT_Y int")
+    two = spark.createDataFrame([("2016", "07X", "a")], "NU_ANO_CENSO string, CO_X string, NO_Z string")
+    panel = p.stack_editions({2016: two, 2014: one})
     assert panel.dtypes == [
         ("NU_ANO_CENSO", "int"), ("CO_X", "string"), ("QT_Y", "int"), ("NO_Z", "string"),
     ]
     assert {tuple(r) for r in panel.collect()} == {
-        (2021, "11", 1200, None), (2023, "0MI11", None, "a"),
+        (2014, "23", 640, None), (2016, "07X", None, "a"),
     }
 
 
@@ -145,18 +143,18 @@ def test_stack_text_editions_by_dictionary(spark, editions, tmp_path):
     assert (types["CO_ORGAO_REGIONAL"], types["QT_MAT_BAS"], types["NU_ANO_CENSO"]) == (
         "string", "int", "int",
     )
-    rows = panel.filter("NU_ANO_CENSO = 2023").collect()
-    assert {r.CO_ORGAO_REGIONAL for r in rows} == {"0MI11", "0MI12"}
+    rows = panel.filter("NU_ANO_CENSO = 2016").collect()
+    assert {r.CO_ORGAO_REGIONAL for r in rows} == {"07X", "08Y"}
     assert {r.QT_MAT_BAS for r in rows} == {None}
     series = [tuple(r) for r in p.time_series(panel).collect()]
-    assert series == [(2021, 1280), (2022, 40500), (2023, None)]
+    assert series == [(2014, 3354), (2015, 70239), (2016, None)]
     saved, common = p.prepare_panel(editions, str(tmp_path / "dic"))
-    assert "QT_MAT_BAS" not in common.columns and common.count() == 6
+    assert "QT_MAT_BAS" not in common.columns and common.count() == 8
     assert saved.count() == len(common.columns)
 
 
 def test_load_panel(spark, units):
-    panel = p.load_panel({2023: units, 2024: units.drop("QT_DOC_BAS")}, uf="SP")
+    panel = p.load_panel({2016: units, 2024: units.drop("QT_DOC_BAS")}, uf="RS")
     assert panel.count() == 4 and "QT_DOC_BAS" not in p.load_edition(units.drop("QT_DOC_BAS")).columns
 
 
@@ -185,7 +183,7 @@ def test_upsert(spark):
 
 MESH = (
     '{"type":"%s","features":['
-    '{"type":"Feature","properties":{"codarea":"35"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0]]]}},'
+    '{"type":"Feature","properties":{"codarea":"R7"},"geometry":{"type":"Polygon","coordinates":[[[0,0],[1,0]]]}},'
     '{"type":"Feature","properties":{},"geometry":{"type":"MultiPolygon","coordinates":[[[[0.5,-1]]]]}}]}'
 )
 
@@ -196,17 +194,17 @@ def test_mesh_scan_and_geojson(spark, tmp_path):
     path = tmp_path / "m.json"
     path.write_text(MESH % "FeatureCollection")
     mesh = p.read_mesh(spark, str(path))
-    assert [(r.posicao, r.codarea) for r in mesh.collect()] == [(0, "35"), (1, "")]
+    assert [(r.posicao, r.codarea) for r in mesh.collect()] == [(0, "R7"), (1, "")]
     areas = spark.createDataFrame(
-        [(2023, "35", 'São "P"', None, 3), (2024, "35", "x", 1.234, 4)],
+        [(2016, "R7", 'São "P"', None, 3), (2024, "R7", "x", 1.234, 4)],
         "ano int, codarea string, nome string, valor double, escolas bigint",
     )
     features, _ = p.join_mesh(mesh, areas)
     p.write_geojson_features(features, str(tmp_path / "out"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()]
     full = {f["properties"]["codarea"]: f for f in lines}
-    assert full["35"]["properties"]["valores"] == {"2023": None, "2024": 1.23}
-    assert full["35"]["properties"]["nome"] == 'São "P"'
+    assert full["R7"]["properties"]["valores"] == {"2016": None, "2024": 1.23}
+    assert full["R7"]["properties"]["nome"] == 'São "P"'
     assert full[""]["geometry"]["type"] == "MultiPolygon" and full[""]["type"] == "Feature"
     wrong = tmp_path / "w.json"
     wrong.write_text(MESH % "Topology")
