@@ -21,31 +21,46 @@ START, END = "\x02", "\x03"
 BLOCK_CHARS = 3 << 20
 PACKED = 24 << 20
 FOLDS = 5
+DENSE = 1 << 25
 
 
 def padded(text: str, order: int) -> str:
     return START * (order - 1) + text.lower() + END
 
 
+def ranked(keys: np.ndarray, size: int) -> tuple[int, np.ndarray]:
+    """How many different keys (all below ``size``) there are, and the number of each key among them."""
+    if size > DENSE:
+        different, number = np.unique(keys, return_inverse=True)
+        return len(different), number
+    seen = np.zeros(size, bool)
+    seen[keys] = True
+    different = np.flatnonzero(seen)
+    rank = np.empty(size, np.int32)
+    rank[different] = np.arange(len(different))
+    return len(different), rank[keys].astype(np.int64)
+
+
 def windows(texts: list[str], order: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct n-grams of padded texts, the number of each at all positions, texts' lengths."""
-    flat = "".join(padded(t, order) for t in texts)
-    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(t.lower()) + order for t in texts], np.int64)
-    _, codes = np.unique(codes, return_inverse=True)
-    codes = codes.astype(np.uint64)
-    base = np.uint64(codes.max() + 1) if len(codes) else np.uint64(1)
-    key = np.zeros(max(0, len(codes) - order + 1), np.uint64)
-    for k in range(order):
-        key = key * base + codes[k:k + len(key)]
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else np.zeros(0, np.int64)
-    valid = np.ones(len(key), bool)
+    parts = [padded(t, order) for t in texts]
+    flat = "".join(parts)
+    lengths = np.array([len(t) for t in parts], np.int64)
+    codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    letters, codes = ranked(codes, 0x110000)
+    kinds, number = letters, codes
+    # one character longer at a time, so that keys stay small enough to number by a table
+    for k in range(1, order):
+        number = number[:-1] * letters + codes[k:]
+        kinds, number = ranked(number, kinds * letters)
+    starts = np.cumsum(lengths) - lengths
+    valid = np.ones(len(number), bool)
     for k in range(1, order):
         edge = starts[1:] - k
-        valid[edge[edge < len(key)]] = False
-    key = key[valid]
-    _, first, number = np.unique(key, return_index=True, return_inverse=True)
-    position = np.flatnonzero(valid)[first]
+        valid[edge[edge < len(number)]] = False
+    kinds, number = ranked(number[valid], kinds)
+    position = np.empty(kinds, np.int64)
+    position[number] = np.flatnonzero(valid)
     grams = [flat[p:p + order] for p in position.tolist()]
     return grams, number, lengths - order + 1
 
@@ -152,7 +167,11 @@ def asked(order: int):
         import pandas as pd
 
         grams, _, _ = windows(unpacked(group)["text"].to_pylist(), order)
-        every = {g[k:] for g in grams for k in range(order + 1)} | {g[k:-1] for g in grams for k in range(order)}
+        every, ends = {""}, set(grams)
+        while ends != {""} and ends:
+            every |= ends
+            every.update([g[:-1] for g in ends])
+            ends = {g[1:] for g in ends}
         return pd.DataFrame({"block": group["block"].iloc[0], "gram": pd.Series(list(every), dtype=object)})
 
     return run
