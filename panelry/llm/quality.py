@@ -77,7 +77,7 @@ def packed(batches):
         data = []
         for low, high in zip(first, [*first[1:], len(order)]):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as out:
                 # a copy of the slice alone, or its neighbours would be written too
                 out.write_batch(rows.take(pa.array(np.arange(low, high))))
             data.append(sink.getvalue().to_pybytes())
