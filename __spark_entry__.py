@@ -314,6 +314,10 @@ def profile_lineitem(spark, folder):
     return shown_profile(p.profile(table(spark, folder, "lineitem"), ano=2023))
 
 
+def profile_documents(spark, folder):
+    return shown_profile(p.profile(table(spark, folder, "documents"), ano=2023))
+
+
 def profile_editions(spark, folder):
     return shown_profile(p.profile_editions(editions(spark, folder)))
 
@@ -683,7 +687,7 @@ QUERIES = (
     distribution_overall, time_series_by, top_areas, label_codes, add_region, enrich_edition,
     presence_matrix, presence_summary, common_columns, columns_per_edition, audit_gaps,
     audit_missing_only_in, year_fitness, profile_orders, profile_customer, profile_lineitem,
-    profile_editions, types_by_year, promote_types, audit_conflicts, audit_wide_prefixes,
+    profile_documents, profile_editions, types_by_year, promote_types, audit_conflicts, audit_wide_prefixes,
     latest_descriptions, normalize_dictionary, dictionary, series_schema, audit_unstable,
     most_empty, prefix_types, stack_editions, load_edition, upsert_by_key, discover_editions,
     sample_head, where_equals, where_contains, numbers_where_lossless, area_sum, area_rate,
