@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelry.llm.common import written
@@ -128,15 +128,33 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str
 REPLY = {"reply": {"text": "string", "n_chars": "integer", "system": "string?"}}
 
 
+def in_force(messages: DataFrame) -> DataFrame:
+    """``conv_id``, ``turn``, ``system_turn``, ``system``: the last system turn at or before each user turn.
+
+    Only keys meet in the window over a conversation, the texts are joined after it.  Of several
+    system turns of one number the smallest text counts; without a text or a number none is in force.
+    """
+    system = messages.where("role = 'system' AND conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
+    users = messages.where("role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL")
+    marks = users.select("conv_id", "turn", F.lit(None).cast("long").alias("since")).unionByName(
+        system.select("conv_id", "turn", F.col("turn").cast("long").alias("since")))
+    under = marks.withColumn("system_turn", F.max("since").over(Window.partitionBy("conv_id").orderBy("turn"))) \
+        .where("since IS NULL AND system_turn IS NOT NULL").select("conv_id", "turn", "system_turn").distinct()
+    texts = system.groupBy("conv_id", F.col("turn").cast("long").alias("system_turn")).agg(F.min("text").alias("system"))
+    return under.join(texts, ["conv_id", "system_turn"])
+
+
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain turns as calls: a user turn calls for a reply, which the next turn of the assistant gives.
 
-    A call depends on the call two turns before it, if that was one.
+    A call depends on the call two turns before it, if that was one; the system turn in force is
+    an argument of it.
     """
     key = F.concat_ws(":", "conv_id", "turn")
-    asks = messages.where("role = 'user'").select(
+    told = messages.where("role = 'user'").join(in_force(messages), ["conv_id", "turn"], "left")
+    asks = told.select(
         "conv_id", "turn", key.alias("call_id"), F.lit("reply").alias("name"),
-        F.to_json(F.struct("text", F.length("text").alias("n_chars"))).alias("arguments"),
+        F.to_json(F.struct("text", F.length("text").alias("n_chars"), "system")).alias("arguments"),
         F.array(F.concat_ws(":", F.col("conv_id"), F.col("turn") - 2)).alias("after"))
     gives = messages.where("role = 'assistant'").select(
         "conv_id", "turn", F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("call_id"),
@@ -144,7 +162,70 @@ def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return asks, gives
 
 
+def own_row(turn: DataFrame, message: Column, errors: Column) -> DataFrame:
+    """Rows of what no linked call holds: ``call_id`` is null, the round 0."""
+    return turn.select(
+        "conv_id", F.lit(0).alias("round"), "turn", F.lit(None).cast("string").alias("call_id"),
+        F.array_compact(F.array(errors.cast("string"))).alias("errors"), message.alias("message")) \
+        .withColumn("valid", F.size("errors") == 0)
+
+
+def repeated_calls(calls: DataFrame) -> DataFrame:
+    """Calls that ``link`` leaves out, in rows of their own that say why."""
+    order = Window.partitionBy("conv_id", "call_id").orderBy("turn", "name", "arguments", "after")
+    keyless = calls.where("conv_id IS NULL OR call_id IS NULL").withColumn("n", F.lit(0))
+    later = calls.where("conv_id IS NOT NULL AND call_id IS NOT NULL").withColumn("n", F.row_number().over(order)).where("n > 1")
+    message = F.to_json(F.struct(
+        F.coalesce(F.try_parse_json("arguments"), F.to_variant_object(F.struct(F.col("arguments").alias("text")))).alias("arguments"),
+        "call_id", "name"), {"ignoreNullFields": "false"})
+    why = F.when(F.col("n") > 1, "repeats a call").when(F.col("conv_id").isNull(), "no conversation").otherwise("no identifier")
+    return own_row(keyless.unionByName(later), message, why)
+
+
+def lone_turns(messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """Turns that no call holds, in rows of their own: ``message`` is ``{"content", "role"}``.
+
+    These are system turns in force for no user turn, assistant turns that answer none and make
+    no call, results without a call or after the first, and turns of other roles.
+    """
+    made = F.from_json("text", "struct<tool_calls:array<struct<id:string>>>")["tool_calls"]
+    told = F.from_json("text", "struct<tool_call_id:string,content:string>")
+    role = F.coalesce("role", F.lit(""))
+    # kind tells which calls can hold the turn; the order is that of link
+    turns = messages.where((role != "user") & ~((role == "assistant") & F.coalesce(F.size(made) > 0, F.lit(False)))).select(
+        "conv_id", "turn", "role", "text", F.when(role == "system", "system").otherwise("result").alias("kind"),
+        F.when(role == "tool", told["tool_call_id"])
+        .when((role == "assistant") & F.col("turn").isNotNull(), F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1))
+        .when((role == "system") & F.col("text").isNotNull(), F.col("turn").cast("string")).alias("key"),
+        F.when(role == "tool", told["content"]).otherwise(F.col("text")).alias("content"))
+    # an assistant's call may have a result of the same key, and it counts when it is earlier
+    rivals = messages.where((role == "assistant") & (F.size(made) > 0)).select(
+        "conv_id", "turn", F.lit(None).cast("string").alias("role"), "text", F.lit("result").alias("kind"),
+        F.concat_ws(":", F.col("conv_id"), F.col("turn") - 1).alias("key"), F.col("text").alias("content"))
+    held = calls.select("conv_id", F.lit("result").alias("kind"), F.col("call_id").alias("key")).unionByName(
+        in_force(messages).select("conv_id", F.lit("system").alias("kind"), F.col("system_turn").cast("string").alias("key"))) \
+        .where("conv_id IS NOT NULL AND key IS NOT NULL").distinct().withColumn("held", F.lit(True))
+    keyed = "conv_id IS NOT NULL AND key IS NOT NULL"
+    order = Window.partitionBy("conv_id", "kind", "key").orderBy("turn", "content")
+    ranked = turns.where(keyed).withColumn("real", F.lit(True)).unionByName(rivals.where(keyed).withColumn("real", F.lit(False))) \
+        .withColumn("n", F.row_number().over(order)).where("real").drop("real")
+    lone = ranked.join(held, ["conv_id", "kind", "key"], "left").where("held IS NULL OR n > 1") \
+        .select("conv_id", "turn", "role", "text", "n").unionByName(
+            turns.where(f"NOT ({keyed})").select("conv_id", "turn", "role", "text", F.lit(1).alias("n")))
+    why = F.when(F.col("role") == "tool", F.when(F.col("n") > 1, "repeats a result").otherwise("result without a call")) \
+        .when(~F.coalesce(F.col("role").isin("system", "assistant"), F.lit(False)),
+              F.concat(F.lit("unknown role "), F.coalesce("role", F.lit("null"))))
+    return own_row(lone, F.to_json(F.struct(F.col("text").alias("content"), "role"), {"ignoreNullFields": "false"}), why)
+
+
 def format_turns(messages: DataFrame) -> DataFrame:
-    """``link`` over the calls and results that JSON messages hold and those plain turns stand for."""
+    """``link`` over the calls and results that JSON messages hold and those plain turns stand for.
+
+    Every turn is found in the output: as a call, its result or its system argument, or else in a
+    row of its own (``repeated_calls``, ``lone_turns``) with a null ``call_id``.  Calls that JSON
+    messages hold keep their arguments as given, the system turn is not added to them.
+    """
     asks, gives = turns_as_calls(messages)
-    return link(asks.unionByName(calls_in(messages)), gives.unionByName(results_in(messages)), REPLY)
+    calls = asks.unionByName(calls_in(messages))
+    linked = link(calls, gives.unionByName(results_in(messages)), REPLY)
+    return linked.unionByName(repeated_calls(calls)).unionByName(lone_turns(messages, calls))

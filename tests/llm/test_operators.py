@@ -245,3 +245,32 @@ def test_chat_links_orders_and_validates(spark):
     assert got[2, "2:0"].valid and '"result":"hello"' in got[2, "2:0"].message
     assert got[2, "2:2"].errors == ["n_chars: missing", "text: missing"] and got[2, "2:2"].round == 0
     assert chat.format_turns(messages.limit(0)).count() == 0
+
+
+def test_chat_keeps_every_turn(spark):
+    call = '{"tool_calls":[{"id":"a","name":"reply","arguments":{"text":"t","n_chars":1},"after":[]}]}'
+    turns = [
+        (1, 0, "system", "S0"), (1, 1, "user", "U1"), (1, 2, "assistant", "A2"), (1, 3, "assistant", "A3"),
+        (1, 4, "system", "S4"), (1, 5, "user", "U5"), (1, 9, "assistant", "A9"), (1, 10, "system", "S10"),
+        (2, 0, "assistant", "B0"), (2, 1, "user", "V1"), (2, 1, "user", "V1b"), (2, 2, "assistant", call),
+        (2, 3, "tool", '{"tool_call_id":"a","content":"T3"}'), (2, 4, "tool", '{"tool_call_id":"a","content":"T4"}'),
+        (2, 5, "tool", "T5"), (2, 6, "assistant", call.replace('"t"', '"t6"')), (2, 7, "critic", "C7"), (2, 8, None, "N8"),
+        (3, 0, "system", "S only"), (None, 0, "user", "W0"), (None, 1, "system", "W1"), (4, None, "system", "X"), (4, 1, "user", "Y"),
+    ]
+    messages = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    rows = chat.format_turns(messages).collect()
+    got = {(r.conv_id, r.call_id): r for r in rows if r.call_id and r.conv_id}
+    assert got[1, "1:1"].message == (
+        '{"arguments":{"n_chars":2,"system":"S0","text":"U1"},"call_id":"1:1","name":"reply","result":"A2"}')
+    assert '"system":"S4"' in got[1, "1:5"].message and '"result":null' in got[1, "1:5"].message
+    assert got[1, "1:1"].valid and "system" not in got[4, "4:1"].message and '"result":"T3"' in got[2, "a"].message
+    own = sorted((r.conv_id or 0, r.turn if r.turn is not None else -1, tuple(r.errors), r.valid) for r in rows if r.call_id is None)
+    assert own == [
+        (0, 0, ("no conversation",), False), (0, 1, (), True), (1, 3, (), True), (1, 9, (), True), (1, 10, (), True),
+        (2, 0, (), True), (2, 1, ("repeats a call",), False), (2, 4, ("repeats a result",), False),
+        (2, 5, ("result without a call",), False), (2, 6, ("repeats a call",), False),
+        (2, 7, ("unknown role critic",), False), (2, 8, ("unknown role null",), False), (3, 0, (), True), (4, -1, (), True)]
+    every = "\n".join(r.message for r in rows)
+    for word in "S0 U1 A2 A3 S4 U5 A9 S10 B0 V1 V1b T3 T4 T5 t6 C7 N8 W0 W1 X Y".split() + ["S only"]:
+        assert word in every
+    assert '{"content":"A3","role":"assistant"}' in every and '{"content":"S only","role":"system"}' in every
