@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelry.llm import bpe, chat, exact_dedup, graph_search, html_text, jaccard_join, licenses, mixing, quality, toxicity
+from panelry.llm import bpe, chat, exact_dedup, graph_search, html_text, jaccard_join, licenses, merkle, mixing, quality, toxicity
 from panelry.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,9 +63,13 @@ def op10_exact_dedup(spark, folder):
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark, folder):
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 QUERIES = (
     op1_chat_formatting, op2_toxicity, op3_license_scan, op4_jaccard_join, op5_quality, op6_mixing, op7_bpe,
-    op8_html_text, op9_graph_search, op10_exact_dedup,
+    op8_html_text, op9_graph_search, op10_exact_dedup, op11_merkle_manifest,
 )
 
 
