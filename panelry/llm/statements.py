@@ -63,6 +63,19 @@ def merkle_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_merkle_manifest": merkle_sql(),
+        "op12_line_dedup": f"""
+            WITH split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no
+                           FROM documents),
+            keyed AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[ \\x09-\\x0D]+', ''),
+                                                         '[ \\x09-\\x0D]+$', ''), '{UPPER}', '{LOWER}') AS key
+                      FROM split),
+            repeated AS (SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10
+                         GROUP BY key HAVING count(DISTINCT doc_id) > 1)
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner < doc_id) AS n_dropped,
+                   sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no)
+                                   FILTER (owner IS NULL OR owner >= doc_id), '')) AS kept_sha256
+            FROM keyed LEFT JOIN repeated USING (key) GROUP BY doc_id""",
         "op10_exact_dedup": f"""
             WITH plain AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t
                            FROM documents),
