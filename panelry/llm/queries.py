@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from panelry.llm import bpe, chat, exact_dedup, graph_search, html_text, jaccard_join, licenses, line_dedup, merkle, mixing, quality, toxicity
+from panelry.llm import align, bpe, chat, exact_dedup, graph_search, html_text, jaccard_join, licenses, line_dedup, merkle, mixing, quality, toxicity
 from panelry.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -72,10 +72,15 @@ def op12_line_dedup(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_tokenizer_alignment(spark, folder):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(table(spark, folder, "documents"), *paths, digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES = (
     op1_chat_formatting, op2_toxicity, op3_license_scan, op4_jaccard_join, op5_quality, op6_mixing, op7_bpe,
     op8_html_text, op9_graph_search, op10_exact_dedup, op11_merkle_manifest,
-    op12_line_dedup,
+    op12_line_dedup, op13_tokenizer_alignment,
 )
 
 
