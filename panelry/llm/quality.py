@@ -21,6 +21,7 @@ START, END = "\x02", "\x03"
 BLOCK_CHARS = 3 << 20
 PACKED = 24 << 20
 FOLDS = 5
+SALTS = 8
 DENSE = 1 << 25
 
 
@@ -91,11 +92,22 @@ def unpacked(group):
 
 
 def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    return docs.withColumn("block", block_of(blocks)).mapInArrow(packed, "block int, data binary")
+    """Packs by block.  Rows of one id are spread over ``SALTS`` blocks, rows without id over all."""
+    row = F.monotonically_increasing_id()
+    block = F.when(F.col("doc_id").isNull(), F.pmod(F.hash(row), F.lit(blocks))).otherwise(
+        block_of(blocks, F.pmod(F.hash(row), F.lit(SALTS))))
+    return docs.withColumn("block", block.cast("int")).mapInArrow(packed, "block int, data binary")
 
 
-def block_of(blocks: int):
-    return F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
+def block_of(blocks: int, salt):
+    return F.pmod(F.xxhash64(F.col("doc_id"), salt.cast("int")), F.lit(blocks)).cast("int")
+
+
+def in_all_blocks(known: DataFrame, blocks: int) -> DataFrame:
+    """Trusted ids in every block that may hold one of their rows."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = known.select("doc_id", salts.alias("salt"))
+    return salted.select("doc_id", block_of(blocks, F.col("salt")).alias("block")).distinct()
 
 
 def count_grams(order: int):
@@ -117,7 +129,9 @@ def count_grams(order: int):
 
 def language_model(packs: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
     """``gram``, ``p``, ``back``: probability of every seen n-gram of every order given what goes
-    before its last character, and the weight of shorter n-grams where it is the context."""
+    before its last character, and the weight of shorter n-grams where it is the context.
+
+    ``p`` is null for what occurs as a context only, that is for start marks."""
     top = written(packs.groupBy("block").cogroup(trusted.groupBy("block"))
                   .applyInPandas(count_grams(order), "gram string, n long")
                   .groupBy("gram").agg(F.sum("n").alias("n")), "grams")
@@ -151,7 +165,8 @@ def language_model(packs: DataFrame, trusted: DataFrame, order: int = ORDER) ->
             made = own.withColumn("suffix", F.expr(f"substring(gram, 2, {k - 1})")).join(suffix, "suffix") \
                 .select("gram", (alpha + gamma * F.col("shorter")).alias("p"))
             back = contexts.select(F.col("context").alias("gram"), gamma.alias("back"))
-            tables.append(lower.join(back, "gram", "left").select("gram", "p", F.coalesce("back", F.lit(1.0)).alias("back")))
+            # contexts of start marks are no n-grams themselves: they have a weight and no chance
+            tables.append(lower.join(back, "gram", "outer").select("gram", "p", F.coalesce("back", F.lit(1.0)).alias("back")))
         lower = written(made, "chances")
     tables.append(lower.select("gram", "p", F.lit(1.0).alias("back")))
     out = tables[0]
@@ -185,7 +200,8 @@ def score(order: int):
             return pd.DataFrame({"doc_id": pd.Series([], dtype="int64"), "lang": pd.Series([], dtype=object),
                                  "n_chars": pd.Series([], dtype="int64"), "log_p": pd.Series([], dtype=float)})
         docs = unpacked(packs)
-        p = dict(zip(known["gram"], known["p"]))
+        seen = known[known["p"].notna()]
+        p = dict(zip(seen["gram"], seen["p"]))
         back = dict(zip(known["gram"], known["back"]))
         grams, number, lengths = windows(docs["text"].to_pylist(), order)
 
@@ -235,7 +251,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, order:
     blocks = max(1, -(-chars // BLOCK_CHARS))
     packs = in_blocks(plain.where("text <> ''"), blocks)
     fold = crc_bucket("doc_id", FOLDS)
-    model = language_model(packs, known.where(fold != 0).withColumn("block", block_of(blocks)), order)
+    model = language_model(packs, in_all_blocks(known.where(fold != 0), blocks), order)
     trained = not model.where("gram <> ''").isEmpty()
     if not trained:
         nothing = F.lit(None).cast("double")
