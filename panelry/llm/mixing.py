@@ -3,7 +3,7 @@
 A classifier fitted on labelled rows gives every document its chances of each domain.  The rates
 (how often a document is taken) then minimise || sum_i rate_i tokens_i p_i - target ||^2 within
 bounds by projected gradient steps.  A step needs the D expected totals and a D x D matrix, sums
-over all documents; the rate of a document follows from its own p and the few step vectors so
+over all documents made by task; the rate of a document follows from its own p and the few step vectors so
 far, so no state is kept per document and every round is one scan of a narrow table.
 """
 
@@ -88,60 +88,109 @@ def rate_of(steps: list[np.ndarray], low: float, high: float) -> Column:
     return rate
 
 
-def fit_rates(docs: DataFrame, target: list[float], low: float, high: float, rounds: int = 25,
-              tolerance: float = 1e-3) -> DataFrame:
-    """Adds ``rate``: nonnegative rates whose expected domain totals have the target shares.
+def sums_of(steps: list[np.ndarray], tried: list[np.ndarray], low: float, high: float):
+    """Per task and step tried: the domain totals, the Gram matrix of the free documents, the way moved."""
 
-    The matrix that scales a step is the Gram matrix of the documents strictly inside the bounds,
-    the curvature of the objective along the moves that are still free.
+    def run(batches):
+        import pyarrow as pa
+
+        d = len(tried[0])
+        out = np.zeros((len(tried), d + d * d + 1))
+        for given in batches:
+            n = given.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
+            p = given.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            rate = np.full(len(n), min(max(1.0, low), high))
+            for step in steps:
+                rate = np.clip(rate - p @ step, low, high)
+            for row, step in zip(out, tried):
+                moved = np.clip(rate - p @ step, low, high)
+                free = n * ((moved > low) & (moved < high))
+                row[:d] += (moved * n) @ p
+                row[d:-1] += ((p * free[:, None]).T @ p).ravel()
+                row[-1] += n @ (moved - rate) ** 2
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(tried)), out.shape[1]), pa.int32()),
+             pa.array(np.tile(np.arange(out.shape[1]), len(tried)), pa.int32()), pa.array(out.ravel())],
+            names=["tried", "place", "value"])
+
+    return run
+
+
+def fit_rates(docs: DataFrame, target: list[float], low: float, high: float, rounds: int = 80,
+              tolerance: float = 1e-7) -> tuple[DataFrame, float]:
+    """Adds ``rate``, and tells how far the expected domain totals stay from the target shares.
+
+    Projected gradient: the objective is a least squares in the totals, documents are weighed by
+    their tokens, and a step of one over the largest curvature always lowers it.  Each round tries
+    that step, a longer one, and some along the Newton direction of the documents that are free to
+    move, all in one scan, and takes whichever lowers the objective most.  It ends when the
+    gradient step no longer moves the documents, which only the minimum within the bounds does.
     """
     d = len(target)
     goal = np.array(target, float) / sum(target)
-    base = docs.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
+    narrow = docs.select("n_tokens", "p").where("n_tokens > 0")
+
+    def measured(steps, tried):
+        rows = narrow.mapInArrow(sums_of(steps, tried, low, high), "tried int, place int, value double")
+        out = np.zeros((len(tried), d + d * d + 1))
+        for row in rows.groupBy("tried", "place").agg(F.sum("value").alias("value")).collect():
+            out[row["tried"], row["place"]] = row["value"]
+        return out
+
+    base = narrow.agg(F.sum("n_tokens").alias("t")).first()["t"]
     if not base:
-        return docs.withColumn("rate", F.lit(min(max(1.0, low), high)))
-    steps, best = [], (np.inf, [])
-    level = float(base)
+        return docs.withColumn("rate", F.lit(min(max(1.0, low), high))), 0.0
+    # with a lowest rate above zero the length of the mix is free: shares of the mix itself
+    shape = np.eye(d) - np.outer(goal, np.ones(d)) if low > 0 else np.eye(d)
+    aim = np.zeros(d) if low > 0 else goal * base
+
+    def missed(row):
+        return shape @ row[:d] - aim
+
+    steps, at = [], measured([], [np.zeros(d)])[0]
+    every = np.array([[r["value"] for r in narrow.selectExpr(
+        "posexplode(p) AS (j, pj)", "p", "n_tokens").groupBy("j").agg(
+        F.sum(F.col("n_tokens") * F.col("pj") * F.col("p")[i]).alias("value")).orderBy("j").collect()] for i in range(d)])
+    curvature = np.linalg.eigvalsh(shape @ every @ shape.T).max()
     for _ in range(rounds):
-        rate = rate_of(steps, low, high)
-        inside = ((rate > low) & (rate < high)) | F.lit(not steps)
-        weight = F.when(inside, F.col("n_tokens")).otherwise(0).cast("double")
-        sums = docs.withColumn("rate", rate).agg(
-            *[F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(d)],
-            *[F.sum(weight * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)],
-        ).first()
-        total = np.array([sums[f"s{i}"] for i in range(d)])
-        level = total.sum() if low > 0 else float(base)
-        miss = total - goal * level
-        error = float(np.abs(miss).sum() / level)
-        if error < best[0] - 1e-6:
-            best = (error, list(steps))
-        elif len(steps) - len(best[1]) > 3:
+        miss = missed(at)
+        if curvature <= 0 or np.abs(miss).sum() <= tolerance * base:
             break
-        if error < tolerance:
+        plain = shape.T @ miss / curvature
+        free = shape @ at[d:-1].reshape(d, d) @ shape.T
+        newton = shape.T @ (np.linalg.pinv(free, rcond=1e-9, hermitian=True) @ miss)
+        tried = [plain, 8 * plain, *[newton * t for t in (1.0, 0.5, 0.2, 0.05)], *[(newton + plain) * t for t in (1.0, 0.3)]]
+        found = measured(steps, tried)
+        if found[0][-1] <= tolerance ** 2 * base:
             break
-        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], float)
-        gram += np.eye(d) * (1e-3 * np.trace(gram) / d + 1e-9)
-        if np.trace(gram) < 1e-6 * base:
+        errors = [float(np.linalg.norm(missed(row))) for row in found]
+        best = int(np.argmin(errors))
+        if errors[best] >= np.linalg.norm(miss):
             break
-        steps.append(np.clip(np.linalg.solve(gram, miss), -1.0, 1.0))
-    return docs.withColumn("rate", rate_of(best[1], low, high))
+        steps.append(tried[best])
+        at = found[best]
+    residual = float(np.abs(missed(at)).sum() / at[:d].sum()) if at[:d].sum() else 0.0
+    return docs.withColumn("rate", rate_of(steps, low, high)), residual
 
 
 def mix(docs: DataFrame, labelled: DataFrame, target: list[float], low: float = 0.0, high: float = 4.0,
         sample_rows: int = 20_000, seed: int = 31) -> DataFrame:
-    """One row per document: ``doc_id``, ``n_tokens``, ``p``, ``rate``, ``copies``.
+    """One row per document: ``doc_id``, ``n_tokens``, ``p``, ``rate``, ``copies``, ``residual``.
 
     ``labelled`` has ``doc_id`` and ``domain`` (0, 1, ...); the classifier is fitted on about
     ``sample_rows`` of its rows.  ``target`` holds a weight per domain, rates lie in
     [``low``, ``high``].  With ``low`` 0 the targets are shares of the tokens given, so the mix is
     as long as the input where the bounds allow; with a higher ``low`` they are shares of the mix.
-    ``copies`` rounds the rate up or down by a fixed chance per document.  Targets that the bounds
-    exclude are approached as far as they allow.  Null and empty texts have no tokens and the
+    ``copies`` rounds the rate up or down by a fixed chance per document.  ``residual`` is the same
+    in all rows: the sum over domains of what the expected totals miss, as a share of the mix.
+    Targets that the bounds exclude are approached as far as they allow.  Null and empty texts have no tokens and the
     starting rate's moves; labels without an id or a domain are ignored; repeated rows are rated
     alike; further columns are ignored; an empty table gives an empty result.
     """
     known = labelled.where("domain IS NOT NULL").select("doc_id", F.col("domain").cast("int").alias("domain"))
-    rated = fit_rates(written(classify(docs, known, len(target), sample_rows), "posteriors"), target, low, high)
+    rated, residual = fit_rates(written(classify(docs, known, len(target), sample_rows), "posteriors"), target, low, high)
     whole = F.floor("rate")
-    return rated.withColumn("copies", (whole + (fraction("doc_id", seed) < F.col("rate") - whole).cast("int")).cast("int"))
+    return rated.withColumns({
+        "copies": (whole + (fraction("doc_id", seed) < F.col("rate") - whole).cast("int")).cast("int"),
+        "residual": F.lit(residual),
+    })

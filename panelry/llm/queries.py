@@ -44,7 +44,7 @@ def op5_quality(spark, folder):
 def op6_mixing(spark, folder):
     mixed = mixing.mix(table(spark, folder, "documents"), domain_labels(table(spark, folder, "labels")), MIX)
     p = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(("poor", "good", "toxic"))]
-    return mixed.select("doc_id", "n_tokens", *p, "rate", "copies")
+    return mixed.select("doc_id", "n_tokens", *p, "rate", "copies", "residual")
 
 
 def op7_bpe(spark, folder):

@@ -150,6 +150,42 @@ def test_mix_reaches_the_targets(spark):
     assert mixing.mix(docs(spark, []), labels, [0.1, 0.9]).count() == 0
 
 
+def bounded_least_squares(n, p, goal, low, high, rounds=40_000):
+    """Accelerated projected gradient on all rates at once."""
+    weighted = p * n[:, None]
+    shape = np.eye(len(goal)) - np.outer(goal, np.ones(len(goal))) if low > 0 else np.eye(len(goal))
+    aim = np.zeros(len(goal)) if low > 0 else goal * n.sum()
+    a = shape @ weighted.T
+    rate = ahead = np.full(len(n), min(max(1.0, low), high))
+    size, t = np.linalg.eigvalsh(a @ a.T).max(), 1.0
+    for _ in range(rounds):
+        moved = np.clip(ahead - a.T @ (a @ ahead - aim) / size, low, high)
+        longer = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        rate, ahead, t = moved, moved + (t - 1) / longer * (moved - rate), longer
+    return np.linalg.norm(a @ rate - aim) / n.sum()
+
+
+@pytest.mark.parametrize("target,low,high", [
+    ([0.08, 0.90, 0.02], 0.0, 4.0), ([0.06, 0.93, 0.01], 1.0, 2.0), ([0.5, 0.1, 0.4], 0.0, 4.0), ([0.01, 0.01, 0.98], 0.0, 2.0),
+    ([0.0, 1.0, 0.0], 0.0, 1.0),
+])
+def test_rates_against_bounded_least_squares(spark, target, low, high):
+    """The same distance from the target as a long descent over all documents, whether it can be met or not."""
+    rng = np.random.default_rng(8)
+    p = rng.dirichlet([0.2, 0.9, 0.1], 300)
+    n = rng.integers(1, 900, 300).astype(float)
+    rows = spark.createDataFrame([(i, int(k), x.tolist()) for i, (k, x) in enumerate(zip(n, p))],
+                                 "doc_id long, n_tokens long, p array<double>")
+    rated, residual = mixing.fit_rates(rows, target, low, high)
+    rate = np.array([r.rate for r in rated.orderBy("doc_id").collect()])
+    assert rate.min() >= low and rate.max() <= high
+    goal = np.array(target) / sum(target)
+    total = (rate * n) @ p
+    miss = total - goal * (total.sum() if low > 0 else n.sum())
+    assert np.linalg.norm(miss) / n.sum() <= bounded_least_squares(n, p, goal, low, high) + 1e-5
+    assert abs(residual - np.abs(miss).sum() / total.sum()) < 1e-9
+
+
 def test_quality_keeps_trusted_language(spark):
     texts = [" ".join(words(i, 60)) for i in range(200)] + ["@@ ## !!%%^^&& ~~" * 10, None, ""]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(150)], "doc_id long, quality int, toxic int")
@@ -164,16 +200,72 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     packs = quality.in_blocks(docs(spark, ["abracadabra", "banana band", "cab"]).select("doc_id", "lang", "text"), 1)
     trusted = spark.createDataFrame([(i, 0) for i in range(3)], "doc_id long, block int")
     model = {r.gram: r for r in quality.language_model(packs, trusted).collect()}
-    chars = [g for g in model if len(g) == 1]
+    chars = [g for g in model if len(g) == 1 and model[g].p is not None]
 
     def chance(gram):
-        if gram in model:
+        if gram in model and model[gram].p is not None:
             return model[gram].p
+        if not gram:
+            return model[""].p
         return (model[gram[:-1]].back if gram[:-1] in model else 1.0) * chance(gram[1:])
 
-    for context in ("", "a", "an", "ban"):
-        rest = 0.0 if context else model[""].back * model[""].p
-        assert abs(sum(chance(context + c) for c in chars) + rest - 1) < (0.06 if context else 1e-9)
+    def other(context):
+        """The chance of any character never seen."""
+        weight = model[context].back if context in model else 1.0
+        return weight * (other(context[1:]) if context else model[""].p)
+
+    start = quality.START
+    for context in ("", "a", "an", "ban", start, start * 2, start * 3, start + "ab", start * 2 + "b"):
+        assert abs(sum(chance(context + c) for c in chars) + other(context) - 1) < 1e-9
+
+
+def kneser_ney(texts, order):
+    """Chances by the textbook definition, from counts kept in dictionaries."""
+    top = collections.Counter(t[i:i + order] for t in texts for i in range(len(t) - order + 1))
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    discounts = {}
+    for k, c in counts.items():
+        n = collections.Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.0
+        discounts[k] = [min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else y * i / 2 for i in (1, 2, 3)]
+
+    def chance(gram):
+        k = len(gram)
+        if not k:
+            return 1.0 / (len(counts[1]) + 1)
+        own = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return chance(gram[1:])
+        total, taken = sum(own.values()), sum(discounts[k][min(n, 3) - 1] for n in own.values())
+        n = own.get(gram, 0)
+        return (n - discounts[k][min(n, 3) - 1] if n else 0.0) / total + taken / total * chance(gram[1:])
+
+    return chance
+
+
+def test_perplexities_against_the_definition(spark):
+    trusted = ["abracadabra", "banana band", "cab and bananas", "a cab"]
+    texts = [*trusted, "zebra band", "aaaa", "é"]
+    plain = docs(spark, texts).select("doc_id", "lang", "text")
+    packs = quality.in_blocks(plain, 3)
+    known = quality.in_all_blocks(spark.createDataFrame([(i,) for i in range(len(trusted))], "doc_id long"), 3)
+    got = {r.doc_id: r.log_p for r in quality.perplexities(packs, quality.language_model(packs, known)).collect()}
+    chance = kneser_ney([quality.padded(t, 4) for t in trusted], 4)
+    for i, text in enumerate(texts):
+        line = quality.padded(text, 4)
+        logs = [np.log(chance(line[k:k + 4])) for k in range(len(line) - 3)]
+        assert abs(got[i] - np.mean(logs)) < 1e-9
+
+
+def test_rows_of_one_id_do_not_share_a_block(spark):
+    rows = docs(spark, ["x"] * 600, [None] * 300 + [7] * 300).select("doc_id", "lang", "text")
+    packs = quality.in_blocks(rows, 20).groupBy("block").count()
+    assert packs.count() >= 15
+    trusted = spark.createDataFrame([(7,)], "doc_id long")
+    counted = quality.language_model(quality.in_blocks(rows, 20), quality.in_all_blocks(trusted, 20))
+    assert counted.where("gram = 'x'").count() == 1
 
 
 def test_html_text(spark):
