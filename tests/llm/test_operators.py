@@ -316,6 +316,38 @@ def test_license_scan_against_all_units(spark):
              "RELEASED under the\tMIT license", "all rights reserved", "nothing of the kind at all", "a\nAll rights reserved.\nb"]
     got = sorted((r.doc_id, r.license) for r in licenses.scan(docs(spark, texts)).collect())
     assert got == [(0, "MIT"), (1, "CC-BY-NC-4.0"), (4, "MIT"), (5, "Proprietary"), (7, "Proprietary")]
+    assert licenses.scan(docs(spark, [])).count() == 0
+    long = "filler words of a text " * 40_000 + "released under\nthe mit license " + "and more " * 40_000
+    assert [(r.unit, r.dice) for r in licenses.scan(docs(spark, [long])).collect()] == [("released under the mit license", 1.0)]
+
+
+def test_license_windows_against_brute_force(spark):
+    """Edited notices in prose: found if and only if some window reaches the threshold, with its value."""
+    rng = np.random.default_rng(12)
+    texts = ["Prose first. This work is licensed under the GNU General\nPublic License, version 3. And more.",
+             "x. Released under the\n// MIT License.\ncode", "licensed under the GNU Lesser General Public License version 3",
+             "this work is licensed under the gnu affero general public license version 3"]
+    for _ in range(60):
+        some = licenses.WORD.findall(licenses.TEMPLATES[rng.integers(len(licenses.TEMPLATES))][1])[:40]
+        for _ in range(rng.integers(0, 6)):
+            at, kind = rng.integers(len(some)), rng.integers(3)
+            some[at:at + (kind > 0)] = [] if kind == 2 and len(some) > 3 else [f"w{rng.integers(50)}"]
+        texts.append(" ".join([*words(int(rng.integers(99)), int(rng.integers(0, 12))), *some, *words(3, int(rng.integers(0, 9)))]))
+    known = [(name, set(b)) for name, b in licenses.template_bigrams()]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(docs(spark, texts)).collect():
+        got[r.doc_id].append((r.dice, r.license))
+    hits = 0
+    for i, text in enumerate(texts):
+        parts = licenses.WORD.findall(text.lower())
+        pairs = [f"{a} {b}" for a, b in zip(parts, parts[1:])]
+        best = max(2 * len(own & t) / (len(own) + len(t)) for _, t in known
+                   for low in range(len(pairs)) for high in range(low + 1, len(pairs) + 1) for own in [set(pairs[low:high])])
+        hits += best >= 0.8
+        assert bool(got[i]) == (best >= 0.8), text
+        assert not got[i] or abs(max(got[i])[0] - best) < 1e-9 or max(got[i])[0] >= best - 0.05, text
+    assert 20 < hits < len(texts)
+    assert [got[i][0][1] for i in range(4)] == ["GPL-3.0", "MIT", "LGPL-3.0", "AGPL-3.0"]
 
 
 def test_chat_links_orders_and_validates(spark):
