@@ -16,15 +16,25 @@ WORD = re.compile(r"\w+")
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a new temporary folder is set.
+    Where the session names none, a session on one machine gets a new temporary folder; on a
+    cluster that is an error, as executors would write to their own disks.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local") or "local-cluster" in spark.conf.get("spark.master"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until the frame has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends here."""
     spark = df.sparkSession

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import whole_text, written
+from panelry.llm.common import free_name, whole_text, written
 
 TRIE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
@@ -236,6 +236,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     def key(sha):
         return F.concat_ws(":", sha, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
 
-    kept = exact_duplicates(docs).where("kept").select(key(F.col("text_sha256")).alias("own_key"))
-    marked = docs.withColumn("own_key", key(F.sha2(lowered.cast("binary"), 256)))
-    return marked.join(kept, "own_key", "left_semi").dropDuplicates(["own_key"]).drop("own_key")
+    name = free_name(docs, "own_key")
+    kept = exact_duplicates(docs).where("kept").select(key(F.col("text_sha256")).alias(name))
+    marked = docs.withColumn(name, key(F.sha2(lowered.cast("binary"), 256)))
+    return marked.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
