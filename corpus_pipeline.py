@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelry.llm import bpe, exact_dedup, jaccard_join, mixing, queries, toxicity
-from panelry.llm.common import table, written
+from panelry.llm.common import free_name, table, written
 
 #: The mix after toxic texts have gone: shares of poor and good text. No document is taken less
 #: than once, so the stage repeats documents and drops none.
@@ -19,8 +19,9 @@ STAGE_MIX, MOST_COPIES = [0.06, 0.93, 0.01], 2.0
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold; the id's rows go or stay together."""
     found = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
-    clean = found.where("predicted = 0").select(F.col("doc_id").alias("clean_id")).distinct()
-    return docs.join(clean, F.col("doc_id").cast("long").eqNullSafe(F.col("clean_id")), "left_semi")
+    own = free_name(docs, "clean_id")
+    clean = found.where("predicted = 0").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(clean, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left_semi")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +36,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, once at least."""
     labelled = queries.domain_labels(table(spark, sf_dir, "labels"))
     mixed = mixing.mix(docs, labelled, STAGE_MIX, low=1.0, high=MOST_COPIES)
-    times = mixed.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.max("copies").alias("copies"))
-    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("turn_no", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    own, copies, turn = (free_name(docs, name) for name in ("mixed_id", "copies", "turn_no"))
+    times = mixed.groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(copies))
+    joined = docs.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col(own)))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Classifiers and tokens are beyond SQL; the stages are tested against brute force instead.
+#: Classifiers and tokens are beyond SQL; the stages are tested on planted rows instead.
 ORACLE_SQL = None
 
 
