@@ -624,6 +624,58 @@ def parse_cuts(spark, folder):
     )
 
 
+def quoted_lines(spark, folder):
+    """Lines with quotes in quotes, escapes, and some that never close."""
+    return table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.expr(r"""concat('qt_', c_custkey, ' "http://h/a b"', CASE c_mktsegment
+            WHEN 'BUILDING' THEN ' "TITULO=Um '
+            WHEN 'MACHINERY' THEN ' TITULO=x \\'
+            WHEN 'HOUSEHOLD' THEN ' TITULO=Um # "dois'
+            ELSE concat(' 2001 1999 TITULO=a\\ b\'c "d"\'"e \\"', c_mktsegment, '\\" \\x" nota=', c_custkey) END)""").alias("linha"),
+    )
+
+
+def parse_lines(spark, folder):
+    lines = p.parse_lines(quoted_lines(spark, folder))
+    return lines.select(
+        "id", "variavel", "url", F.array_join(F.col("anos").cast("array<string>"), " ").alias("anos"),
+        F.try_element_at("opcoes", F.lit("TITULO")).alias("titulo"),
+        F.try_element_at("opcoes", F.lit("NOTA")).alias("nota"), "erro",
+    )
+
+
+SEGMENT_PREFIX = {"BUILDING": "QT_", "AUTOMOBILE": "QT_", "MACHINERY": "TP_", "HOUSEHOLD": "TP_"}
+
+
+def resolved_maps(spark, folder):
+    """A saved query per client, and two for some, against headers that grow with the orders."""
+    prefix = "CASE c_mktsegment " + " ".join(
+        f"WHEN '{k}' THEN '{v}'" for k, v in SEGMENT_PREFIX.items()) + " ELSE 'NO_' END"
+    customers = table(spark, folder, "customer")
+    orders = table(spark, folder, "orders").select("o_custkey", F.year("o_orderdate").alias("ano"))
+    headers = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        "ano", F.expr(f"concat({prefix}, c_custkey)").alias("coluna")
+    ).distinct()
+    areas = orders.select("ano").distinct().select(
+        "ano", F.explode(F.expr("CASE WHEN ano = 1998 THEN array('CO_MUNICIPIO') ELSE array('CO_UF', 'CO_MUNICIPIO') END"))
+        .alias("coluna"))
+    ends = (
+        f"CASE c_mktsegment WHEN 'BUILDING' THEN array('{MESH}/paises/BR?intrarregiao=UF') "
+        f"WHEN 'AUTOMOBILE' THEN array('\\'{MESH}/estados/11?intrarregiao=municipio&qualidade=minima\\' 1997 1996') "
+        f"WHEN 'MACHINERY' THEN array('{MESH}/paises/BR?intrarregiao=UF 1996') "
+        f"WHEN 'HOUSEHOLD' THEN array('{MESH}/paises/BR?intrarregiao=municipio CATEGORIA=2', "
+        f"'{MESH}/paises/BR?intrarregiao=municipio CATEGORIA=3') "
+        f"ELSE array('{MESH}/paises/BR?intrarregiao=UF') END"
+    )
+    lines = customers.select(F.col("c_custkey").alias("id"), F.expr(prefix).alias("p"), F.explode(F.expr(ends)).alias("fim"))
+    lines = lines.select("id", F.concat("p", "id", F.lit(" "), "fim").alias("linha"))
+    return p.resolved_maps(headers.unionByName(areas), lines).select(
+        "id", "variavel", "agregacao", "categoria",
+        F.array_join(F.col("usados").cast("array<string>"), " ").alias("anos"), "slug", "erro",
+    )
+
+
 def slugs(spark, folder):
     parts = table(spark, folder, "part")
     return parts.select("p_partkey", p.slug("p_brand", "p_name", F.lit("Ação")).alias("slug"))
@@ -692,7 +744,7 @@ QUERIES = (
     most_empty, prefix_types, stack_editions, load_edition, upsert_by_key, discover_editions,
     sample_head, where_equals, where_contains, numbers_where_lossless, area_sum, area_rate,
     area_category, mesh_join, mesh_coverage, quantile_breaks, quantile_classes, class_ranges,
-    parse_cuts, slugs, aggregation_for, build_map, build_all_maps, all_maps_coverage,
+    parse_cuts, parse_lines, resolved_maps, slugs, aggregation_for, build_map, build_all_maps, all_maps_coverage,
 )
 
 

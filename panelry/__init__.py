@@ -73,7 +73,14 @@ from panelry.operators.stack import (
     stack_editions,
     upsert_by_key,
 )
-from panelry.plans.maps import MapSpec, area_tables, build_all_maps, build_map, write_all_maps
+from panelry.plans.maps import (
+    MapSpec,
+    area_tables,
+    build_all_maps,
+    build_map,
+    resolved_maps,
+    write_all_maps,
+)
 from panelry.plans.preparation import prepare_panel
 from panelry.sources.editions import (
     apply_prefix_types,

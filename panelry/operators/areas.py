@@ -58,6 +58,15 @@ class Cut:
         )
 
 
+MAPPABLE = "use QT_* (sum), IN_* (share) or TP_* (share of one category)"
+
+
+def category_missing(variable: str) -> str:
+    known = fixed.CODE_LABELS.get(variable, {})
+    options = ", ".join(f"{k}={v}" for k, v in known.items()) or "see the dictionary"
+    return f"{variable} is a category: choose one code. Options: {options}"
+
+
 # -- which variables and years -----------------------------------------------
 
 
@@ -66,8 +75,7 @@ def aggregation_for(variable: str) -> str:
     mode = MODE_BY_KIND.get(types.kind_of(variable))
     if mode is None:
         raise InvalidQuery(
-            f"{variable} ({types.kind_of(variable) or 'unknown kind'}) cannot be mapped; "
-            "use QT_* (sum), IN_* (share) or TP_* (share of one category)"
+            f"{variable} ({types.kind_of(variable) or 'unknown kind'}) cannot be mapped; {MAPPABLE}"
         )
     return mode
 
@@ -150,9 +158,7 @@ def measure(
     value = name(variable) if where is None else F.when(where, name(variable))
     if mode == CATEGORY:
         if category is None:
-            known = fixed.CODE_LABELS.get(variable, {})
-            options = ", ".join(f"{k}={v}" for k, v in known.items()) or "see the dictionary"
-            raise InvalidQuery(f"{variable} is a category: choose one code. Options: {options}")
+            raise InvalidQuery(category_missing(variable))
         hit = (value == (F.lit(str(category)) if text else F.lit(category))).cast("double")
         return Measure(F.sum(hit), F.count(hit), mode)
     if text:

@@ -15,24 +15,74 @@ from panelry.functions.codes import CODE_OF_STATE, map_value
 from panelry.functions.text import strip
 from panelry.operators.areas import Cut
 
-# A word of a line: blanks inside quotes do not end it.
-_WORD = r"""((?:[^\s"']+|"[^"]*"|'[^']*')+)"""
-_QUOTED = r""""([^"]*)"|'([^']*)'"""
+# The pieces a line is read by: blanks, an escape with what it escapes, a quote, anything else.
+_PIECE = r"""(?s)([ \t\r\n]+|\\.?|["']|[^ \t\r\n"'\\]+)"""
+_BLANKS = r"^[ \t\r\n]"
 # Scheme, host, path and query of an address.
 _ADDRESS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
 
+def lex(text: Column) -> Column:
+    """Words of a line as a shell would cut them: ``struct<mode, word, words>``.
+
+    An automaton folded over the pieces.  Outside quotes a backslash takes the next sign as it is;
+    single quotes take everything; inside double quotes a backslash escapes only a double quote or
+    itself.  ``mode`` tells how the line ended: blank (all words closed), ``word``, inside a quote
+    (``single``, ``double``), or ``escape`` where nothing follows a backslash.
+    """
+    start = F.struct(
+        F.lit("").alias("mode"), F.lit("").alias("word"), F.array().cast("array<string>").alias("words")
+    )
+
+    def state(s: Column, mode, added: Column | str = "") -> Column:
+        word = F.concat(s["word"], F.lit(added) if isinstance(added, str) else added)
+        return F.struct(
+            (F.lit(mode) if isinstance(mode, str) else mode).alias("mode"), word.alias("word"), s["words"].alias("words")
+        )
+
+    def closed(s: Column) -> Column:
+        words = F.when(s["mode"] == "", s["words"]).otherwise(F.concat(s["words"], F.array(s["word"])))
+        return F.struct(F.lit("").alias("mode"), F.lit("").alias("word"), words.alias("words"))
+
+    def step(s: Column, x: Column) -> Column:
+        mode, escaped, lone = s["mode"], F.substring(x, 2, 1), x == "\\"
+        is_escape = x.startswith("\\")
+        single = (
+            F.when(x.isin("'", "\\'"), state(s, "word", F.rtrim(x, F.lit("'"))))
+            .otherwise(state(s, "single", x))
+        )
+        double = (
+            F.when(x == '"', state(s, "word"))
+            .when(lone, state(s, "escape"))
+            .when(is_escape & escaped.isin('"', "\\"), state(s, "double", escaped))
+            .otherwise(state(s, "double", x))
+        )
+        plain = (
+            F.when(x.rlike(_BLANKS), closed(s))
+            .when(x == "'", state(s, "single"))
+            .when(x == '"', state(s, "double"))
+            .when(lone, state(s, "escape"))
+            .when(is_escape, state(s, "word", escaped))
+            .otherwise(state(s, "word", x))
+        )
+        return F.when(mode == "single", single).when(mode == "double", double).otherwise(plain)
+
+    return F.aggregate(
+        F.regexp_extract_all(text, F.lit(_PIECE), F.lit(1)),
+        start,
+        step,
+        lambda s: F.when(s["mode"] == "word", closed(s)).otherwise(s),
+    )
+
+
 def parse_lines(lines: DataFrame, line: str = "linha") -> DataFrame:
     """Query lines to ``variavel, url, anos, opcoes, erro``; blanks and comments drop out.
 
     Each word is known by its form: an address, a year, an option, and the
-    first other one is the variable.
+    first other one is the variable.  A comment begins at the first ``#``, also
+    inside a quote, which then stays open and is an error.
     """
     text = strip(F.substring_index(F.col(line), "#", 1))
-    words = F.transform(
-        F.regexp_extract_all("__text", F.lit(_WORD), F.lit(1)),
-        lambda w: F.regexp_replace(w, _QUOTED, "$1$2"),
-    )
 
     def is_address(w: Column) -> Column:
         return w.startswith("http")
@@ -63,10 +113,16 @@ def parse_lines(lines: DataFrame, line: str = "linha") -> DataFrame:
     years = F.array_sort(F.transform(F.filter("__words", is_year), lambda w: w.cast("int")))
     url = F.element_at(F.filter("__words", is_address), -1)
     missing = (F.col("variavel") == "") | (F.col("url") == "")
+    error = (
+        F.when(F.col("__lexed.mode").isin("single", "double"), "a quote is not closed")
+        .when(F.col("__lexed.mode") == "escape", "nothing follows the last backslash")
+        .when(missing, "the line has no variable or no mesh address")
+    )
     return (
         lines.withColumn("__text", text)
         .filter(F.col("__text") != "")
-        .withColumn("__words", words)
+        .withColumn("__lexed", F.explode(F.array(lex(F.col("__text")))))
+        .withColumn("__words", F.col("__lexed.words"))
         .withColumn("__entries", entries)
         .withColumns({
             "variavel": F.coalesce(F.upper(variable), F.lit("")),
@@ -74,8 +130,8 @@ def parse_lines(lines: DataFrame, line: str = "linha") -> DataFrame:
             "anos": years,
             "opcoes": F.map_from_entries(later),
         })
-        .withColumn("erro", F.when(missing, "the line has no variable or no mesh address"))
-        .drop("__text", "__words", "__entries")
+        .withColumn("erro", error)
+        .drop("__text", "__lexed", "__words", "__entries")
     )
 
 

@@ -11,19 +11,25 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelry import fixed
 from panelry.errors import InvalidQuery
 from panelry.frames import local_frame, name, require
+from panelry.functions.codes import map_value
 from panelry.functions.text import slug as slug_of
+from panelry.functions.types import kind as kind_column
 from panelry.functions.types import kind_of
 from panelry.operators.areas import (
+    CATEGORY,
+    MAPPABLE,
     Cut,
     aggregation_for,
+    aggregation_of,
     area_aggregate,
     area_code,
+    category_missing,
     join_mesh,
     measure,
     panel_rows,
@@ -48,6 +54,118 @@ class MapSpec:
     slug: str = ""
 
 
+def resolved_maps(catalog: DataFrame, queries: DataFrame, line: str = "linha") -> DataFrame:
+    """Saved queries with all that makes a map of them, or why none can be made; a row per query.
+
+    Adds to the columns of :func:`parse_cuts`: ``agregacao``, ``categoria``, ``usados`` (the years
+    the map shows), ``slug`` and ``erro``.  One relational job whatever the number of queries: the
+    headers become one row per column with its years, and each query meets two of them.
+    """
+    lines = parse_cuts(queries, line)
+    editions = F.coalesce(
+        catalog.agg(F.array_sort(F.collect_set(F.col("ano").cast("int")))).scalar(),
+        F.array().cast("array<int>"),
+    )
+    # one entry per edition, so the set cannot grow with the columns
+    present = catalog.groupBy("coluna").agg(F.array_sort(F.collect_set(F.col("ano").cast("int"))).alias("__years"))
+    of_variable = present.select(F.col("coluna").alias("__variable"), F.col("__years").alias("__of_variable"))
+    of_group = present.select(F.col("coluna").alias("__group"), F.col("__years").alias("__of_group"))
+    found = (
+        lines.join(of_variable, F.col("variavel") == F.col("__variable"), "left")
+        .join(of_group, F.col("coluna") == F.col("__group"), "left")
+        .drop("__variable", "__group")
+        .withColumns({
+            "__editions": editions,
+            "agregacao": aggregation_of(F.col("variavel")),
+            "__category": F.try_element_at("opcoes", F.lit("CATEGORIA")),
+        })
+    )
+    none = F.array().cast("array<int>")
+    asked = F.size("anos") > 0
+    compared = F.when(asked, F.array_distinct("anos")).otherwise(F.col("__editions"))
+    has_variable = F.coalesce("__of_variable", none)
+    has_group = F.coalesce("__of_group", none)
+
+    def serves(y):
+        return F.array_contains(has_variable, y) & F.array_contains(has_group, y)
+
+    def refusal(y):
+        lacking = F.array_distinct(F.array_compact(F.array(
+            F.when(~F.array_contains(has_variable, y), F.col("variavel")),
+            F.when(~F.array_contains(has_group, y), F.col("coluna")),
+        )))
+        edition = F.array_contains("__editions", y)
+        return F.concat(y.cast("string"), F.lit(": lacks "),
+                        F.when(edition, F.array_join(lacking, ", ")).otherwise("the edition"))
+
+    found = found.withColumn("__serving", F.filter(compared, serves)).withColumn(
+        "__refused", F.array_join(F.transform(F.filter(compared, lambda y: ~serves(y)), refusal), "; ")
+    )
+    category = F.col("__category").try_cast("int")
+    kind = F.coalesce(F.nullif(kind_column(F.col("variavel")), F.lit("")), F.lit("unknown kind"))
+    serving = F.array_join(F.col("__serving").cast("array<string>"), ", ")
+    error = (
+        F.when(F.col("erro").isNotNull(), F.col("erro"))
+        .when(F.col("agregacao").isNull(), F.concat(F.col("variavel"), F.lit(" ("), kind, F.lit(") cannot be mapped; " + MAPPABLE)))
+        .when(F.size("__editions") == 0, "the catalogue has no edition")
+        .when(F.size("__serving") == 0, F.concat(
+            F.lit("no year serves "), "variavel", F.lit(" by "), "coluna", F.lit(": "), "__refused"))
+        .when(asked & (F.col("__refused") != ""), F.concat(
+            F.lit("years that do not serve: "), "__refused", F.lit(". Years that would: "), serving))
+        .when((F.col("agregacao") == CATEGORY) & F.coalesce(F.col("__category") == "", F.lit(True)), F.concat(
+            "variavel", F.lit(" is a category: choose one code. Options: "), options_of(F.col("variavel"))))
+        .when((F.col("__category") != "") & category.isNull(), F.concat(
+            F.lit("CATEGORIA is no code: "), "__category"))
+    )
+    used = F.when(asked, F.col("__serving")).otherwise(F.slice("__serving", -1, 1))
+    found = found.withColumn("erro", error).withColumns({
+        "categoria": F.when(F.col("erro").isNull(), category),
+        "usados": F.when(F.col("erro").isNull(), used),
+    }).drop("__of_variable", "__of_group", "__editions", "__category", "__serving", "__refused")
+    return with_slug(found)
+
+
+def options_of(variable) -> Column:
+    """The codes a category has, as a reader may choose them."""
+    known = {k: ", ".join(f"{c}={t}" for c, t in codes.items()) for k, codes in fixed.CODE_LABELS.items()}
+    return F.coalesce(map_value(variable, known), F.lit("see the dictionary"))
+
+
+def with_slug(found: DataFrame) -> DataFrame:
+    """Name every map after its variable, cut and years: a rebuild replaces, never piles up.
+
+    Only where different maps of the list would share that name it also tells what parts them:
+    the category, all the years, the mesh.
+    """
+    years = F.array_join(F.col("usados").cast("array<string>"), "-")
+    ends = F.array_distinct(F.array(F.element_at("usados", 1), F.element_at("usados", -1)))
+    span = F.array_join(ends.cast("array<string>"), "-")
+    cut = F.concat_ws("-", F.coalesce("intrarregiao", F.lit("total")), "codigo")
+    parts = {
+        "__category": F.coalesce(F.concat(F.lit("c"), F.col("categoria").cast("string")), F.lit("")),
+        "__years": years,
+        "__mesh": F.substring(F.sha2(F.col("malha").cast("binary"), 256), 1, 8),
+    }
+    named = found.withColumns({
+        "__base": F.when(F.col("erro").isNull(), slug_of(F.col("variavel"), cut, span)),
+        **{c: F.when(F.col("erro").isNull(), value) for c, value in parts.items()},
+    })
+    # two aggregates per part in hash form; the list itself is neither sorted nor windowed
+    maps = named.filter(F.col("__base").isNotNull()).select("__base", *parts).distinct()
+    differ = maps.groupBy(F.col("__base").alias("__name")).agg(*[
+        (F.count_distinct(c) > 1).alias(f"{c}_differs") for c in parts
+    ])
+    joined = named.join(differ, F.col("__base") == F.col("__name"), "left")
+    more = [F.when(F.col(f"{c}_differs") & (F.col(c) != ""), F.col(c)) for c in parts]
+    return joined.withColumn("slug", F.when(F.col("__base").isNotNull(), F.concat_ws("-", "__base", *more))).drop(
+        "__base", "__name", *parts, *[f"{c}_differs" for c in parts]
+    )
+
+
+def spec_of(row) -> MapSpec:
+    return MapSpec(row.variavel, cut_of(row), tuple(row.usados), row.categoria, row.slug)
+
+
 def resolve(
     catalog: DataFrame,
     variable: str,
@@ -58,55 +176,39 @@ def resolve(
     """Check one map against the headers."""
     variable = variable.upper()
     mode = aggregation_for(variable)
-    if mode == "categoria" and category is None:
-        raise InvalidQuery(f"{variable} is a category: choose one code")
     serving = tuple(usable_years(catalog, variable, cut.column, years))
+    if mode == CATEGORY and category is None:
+        raise InvalidQuery(category_missing(variable))
     spec = MapSpec(variable, cut, serving, category)
     return with_slugs(catalog, [spec])[0]
 
 
 def resolve_all(catalog: DataFrame, queries: DataFrame, line: str = "linha") -> list[MapSpec]:
-    """Check a list of saved queries; any that cannot be answered is an error."""
-    parsed = parse_cuts(queries, line)
-    rows = parsed.collect()
+    """Check a list of saved queries; any that cannot be answered is an error.
+
+    One job; what reaches the driver is a row per map, which the plan of the maps is made of.
+    """
+    numbered = queries.withColumn("__n", F.monotonically_increasing_id())
+    rows = sorted(resolved_maps(catalog, numbered, line).collect(), key=lambda row: row["__n"])
     wrong = [f"{row[line]!r}: {row.erro}" for row in rows if row.erro]
     if wrong:
         raise InvalidQuery("; ".join(wrong))
-    needed = sorted({c for row in rows for c in (row.variavel, row.coluna)})
-    # Only the needed columns of the headers reach the driver and the checks.
-    found = catalog.filter(F.col("coluna").isin(*needed)).select("ano", "coluna").distinct()
-    years = catalog.select("ano").distinct().withColumn("coluna", F.lit(None).cast("string"))
-    pairs = [tuple(row) for row in found.unionByName(years).collect()]
-    small = local_frame(catalog.sparkSession, {"ano": "int", "coluna": "string"}, pairs)
-    specs = []
-    for row in rows:
-        category = row.opcoes.get("CATEGORIA")
-        if aggregation_for(row.variavel) == "categoria" and not category:
-            raise InvalidQuery(f"{row.variavel} is a category: choose one code")
-        specs.append(
-            MapSpec(
-                row.variavel,
-                cut_of(row),
-                tuple(usable_years(small, row.variavel, row.coluna, row.anos or None)),
-                int(category) if category else None,
-            )
-        )
-    return check_distinct(with_slugs(catalog, specs))
+    return check_distinct([spec_of(row) for row in rows])
 
 
 def check_distinct(specs: Sequence[MapSpec]) -> list[MapSpec]:
-    """Refuse lists in which two maps would take one name, and so one folder."""
-    by_slug: dict[str, list[MapSpec]] = {}
+    """Each map once; different maps of one name, and so one folder, are refused."""
+    by_slug: dict[str, set[MapSpec]] = {}
     for spec in specs:
-        by_slug.setdefault(spec.slug, []).append(spec)
-    same = [slug for slug, found in by_slug.items() if len(set(found)) > 1]
+        by_slug.setdefault(spec.slug, set()).add(spec)
+    same = [slug for slug, found in by_slug.items() if len(found) > 1]
     if same:
         raise InvalidQuery(f"different maps of one name: {', '.join(sorted(same))}")
-    return [found[0] for found in by_slug.values()]
+    return [found.pop() for found in by_slug.values()]
 
 
 def with_slugs(frame: DataFrame, specs: Sequence[MapSpec]) -> list[MapSpec]:
-    """Name every map after its variable, cut and years: a rebuild replaces, never piles up."""
+    """Name maps made one by one, without looking at others."""
     parts = [
         (
             i,
@@ -126,6 +228,29 @@ def with_slugs(frame: DataFrame, specs: Sequence[MapSpec]) -> list[MapSpec]:
     ]
 
 
+def check_scopes(panel: DataFrame, specs: Sequence[MapSpec], year: str = fixed.YEAR) -> None:
+    """Refuse maps whose scope holds no unit in their years: one narrow scan for all of them."""
+    scopes = sorted({(s.cut.filter_column or "", s.cut.filter_value or 0, s.years, s.cut.scope, s.cut.code) for s in specs})
+    columns = sorted({c for c, *_ in scopes if c})
+    require(panel, columns)
+    rows = panel_rows(panel, sorted({y for s in specs for y in s.years}), year=year).select(name(year), *map(name, columns))
+    # one row per year and scope column value, so each scope is looked up in few rows
+    held = None
+    for column in ["", *columns]:
+        value = name(column).cast("bigint") if column else F.lit(0).cast("bigint")
+        part = rows.select(F.lit(column).alias("c"), value.alias("v"), name(year).cast("int").alias("y")).distinct()
+        held = part if held is None else held.unionByName(part)
+    wanted = local_frame(
+        panel.sparkSession, {"i": "int", "c": "string", "v": "bigint", "y": "int"},
+        [(i, c, v, y) for i, (c, v, years, *_) in enumerate(scopes) for y in years],
+    )
+    served = {r.i for r in wanted.join(held, ["c", "v", "y"], "left_semi").select("i").distinct().collect()}
+    empty = [f"{scope}/{code} in {', '.join(map(str, years))}"
+             for i, (_, _, years, scope, code) in enumerate(scopes) if i not in served]
+    if empty:
+        raise InvalidQuery(f"no unit in {'; '.join(empty)}")
+
+
 def build_map(
     panel: DataFrame,
     catalog: DataFrame,
@@ -274,10 +399,15 @@ def meshes_of(meshes: DataFrame, specs: Sequence[MapSpec]) -> DataFrame:
 
 
 def build_all_maps(
-    panel: DataFrame, catalog: DataFrame, queries: DataFrame, meshes: DataFrame
+    panel: DataFrame, catalog: DataFrame, queries: DataFrame, meshes: DataFrame, check: bool = True
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every map of a query list: polygons with data, coverage, area tables."""
+    """Every map of a query list: polygons with data, coverage, area tables.
+
+    ``check`` looks for a unit in the scope of every map before anything is built.
+    """
     specs = resolve_all(catalog, queries)
+    if check:
+        check_scopes(panel, specs)
     areas = area_tables(panel, specs)
     features, coverage = join_mesh(meshes_of(meshes, specs), areas, ["slug"])
     return features, coverage, areas
@@ -292,6 +422,7 @@ def write_all_maps(
     text tables come from one snapshot and the panel is scanned once.
     """
     specs = resolve_all(catalog, queries)
+    check_scopes(panel, specs)
     root = out.rstrip("/")
     area_tables(panel, specs).write.mode("overwrite").parquet(f"{root}/areas")
     areas = panel.sparkSession.read.parquet(f"{root}/areas")
