@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
+import uuid
 import warnings
 from collections.abc import Callable
 from pathlib import Path
@@ -425,18 +427,22 @@ def most_empty(spark, folder):
 
 
 def prefix_types(spark, folder):
-    text = editions(spark, folder)[1998]
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        typed, _ = p.apply_prefix_types(text)
-    return typed.select(
-        F.col("NU_ANO_CENSO").alias("ano"),
-        F.col("CO_ENTIDADE").alias("entidade"),
-        F.col("CO_CLIENTE").alias("cliente"),
-        F.col("TP_PRIORIDADE").cast("int").alias("prioridade"),
-        F.col("IN_URGENTE").cast("int").alias("urgente"),
-        F.round("QT_VALOR", 2).alias("valor"),
-    )
+    """Every edition typed by its names and values, side by side."""
+    out = None
+    for text in editions(spark, folder).values():
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            typed, _ = p.apply_prefix_types(text)
+        shown = typed.select(
+            F.col("NU_ANO_CENSO").alias("ano"),
+            F.col("CO_ENTIDADE").alias("entidade"),
+            F.col("CO_CLIENTE").cast("string").alias("cliente"),
+            F.col("TP_PRIORIDADE").cast("int").alias("prioridade"),
+            *[F.col(c).cast("int").alias("urgente") for c in typed.columns if c == "IN_URGENTE"],
+            *[F.round(c, 2).alias("valor") for c in typed.columns if c == "QT_VALOR"],
+        )
+        out = shown if out is None else out.unionByName(shown, allowMissingColumns=True)
+    return out
 
 
 def stack_editions(spark, folder):
@@ -532,6 +538,153 @@ def numbers_where_lossless(spark, folder):
     return p.numbers_where_lossless(text)
 
 
+# -- sources and sinks -----------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the session's executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.conf.get("spark.master").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="panelry-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+RECORD_COLUMNS = ["CO_ENTIDADE", "NO_TEXTO", "TP_PRIORIDADE", "QT_VALOR"]
+
+
+def order_lines(spark, folder):
+    """Orders as lines of an edition: no-value tokens in turn, quoted signs, lines cut short."""
+    orders = table(spark, folder, "orders")
+    tokens = F.array(*map(F.lit, fixed.NA_TOKENS))
+    token = F.get(tokens, F.pmod(F.col("o_custkey"), F.lit(len(fixed.NA_TOKENS))).cast("int"))
+    texts = [
+        F.col("o_orderkey").cast("string"),
+        F.concat(F.lit('a;"'), F.col("o_orderpriority"), F.lit('" é')),
+        F.when(F.col("o_orderpriority") == "5-LOW", token).otherwise(F.substring("o_orderpriority", 1, 1)),
+        F.col("o_custkey").cast("string"),
+    ]
+    whole = p.to_record([c.alias(f"c{i}") for i, c in enumerate(texts)])
+    short = p.to_record([c.alias(f"c{i}") for i, c in enumerate(texts[:3])])
+    return orders.select(
+        F.year("o_orderdate").alias("ano"), F.when(F.col("o_orderstatus") == "P", short).otherwise(whole).alias("value")
+    )
+
+
+def text_scan(spark, folder):
+    return p.parse_records(order_lines(spark, folder), ";".join(RECORD_COLUMNS)).select(
+        "ano", F.col("CO_ENTIDADE").alias("entidade"), F.col("NO_TEXTO").alias("texto"),
+        F.col("TP_PRIORIDADE").alias("prioridade"), F.col("QT_VALOR").alias("valor"),
+        F.col("linha_ruim").isNotNull().alias("ruim"),
+    )
+
+
+def mesh_scan(spark, folder):
+    """A collection per brand of parts, as one text each, and one per region of nations."""
+    def collections(rows, mesh, code):
+        shape = F.expr("array(array(array(0, n), array(n, 1), array(0, n)))")
+        feature = F.to_json(F.struct(
+            F.lit("Feature").alias("type"), F.struct(F.col("n").cast("string").alias("codarea")).alias("properties"),
+            F.struct(F.lit("Polygon").alias("type"), shape.alias("coordinates")).alias("geometry")))
+        features = rows.select(F.col(mesh).cast("string").alias("malha"), F.col(code).cast("bigint").alias("n"))
+        listed = features.groupBy("malha").agg(F.array_sort(F.collect_list(F.struct("n", feature.alias("f")))).alias("l"))
+        text = F.array_join(F.col("l.f"), ",")
+        return listed.select("malha", F.concat(
+            F.lit('{"type":"FeatureCollection","features":['), text, F.lit("]}")).alias("conteudo"))
+
+    nations = collections(table(spark, folder, "nation"), "n_regionkey", "n_nationkey")
+    parts = collections(table(spark, folder, "part"), "p_brand", "p_partkey")
+    return p.parse_meshes(nations.unionByName(parts))
+
+
+def sample_file(spark, folder):
+    """The first matching parts in file order, written as a sample and read back."""
+    parts = table(spark, folder, "part")
+    found = p.sample_scan(parts, 25, ["p_partkey", "p_name", "p_type"], {"p_type": "economy"}, {"p_name": "RED"})
+    path = scratch(spark, "sample")
+    p.write_sample(found.rows, path)
+    return p.read_edition_text(spark, path, encoding="UTF-8").withColumn("linha", F.monotonically_increasing_id())
+
+
+def dictionary_file(spark, folder):
+    """The dictionary written as text and read back with its types."""
+    path = scratch(spark, "dictionary")
+    p.write_dictionary(p.data_dictionary(editions(spark, folder), common_only=False), path)
+    out = p.read_dictionary(spark, path)
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("n_distintos", "largura_max", "n_anos")}).select(
+        "coluna", "dtype_serie", "tipo_estavel", "comum", "n_anos", "n_distintos", "largura_max",
+        F.round("minimo", 2).alias("minimo"), F.round("maximo", 2).alias("maximo"), "anos_presentes", "zeros_a_esquerda",
+    )
+
+
+def editions_copy(spark, folder):
+    """A copy by year, one year of it replaced, two years read back."""
+    rows = panel(spark, folder).select("NU_ANO_CENSO", "CO_ENTIDADE", "CO_UF", "QT_VALOR")
+    path = scratch(spark, "editions")
+    p.write_editions(rows, path)
+    p.write_editions(rows.filter(F.col("NU_ANO_CENSO") == 1998).withColumn("QT_VALOR", -F.col("QT_VALOR")), path)
+    return p.read_editions(spark, path, [1997, 1998], ["CO_ENTIDADE", "QT_VALOR", "NU_ANO_CENSO"]).select(
+        F.col("NU_ANO_CENSO").alias("ano"), F.col("CO_ENTIDADE").alias("entidade"), F.col("QT_VALOR").alias("valor"))
+
+
+def geojson_features(spark, folder):
+    """Polygons written as GeoJSON lines, read back and taken apart as any reader would."""
+    features, _ = p.join_mesh(client_mesh(spark, folder), client_areas(spark, folder))
+    path = scratch(spark, "geojson")
+    p.write_geojson_features(features, path)
+    schema = ("type string, properties struct<codarea string, nome string, valores map<string, double>, "
+              "escolas map<string, bigint>>, geometry string")
+    read = spark.read.text(path).select(F.from_json("value", schema).alias("f"))
+    shown = read.filter(F.col("f.type") == "Feature").select(
+        "f.properties.codarea", "f.properties.nome", F.col("f.geometry").alias("forma"), "f.properties.escolas",
+        F.explode_outer("f.properties.valores").alias("ano", "valor"))
+    return shown.select("codarea", "nome", "forma", F.col("ano").cast("int").alias("ano"), "valor",
+                        F.coalesce(F.try_element_at("escolas", "ano"), F.lit(0)).alias("escolas"))
+
+
+def dominant_category(spark, folder):
+    out = p.dominant_category(panel(spark, folder), "TP_PRIORIDADE", p.Cut.of("municipio"))
+    return out.withColumns({c: F.round(c, 6) for c in ("pct", "margem")}).withColumn("categoria", F.col("categoria").cast("int"))
+
+
+def audit_with_domain(spark, folder):
+    """The dictionary beside descriptions of each year, those with listed categories."""
+    rows = table(spark, folder, "orders").groupBy(F.year("o_orderdate").alias("ano")).agg(F.max("o_orderkey").alias("k"))
+    texts = rows.select("ano", F.col("k").cast("int").alias("row_idx"), F.explode(F.array(*map(F.lit, [
+        "IN_URGENTE", "TP_PRIORIDADE", "CO_CLIENTE", "NO_NADA"]))).alias("coluna"), "k").select(
+        "coluna", "ano", "row_idx", F.concat(F.lit("d "), "coluna", F.lit(" "), "k").alias("descricao"),
+        F.lit("Num").alias("tipo_inep"), F.col("k").cast("string").alias("tamanho_inep"),
+        F.when(F.col("coluna").startswith("CO_"), "").otherwise(F.concat(F.lit("1 - x | 2 - "), "ano")).alias("categorias"))
+    described = p.data_dictionary(editions(spark, folder), common_only=False, descriptions=texts)
+    return p.audit_with_domain(described).select("coluna", "descricao", "tipo_inep", "tamanho_inep", "categorias", "dtype_serie")
+
+
+def stack_decimals(spark, folder):
+    """Decimal columns of growing width; the stack holds them all exactly."""
+    orders = table(spark, folder, "orders")
+
+    def edition(year: int) -> DataFrame:
+        kind = "decimal(9,2)" if year < 1997 else "decimal(12,2)" if year < 1999 else "decimal(18,4)"
+        return slice_of(orders, year).select(
+            F.lit(year).alias("NU_ANO_CENSO"), F.col("o_orderkey").alias("CO_ENTIDADE"),
+            F.col("o_totalprice").cast(kind).alias("QT_VALOR"))
+
+    stacked = p.stack_editions({year: edition(year) for year in YEARS})
+    return stacked.select(
+        F.col("NU_ANO_CENSO").alias("ano"), F.col("CO_ENTIDADE").alias("entidade"),
+        F.col("QT_VALOR").cast("string").alias("valor"), F.lit(dict(stacked.dtypes)["QT_VALOR"]).alias("tipo"))
+
+
+def upsert_repeated(spark, folder):
+    """Updates that repeat their keys: one row per key stays, the newest."""
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("chave"), F.col("c_name").alias("nome"), F.lit(0).cast("bigint").alias("versao"))
+    orders = table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("chave"), F.col("o_orderpriority").alias("nome"), F.col("o_orderkey").alias("versao"))
+    return p.upsert_by_key(customers, orders, "chave", newest="versao")
+
+
 # -- areas and maps ------------------------------------------------------------
 
 
@@ -678,7 +831,7 @@ def resolved_maps(spark, folder):
 
 def slugs(spark, folder):
     parts = table(spark, folder, "part")
-    return parts.select("p_partkey", p.slug("p_brand", "p_name", F.lit("Ação")).alias("slug"))
+    return parts.select("p_partkey", p.slug("p_brand", "p_name", F.lit("Ação ạ ḁ ﬁ Ａ①")).alias("slug"))
 
 
 def aggregation_for(spark, folder):
@@ -744,7 +897,8 @@ QUERIES = (
     most_empty, prefix_types, stack_editions, load_edition, upsert_by_key, discover_editions,
     sample_head, where_equals, where_contains, numbers_where_lossless, area_sum, area_rate,
     area_category, mesh_join, mesh_coverage, quantile_breaks, quantile_classes, class_ranges,
-    parse_cuts, parse_lines, resolved_maps, slugs, aggregation_for, build_map, build_all_maps, all_maps_coverage,
+    text_scan, mesh_scan, sample_file, dictionary_file, editions_copy, geojson_features, dominant_category,
+    audit_with_domain, stack_decimals, upsert_repeated, parse_cuts, parse_lines, resolved_maps, slugs, aggregation_for, build_map, build_all_maps, all_maps_coverage,
 )
 
 

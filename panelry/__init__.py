@@ -20,6 +20,7 @@ from panelry.operators.areas import (
     area_aggregate,
     class_ranges,
     coverage_warnings,
+    dominant_category,
     join_mesh,
     mesh_coverage,
     quantile_breaks,
@@ -61,8 +62,10 @@ from panelry.operators.profile import (
 )
 from panelry.operators.sample import (
     file_position,
+    Sample,
     numbers_where_lossless,
     sample_head,
+    sample_scan,
     where_contains,
     where_equals,
 )
@@ -78,8 +81,10 @@ from panelry.plans.maps import (
     area_tables,
     build_all_maps,
     build_map,
+    read_map,
     resolved_maps,
     write_all_maps,
+    write_map,
 )
 from panelry.plans.preparation import prepare_panel
 from panelry.sources.editions import (
@@ -91,9 +96,14 @@ from panelry.sources.editions import (
     open_editions,
     read_edition,
     read_edition_text,
+    read_editions,
     write_edition,
+    write_editions,
 )
+from panelry.sources.records import parse_records, to_record
 from panelry.sources.tables import (
+    geojson_features,
+    parse_meshes,
     read_dictionary,
     read_mesh,
     write_area_table,

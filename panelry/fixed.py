@@ -183,3 +183,6 @@ MESH_FORMAT = "application/vnd.geo+json"
 # Colour classes of a map, codes listed in the coverage report.
 COLOUR_CLASSES = 7
 LISTED_CODES = 20
+
+# Fixed value: a map file larger than this is worth a warning.
+MAP_BYTES = 1_500_000

@@ -14,6 +14,7 @@ from panelry import fixed
 from panelry.errors import InvalidQuery
 from panelry.frames import name, require
 from panelry.functions import types
+from panelry.functions.codes import map_value
 
 SUM, RATE, CATEGORY = "soma", "taxa", "categoria"
 
@@ -235,6 +236,56 @@ def area_aggregate(
     )
 
 
+def dominant_category(
+    panel: DataFrame,
+    variable: str,
+    cut: Cut,
+    years: Sequence[int] | None = None,
+    active_only: bool = True,
+    year: str = fixed.YEAR,
+) -> DataFrame:
+    """The most frequent code of a category per area and year.
+
+    ``(ano, codarea, nome, categoria, rotulo, escolas, com_codigo, pct, margem)``: the units that
+    have it, the units with any code, their share in percent and its lead over the second code
+    in points.  Ties go to the smaller code; areas whose units have no code give no row.
+    """
+    if aggregation_for(variable) != CATEGORY:
+        raise InvalidQuery(f"{variable} is no category")
+    require(panel, [variable, cut.column])
+    rows = panel_rows(panel, years, active_only, year)
+    if cut.filter_column and cut.filter_value is not None:
+        rows = rows.filter(name(cut.filter_column) == cut.filter_value)
+    titled = cut.name_column is not None and cut.name_column in panel.columns
+    title = name(cut.name_column) if titled else area_code(cut.column)
+    keys = ["ano", "__area"]
+    counts = (
+        rows.filter(name(cut.column).isNotNull() & name(variable).isNotNull())
+        .groupBy(
+            name(year).alias("ano"), name(cut.column).alias("__area"), name(variable).alias("categoria"),
+            title.alias("__name"),
+        )
+        .agg(F.count(F.lit(1)).alias("__n"))
+    )
+    # areas have as many rows as codes here; names of one area are taken together
+    by_code = counts.groupBy(*keys, "categoria").agg(F.sum("__n").alias("escolas"), F.min("__name").alias("nome"))
+    whole = Window.partitionBy(*keys)
+    ranked = by_code.withColumns({
+        "__rank": F.row_number().over(whole.orderBy(F.desc("escolas"), "categoria")),
+        "com_codigo": F.sum("escolas").over(whole),
+        "nome": F.min("nome").over(whole),
+        "__second": F.lead("escolas", 1, 0).over(whole.orderBy(F.desc("escolas"), "categoria")),
+    })
+    share = F.lit(100.0) / F.col("com_codigo")
+    labels = fixed.CODE_LABELS.get(variable)
+    label_ = map_value(F.col("categoria"), labels) if labels else F.lit(None).cast("string")
+    return ranked.filter(F.col("__rank") == 1).select(
+        "ano", area_code("__area").alias("codarea"), "nome", "categoria",
+        F.coalesce(label_, F.col("categoria").cast("string")).alias("rotulo"), "escolas", "com_codigo",
+        (F.col("escolas") * share).alias("pct"), ((F.col("escolas") - F.col("__second")) * share).alias("margem"),
+    )
+
+
 # -- polygons ----------------------------------------------------------------
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelry.errors import MissingColumns, NoRows
@@ -81,6 +82,56 @@ def sample_head(
     return matching.limit(n).select(*map(quote, kept))
 
 
+@dataclass(frozen=True)
+class Sample:
+    """The first matching rows in file order, where they came from and what it took to find them."""
+
+    rows: DataFrame
+    files: list[str]
+    scanned: int
+
+
+def sample_scan(
+    df: DataFrame,
+    n: int = 100,
+    columns: Sequence[str] | None = None,
+    equals: Mapping[str, str] | None = None,
+    contains: Mapping[str, str] | None = None,
+) -> Sample:
+    """First ``n`` matching rows of files, in file order, with the number of rows scanned for them.
+
+    Files are taken by name, a first one alone and then twice as many at a time, until there are
+    enough rows: a common sample ends within the first file, where the scan stops at the task
+    that completes it.  The rows scanned are counted in the same scan.  What reaches the driver
+    is the sample alone.
+    """
+    equals, contains = dict(equals or {}), dict(contains or {})
+    kept = project(df, columns, [*equals, *contains])
+    files = sorted(df.inputFiles())
+    if not files:
+        raise ValueError("the frame is not read from files")
+    spark, rows, used, scanned, taken = df.sparkSession, [], [], 0, 1
+    while files and len(rows) < n:
+        part, files = files[:taken], files[taken:]
+        counted = Observation()
+        # a path without a host is written with one slash or with three
+        paths = [x for path in part for x in {path, path.replace(":///", ":/", 1)}]
+        scan = df.filter(F.col("_metadata.file_path").isin(*paths)).withColumn("__at", file_position())
+        scan = scan.observe(counted, F.count(F.lit(1)).alias("rows"))
+        matching = where_contains(where_equals(scan, equals), contains)
+        if taken > 1 or len(part) > 1:
+            matching = matching.orderBy("__at")
+        found = matching.limit(n - len(rows)).select(*map(quote, kept)).collect()
+        rows += found
+        used += part
+        scanned += counted.get.get("rows", 0)
+        taken *= 2
+    if not rows:
+        raise NoRows(f"no row matches the filters ({scanned} rows scanned)")
+    schema = df.select(*map(quote, kept)).schema
+    return Sample(spark.createDataFrame(rows, schema), used, scanned)
+
+
 def numbers_where_lossless(df: DataFrame) -> DataFrame:
     """Turn text columns into numbers where no value loses anything.
 

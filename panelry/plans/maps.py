@@ -7,11 +7,15 @@ sets of one aggregation, and row filters are conditions inside its measures.
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelry import fixed
@@ -30,6 +34,7 @@ from panelry.operators.areas import (
     area_aggregate,
     area_code,
     category_missing,
+    coverage_warnings,
     join_mesh,
     measure,
     panel_rows,
@@ -251,6 +256,23 @@ def check_scopes(panel: DataFrame, specs: Sequence[MapSpec], year: str = fixed.Y
         raise InvalidQuery(f"no unit in {'; '.join(empty)}")
 
 
+def map_meta(spec: MapSpec, cut: Cut, descriptions: DataFrame | None = None) -> dict:
+    """What a map shows, for its readers."""
+    return {
+        "slug": spec.slug,
+        "variavel": spec.variable,
+        "natureza": kind_of(spec.variable),
+        "agregacao": aggregation_for(spec.variable),
+        "categoria": spec.category,
+        "anos": list(spec.years),
+        "grao": cut.level or cut.scope,
+        "fonte_malha": cut.mesh,
+        "descricao": describe_variable(descriptions, spec.variable)
+        if descriptions is not None
+        else "",
+    }
+
+
 def build_map(
     panel: DataFrame,
     catalog: DataFrame,
@@ -265,22 +287,67 @@ def build_map(
     spec = resolve(catalog, variable, cut, years, category)
     areas = area_aggregate(panel, spec.variable, cut, spec.years, category)
     features, coverage = join_mesh(mesh, areas)
-    meta = {
-        "slug": spec.slug,
-        "variavel": spec.variable,
-        "natureza": kind_of(spec.variable),
-        "agregacao": aggregation_for(spec.variable),
-        "categoria": category,
-        "anos": list(spec.years),
-        "grao": cut.level or cut.scope,
-        "fonte_malha": cut.mesh,
-        "descricao": describe_variable(descriptions, spec.variable)
-        if descriptions is not None
-        else "",
-    }
+    meta = map_meta(spec, cut, descriptions)
     return {"features": features, "coverage": coverage, "areas": areas, "meta": meta}
 
 
+def write_map(
+    panel: DataFrame,
+    catalog: DataFrame,
+    mesh: DataFrame,
+    variable: str,
+    cut: Cut,
+    out: str,
+    years: Sequence[int] | None = None,
+    category: int | None = None,
+    descriptions: DataFrame | None = None,
+) -> dict:
+    """Build one map below ``out`` and publish it; returns its description with ``avisos``.
+
+    The panel is scanned once, for the area table; polygons, text table and coverage are read
+    from that.  All of it goes to a folder of its own, and one row appended to the map's manifest
+    publishes it: readers see the whole map before or the whole map after, also when a job fails
+    halfway.
+    """
+    spark = panel.sparkSession
+    spec = resolve(catalog, variable, cut, years, category)
+    areas = area_aggregate(panel, spec.variable, cut, spec.years, category, check=False)
+    home = f"{out.rstrip('/')}/{spec.slug}"
+    folder = f"{home}/{uuid.uuid4().hex}"
+    areas.write.parquet(f"{folder}/areas")
+    areas = spark.read.parquet(f"{folder}/areas")
+    if areas.isEmpty():
+        raise InvalidQuery(f"no unit in {cut.scope}/{cut.code} in the requested years")
+    features, coverage = join_mesh(mesh, areas)
+    write_geojson_features(features, f"{folder}/geojson")
+    write_area_table(areas, f"{folder}/csv")
+    size = spark.read.text(f"{folder}/geojson").agg(F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).scalar()
+    told = coverage_warnings(coverage).withColumn("bytes", size).first()
+    warned = list(told.avisos)
+    if told.bytes > fixed.MAP_BYTES:
+        warned.append(f"the map has {told.bytes / 2**20:.1f} MiB: take qualidade=minima or a smaller cut")
+    meta = map_meta(spec, cut, descriptions) | {
+        "cobertura": {c: told[c] for c in coverage.columns},
+        "avisos": warned,
+        "gerado_em": date.today().isoformat(),
+    }
+    row = (folder, int(time.time() * 1000), json.dumps(meta, ensure_ascii=False))
+    kinds = {"pasta": "string", "publicado": "bigint", "meta": "string"}
+    local_frame(spark, kinds, [row]).write.mode("append").json(f"{home}/manifest")
+    return meta
+
+
+def read_map(spark: SparkSession, out: str, slug: str) -> dict:
+    """The map published last: its meta, area table and feature lines."""
+    manifest = spark.read.schema("pasta string, publicado bigint, meta string").json(f"{out.rstrip('/')}/{slug}/manifest")
+    row = manifest.orderBy(F.desc("publicado"), "pasta").first()
+    return {
+        "meta": json.loads(row.meta),
+        "areas": spark.read.parquet(f"{row.pasta}/areas"),
+        "features": spark.read.text(f"{row.pasta}/geojson"),
+    }
+
+
 def area_tables(panel: DataFrame, specs: Sequence[MapSpec], year: str = fixed.YEAR) -> DataFrame:
     """``(slug, ano, codarea, nome, valor, escolas)`` of every map, in one scan."""
     specs = check_distinct(specs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,9 +110,52 @@ def edition_path(root: str, year: int) -> str:
 
 
 def edition_exists(spark: SparkSession, root: str, year: int) -> bool:
-    """Whether a complete columnar copy is there; an aborted write is not."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(edition_path(root, year) + "/_SUCCESS")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    """Whether a columnar copy is there; what an aborted write leaves is no table."""
+    try:
+        spark.read.parquet(edition_path(root, year))
+    except AnalysisException:
+        return False
+    return True
+
+
+def write_editions(panel: DataFrame, root: str) -> None:
+    """Columnar copy of a panel by year; years it holds replace those there, others stay.
+
+    Every year is written in files of its own, so a later read of some years opens no others.
+    """
+    (
+        panel.withColumn(fixed.YEAR, F.col(fixed.YEAR).cast("int"))
+        .write.partitionBy(fixed.YEAR)
+        .option("partitionOverwriteMode", "dynamic")
+        .mode("overwrite")
+        .parquet(root.rstrip("/"))
+    )
+
+
+def read_editions(
+    spark: SparkSession,
+    root: str,
+    years: Sequence[int] | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """Years of the copy; only their folders and only the requested columns are read.
+
+    A year the copy does not hold is an error.
+    """
+    copy = spark.read.option("mergeSchema", True).parquet(root.rstrip("/"))
+    if years is not None:
+        wanted = sorted({int(y) for y in years})
+        # a partition column alone: its values come from the folders, no file is opened
+        held = {r[0] for r in copy.select(fixed.YEAR).distinct().collect()}
+        if set(wanted) - held:
+            raise FileNotFoundError(f"no columnar copy of {sorted(set(wanted) - held)}")
+        copy = copy.filter(F.col(fixed.YEAR).isin(*wanted))
+    if columns is not None:
+        kept = [c for c in columns if c in copy.columns]
+        if not kept:
+            raise MissingColumns("none of the requested columns exists in the copy")
+        copy = copy.select(*map(quote, kept))
+    return copy
 
 
 def write_edition(df: DataFrame, root: str, year: int, overwrite: bool = False) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelry import fixed
@@ -32,8 +32,14 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     ])
 
 
-def write_sample(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A sample as one text file; its rows were limited before."""
+def write_sample(df: DataFrame, path: str, mode: str = "overwrite", most: int = 1_048_575) -> None:
+    """A sample as one text file, in the order of its rows.
+
+    One file is one task: a frame of more than ``most`` rows (what a sheet holds) is no sample
+    and is refused.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a sample has at most {most} rows; limit the frame first")
     df.coalesce(1).write.mode(mode).csv(path, sep=fixed.SEPARATOR, header=True, escape='"')
 
 
@@ -49,11 +55,26 @@ def read_mesh(spark: SparkSession, path: str) -> DataFrame:
     The geometry stays raw text: it is carried, never computed on.
     """
     raw = spark.read.schema(_MESH).option("multiLine", True).json(path)
-    refused = F.raise_error(F.lit("the mesh is not a FeatureCollection"))
-    features = F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(
-        refused.cast(raw.schema["features"].dataType)
-    )
-    return raw.select(F.posexplode(features).alias("posicao", "f")).select(
+    return _polygons(raw, F.struct("type", "features"), [])
+
+
+def parse_meshes(collections: DataFrame, text: str = "conteudo") -> DataFrame:
+    """Polygons of GeoJSON collections held as texts, as ``(..., posicao, codarea, geometry)``.
+
+    The other columns of ``collections`` stay and tell the meshes apart.  A text that is no
+    collection stops the job.  The geometry stays raw text.
+    """
+    others = [c for c in collections.columns if c != text]
+    return _polygons(collections, F.from_json(name(text), _MESH), others)
+
+
+def _polygons(df: DataFrame, mesh: Column, others: list[str]) -> DataFrame:
+    kind = "array<struct<type string, properties struct<codarea string>, geometry string>>"
+    read = df.select(*map(name, others), F.explode(F.array(mesh)).alias("__m"))
+    refused = F.raise_error(F.lit("the mesh is not a FeatureCollection")).cast(kind)
+    features = F.when(F.col("__m.type") == "FeatureCollection", F.col("__m.features")).otherwise(refused)
+    return read.select(*map(name, others), F.posexplode(features).alias("posicao", "f")).select(
+        *map(name, others),
         "posicao",
         F.coalesce("f.properties.codarea", F.lit("")).alias("codarea"),
         F.col("f.geometry").alias("geometry"),
