@@ -1,12 +1,8 @@
 """What every column holds, told by its values and not by its name.
 
-The cells are exploded to one row each and counted by value, then by column.
-Counting every distinct value would shuffle a wide edition almost whole, but
-the profile reports at most 200 distinct values and 5 examples.  So a small
-random sample fixes, per column, a value with at least 201 distinct values
-below it: every larger cell can no longer change the capped count or the examples
-and is folded, map side, into one running row of its column.  The sample only
-decides how much is folded; the result is exact for any sample.
+One scan: every task folds its cells to a bounded number of rows per column (see ``cells``), one
+shuffle merges them.  The distinct count is capped, so the smallest distinct values of each task,
+one more than the cap, are all that the count and the examples can depend on: the result is exact.
 """
 
 from __future__ import annotations
@@ -19,8 +15,9 @@ from pyspark.sql import functions as F
 
 from panelry import fixed
 from panelry.errors import MissingColumns
-from panelry.frames import explode_cells, local_frame, quote
+from panelry.frames import local_frame, quote
 from panelry.functions import types
+from panelry.operators.cells import column_partials
 
 PROFILE_COLUMNS = (
     "ano", "coluna", "natureza", "dtype_dados", "dtype_prefixo", "conflito", "n_linhas",
@@ -28,11 +25,6 @@ PROFILE_COLUMNS = (
     "zeros_a_esquerda", "exemplos",
 )
 
-_SAMPLE_CELLS = 200_000
-_CUT = 64
-_SEED = 17
-
-
 def profile(df: DataFrame, columns: Sequence[str] | None = None, ano: int = 0) -> DataFrame:
     """Profile of one edition, one row per column."""
     return profile_editions({ano: df}, columns)
@@ -48,12 +40,10 @@ def profile_editions(
         if not wanted:
             raise MissingColumns(f"none of the requested columns exists in {year}")
         scanned[int(year)] = df.select(*map(quote, wanted))
-    bounds = _fold_bounds(scanned)
-    cells = reduce(
-        DataFrame.unionAll,
-        [_bounded_cells(df, year, bounds) for year, df in scanned.items()],
+    partials = reduce(
+        DataFrame.unionByName, [column_partials(df, year) for year, df in scanned.items()]
     )
-    return _describe(_catalog(scanned), _count_values(cells)).select(*PROFILE_COLUMNS)
+    return _describe(_catalog(scanned), _merged(partials)).select(*PROFILE_COLUMNS)
 
 
 def _catalog(editions: Mapping[int, DataFrame]) -> DataFrame:
@@ -64,138 +54,44 @@ def _catalog(editions: Mapping[int, DataFrame]) -> DataFrame:
     )
 
 
-def _fold_bounds(
-    editions: Mapping[int, DataFrame],
-) -> dict[tuple[int, str], tuple[str | None, bool]]:
-    """Per column: the value above which cells fold, and whether it surely holds text.
-
-    The rows are drawn at random and their values cut short on the executors;
-    one short text per column reaches the driver.  Any value whose cut lies
-    below the bound lies below it itself, so a cut is as good a bound.
-    """
-    counts = reduce(DataFrame.unionAll, [
-        df.select(F.lit(year).alias("ano")).groupBy("ano").count() for year, df in editions.items()
-    ])
-    sizes = {row["ano"]: row["count"] for row in counts.collect()}
-    cells = []
-    for year, df in editions.items():
-        rows = min(20_000, max(2_000, _SAMPLE_CELLS // len(df.columns)))
-        drawn = df.sample(min(1.0, rows / max(1, sizes.get(year, 0))), seed=_SEED)
-        cells.append(explode_cells(drawn, df.columns).selectExpr(
-            f"CAST({year} AS INT) AS ano", "posicao",
-            f"{types.blank_to_null_text('valor')} AS valor",
-        ))
-    value = F.col("valor")
-    cuts = F.sort_array(F.collect_set(F.substring(value, 1, _CUT)))
-    found = reduce(DataFrame.unionAll, cells).groupBy("ano", "posicao").agg(
-        F.get(cuts, fixed.DISTINCT_CAP + 1).alias("limite"),
-        F.coalesce(F.bool_or(value.isNotNull() & types.number(value).isNull()), F.lit(False))
-        .alias("textual"),
-    )
-    return {
-        (row.ano, editions[row.ano].columns[row.posicao]): (row.limite, row.textual)
-        for row in found.collect()
-    }
-
-
-def _bounded_cells(df: DataFrame, year: int, bounds: Mapping) -> DataFrame:
-    """One row per cell with its column's bound.
-
-    The bounds are literal arrays read at the column's position, so no cell
-    pays for a join.
-    """
-    limits, flags = [], []
-    for column in df.columns:
-        limit, textual = bounds.get((year, column), (None, False))
-        bound = "NULL" if limit is None else f"X'{limit.encode().hex()}'"
-        limits.append(f"CAST({bound} AS STRING)")
-        flags.append(str(textual).upper())
-    return explode_cells(df, df.columns).selectExpr(
-        f"CAST({int(year)} AS INT) AS ano",
-        "posicao",
-        f"{types.blank_to_null_text('valor')} AS valor",
-        f"array({', '.join(limits)})[posicao] AS limite",
-        f"array({', '.join(flags)})[posicao] AS textual",
-    )
-
-
-def _count_values(cells: DataFrame) -> DataFrame:
-    """One row per (column, value) up to the bound, one for the rest of the column."""
-    value, limit = F.col("valor"), F.col("limite")
-    kept = F.when(limit.isNull() | (value <= limit), value)
-    folded = F.when(value > limit, value)
-    number = F.when(~F.col("textual"), types.number(F.col("resto")))
-    return (
-        cells.select("ano", "posicao", "textual", "valor", kept.alias("chave"),
-                     folded.alias("resto"))
-        .withColumn("numero", number)
-        .groupBy("ano", "posicao", "textual", "chave")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count("valor").alias("preenchidos"),
-            *_measures(F.col("resto"), F.col("numero")),
-        )
-    )
+def _merged(partials: DataFrame) -> DataFrame:
+    """One row of measures per column, one per key kept and one per example; numbers only, so it hashes."""
+    return partials.groupBy("ano", "posicao", "chave", "texto").agg(*_measures())
 
 
-def _measures(text: Column, number: Column) -> list[Column]:
-    known = text.isNotNull()
+def _measures() -> list[Column]:
     return [
-        F.max(F.length(text)).alias("largura"),
-        F.bool_and(F.when(known, number.isNotNull())).alias("numerico"),
-        F.bool_and(F.when(known, number % 1 == 0)).alias("inteiro"),
-        F.bool_and(F.when(number.isNotNull(), types.fits_bigint(text, number))).alias("cabe"),
-        F.bool_or(F.when(known, types.has_leading_zero(text))).alias("zeros"),
-        F.min(number).alias("minimo"),
-        F.max(number).alias("maximo"),
+        F.sum("n").alias("n"),
+        F.sum("preenchidos").alias("preenchidos"),
+        F.max("largura").alias("largura"),
+        F.bool_and("numerico").alias("numerico"),
+        F.bool_and("inteiro").alias("inteiro"),
+        F.bool_and("cabe").alias("cabe"),
+        F.bool_or("zeros").alias("zeros"),
+        F.min("minimo").alias("minimo"),
+        F.max("maximo").alias("maximo"),
     ]
 
 
-def _describe(catalog: DataFrame, counted: DataFrame) -> DataFrame:
-    by_column = ["ano", "posicao"]
-    key = F.col("chave")
-    number = F.col("numero_chave")
-    known = key.isNotNull()
+def _stats(merged: DataFrame) -> DataFrame:
+    return merged.groupBy("ano", "posicao").agg(
+        *_measures(), F.count("chave").alias("distintos")
+    ).withColumnRenamed("n", "n_linhas")
 
-    # Kept values are measured once per distinct value, not once per cell.
-    measured = counted.withColumn(
-        "numero_chave", F.when(~F.col("textual"), types.number(key))
-    )
-    stats = measured.groupBy(*by_column).agg(
-        F.sum("n").alias("n_linhas"),
-        F.sum("preenchidos").alias("preenchidos"),
-        F.count("chave").alias("distintos"),
-        F.max(F.coalesce(F.length(key), F.col("largura"))).alias("largura"),
-        F.bool_and(F.when(known, number.isNotNull()).otherwise(F.col("numerico"))).alias(
-            "numerico"
-        ),
-        F.bool_and(F.when(known, number % 1 == 0).otherwise(F.col("inteiro"))).alias("inteiro"),
-        F.bool_and(
-            F.when(number.isNotNull(), types.fits_bigint(key, number)).otherwise(F.col("cabe"))
-        ).alias("cabe"),
-        F.bool_or(F.when(known, types.has_leading_zero(key)).otherwise(F.col("zeros"))).alias(
-            "zeros"
-        ),
-        F.min(F.coalesce(number, F.col("minimo"))).alias("minimo"),
-        F.max(F.coalesce(number, F.col("maximo"))).alias("maximo"),
-    )
 
-    # The smallest values of each column.  The rank filter turns into a limit
-    # per partition before the shuffle.  The rows keep every measure so that
-    # this branch reads the same shuffle as the one above instead of scanning
-    # the editions again.
-    first = Window.partitionBy(*by_column).orderBy(F.asc_nulls_last("chave"))
-    rows = F.sort_array(F.collect_list(F.struct("chave", *[
-        c for c in counted.columns if c not in ("ano", "posicao", "chave")
+def _describe(catalog: DataFrame, merged: DataFrame) -> DataFrame:
+    by_column = ["ano", "posicao"]
+    # The rank filter turns into a limit per partition before the shuffle.  The rows keep every
+    # measure so that this branch reads the same shuffle as the counts.
+    first = Window.partitionBy(*by_column).orderBy(F.asc_nulls_last("texto"))
+    kept = merged.withColumn("ordem", F.row_number().over(first)).filter(F.col("ordem") <= fixed.EXAMPLES)
+    rows = F.sort_array(F.collect_list(F.struct("texto", *[
+        c for c in merged.columns if c not in ("ano", "posicao", "texto")
     ])))
-    examples = (
-        counted.withColumn("ordem", F.row_number().over(first))
-        .filter(F.col("ordem") <= fixed.EXAMPLES)
-        .groupBy(*by_column)
-        .agg(rows.alias("menores"))
-        .select(*by_column, F.array_compact(F.col("menores.chave")).alias("menores"))
+    examples = kept.groupBy(*by_column).agg(rows.alias("menores")).select(
+        *by_column, F.array_compact(F.col("menores.texto")).alias("menores")
     )
-    return _report(catalog.join(stats, by_column, "left").join(examples, by_column, "left"))
+    return _report(catalog.join(_stats(merged), by_column, "left").join(examples, by_column, "left"))
 
 
 def _report(columns: DataFrame) -> DataFrame:
@@ -272,19 +168,8 @@ def observed_types(
     wanted = [c for c in columns if c in df.columns]
     if not wanted:
         return {}
-    value, parsed = F.col("valor"), F.col("numero")
-    measured = (
-        explode_cells(df, wanted)
-        .selectExpr("0 AS ano", "posicao", f"{types.blank_to_null_text('valor')} AS valor")
-        .withColumn("numero", types.number(value))
-        .groupBy("ano", "posicao")
-        .agg(
-            F.count(F.lit(1)).alias("n_linhas"),
-            F.count("valor").alias("preenchidos"),
-            *_measures(value, parsed),
-        )
-        .withColumns({"distintos": F.lit(0), "menores": F.array()})
-    )
+    measured = _stats(_merged(column_partials(df.select(*map(quote, wanted)), 0, keys=0, examples=0)))
+    measured = measured.withColumn("menores", F.array().cast("array<string>"))
     described = _report(_catalog({0: df.select(*map(quote, wanted))}).join(
         measured, ["ano", "posicao"], "left"))
     rows = described.select("coluna", "dtype_dados", "dtype_numerico").collect()

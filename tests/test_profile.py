@@ -115,11 +115,8 @@ def brute_force(values):
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
-def test_folded_columns_match_brute_force(spark, by, partitions, monkeypatch):
-    """Many distinct values, a hot value, and a sample that sees only the largest ones."""
-    from panelry.operators import profile as module
-
-    monkeypatch.setattr(module, "_SAMPLE_CELLS", 0)  # smallest sample: 2000 rows
+def test_folded_columns_match_brute_force(spark, by, partitions):
+    """Many distinct values, a hot value, falling values, a late text."""
     rng = random.Random(7)
     n = 6_000
     columns = {
