@@ -289,6 +289,79 @@ def test_html_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, pages):
+    rows = [(i, f"http://{host}/{i}", body) for i, (host, body) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in html_text.extract(frame).orderBy("page_id").collect()]
+
+
+def test_copies_of_an_article_keep_their_text(spark):
+    inside = [("a", f"<body><article><h1>Title {i}</h1><p>A b</p><p>C d</p></article></body>") for i in range(10)]
+    bare = [("b", f"<body><h1>Title {i}</h1><p>A b</p></body>") for i in range(10)]
+    assert texts_of(spark, inside + bare) == [f"Title {i}\n\nA b\n\nC d" for i in range(10)] + [
+        f"Title {i}\n\nA b" for i in range(10)]
+
+
+def test_layouts_of_one_host_have_templates_of_their_own(spark):
+    first = [("a", f"<body><div class=one><p>Text {i}</p><p>Follow us</p></div></body>") for i in range(12)]
+    second = [("a", f"<body><section><ul><li>Other {i}</li></ul><em>All rights here</em></section></body>") for i in range(9)]
+    few = [("few", f"<body><div><p>Text {i}</p></div><div><p>Follow us</p></div></body>") for i in range(7)]
+    got = texts_of(spark, first + second + few)
+    assert got[:12] == [f"Text {i}" for i in range(12)] and got[12:21] == [f"Other {i}" for i in range(9)]
+    assert got[21:] == [f"Text {i}\n\nFollow us" for i in range(7)]  # too few pages for a template
+    assert texts_of(spark, first[:8] + [("a", "<body><table><td>odd</td></table></body>")])[:8] == [f"Text {i}" for i in range(8)]
+
+
+def test_names_inside_the_article(spark):
+    own = ("<article><p class='notice-of-award'>One</p><section class='comments-free bar'>Two</section>"
+           "<div class='news-banner-story story'>Three</div><div class=header>Four</div>"
+           "<div class='comment-list'>no</div><div class='ad top'>no</div><p class=notice>no</p><aside>no</aside></article>")
+    assert texts_of(spark, [("a", own)]) == ["One\n\nTwo\n\nThree\n\nFour"]
+
+
+def test_equivalence_classes_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pages = []
+    for i in range(30):
+        menu = "".join(f"<i>m{k}</i>" for k in range(3) if (i >> k) & 1)
+        pages.append(f"<body><div class=k{i % 2}><b>same {i % 2}</b><u>x</u></div>{menu}<p>own {rng.integers(9)}</p></body>")
+    vectors = collections.defaultdict(lambda: [collections.Counter(), collections.Counter()])
+    for i, page in enumerate(pages):
+        tags, texts = html_text.tokens(page)
+        for kind, found in ((0, tags), (1, [html_text.text_token(t) for t in texts if t.text.strip()])):
+            for token, n in collections.Counter(found).items():
+                vectors[token][kind][i] = n
+    classes = collections.Counter(frozenset(v[0].items()) for v in vectors.values() if len(v[0]) >= html_text.SUPPORT)
+    expected = {t for t, v in vectors.items() if len(v[1]) >= html_text.SUPPORT and classes[frozenset(v[1].items())] > 0}
+    frame = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
+    assert set(html_text.templates(frame).first().frame) == expected and len(expected) >= 2
+
+
+def test_deep_pages_need_little_memory():
+    import tracemalloc
+
+    page = "<div class=x>" * 100_000 + "text"
+    tracemalloc.start()
+    assert html_text.main_text(html_text.tokens(page)[1], set()) == "text"
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+
+
+def test_points_cut_off_are_found(spark):
+    """Multiples of one vector lie in the same place: pruning keeps one way to them, the links the others."""
+    rows = [(50 if i == 0 else i, [float(x * (i + 1)) for x in (1, 2, 3)]) for i in range(6)] + [(7, [3.0, -1.0, 0.5])]
+    got = graph_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(r["rank"] for r in got) == [1, 2, 3, 4, 5]
+    rng = np.random.default_rng(9)
+    points = np.concatenate([np.repeat(rng.normal(size=(3, 8)), 60, axis=0), rng.normal(size=(60, 8))])
+    points = graph_search.unit(points)
+    edges, start = graph_search.build(points)
+    seen = np.zeros(len(points), bool)
+    graph_search.reached(edges, seen, np.array([start]))
+    assert seen.all()
+
+
 def test_nearest_recall(spark):
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(1500, 16)).astype(np.float32)
