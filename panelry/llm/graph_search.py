@@ -3,7 +3,8 @@
 Vectors are dealt to shards of bounded size by content.  In a shard, points enter the graph in
 growing batches: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps
 a candidate only if no kept one is ``ALPHA`` times nearer to it than the point is, so edges point
-in different directions.  Every query then runs a beam search in every shard, and the shards'
+in different directions.  Points that pruning cut off are linked again.  A shard no larger than the
+beam is searched whole.  Every query then runs a beam search in every shard, and the shards'
 best are merged.  Queries are dealt to blocks of bounded size, and a task holds one shard and one
 block; the graph of a shard is built again for each block, which costs less than searching it.
 Scores of what the searches found are exact cosines in double precision.
@@ -117,7 +118,35 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: flo
         back[np.repeat(np.arange(len(touched)), many), degree + column] = source
         edges[touched] = prune(points, touched, back, degree, alpha)
         low, size = low + len(batch), min(BATCH, size * 2)
-    return edges, start
+    return linked(points, edges, start), start
+
+
+def reached(edges: np.ndarray, seen: np.ndarray, fresh: np.ndarray) -> None:
+    """Mark in ``seen`` all that the points ``fresh`` lead to."""
+    seen[fresh] = True
+    while len(fresh):
+        fresh = np.unique(edges[fresh])
+        fresh = fresh[fresh >= 0]
+        fresh = fresh[~seen[fresh]]
+        seen[fresh] = True
+
+
+def linked(points: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
+    """The edges with one more column by which every point can be reached from the start.
+
+    Pruning may leave a point no way in, copies of one direction above all.  Such a point hangs on
+    the reached one nearest to it, points on the same one in a chain.
+    """
+    link = np.full(len(points), -1)
+    seen = np.zeros(len(points), bool)
+    reached(edges, seen, np.array([start]))
+    while not seen.all():
+        lost = int(np.flatnonzero(~seen)[0])
+        known = np.flatnonzero(seen)
+        near = int(known[(points[known] @ points[lost]).argmax()])
+        link[lost], link[near] = link[near], lost
+        reached(np.concatenate([edges, link[:, None]], axis=1), seen, np.array([lost]))
+    return np.concatenate([edges, link[:, None]], axis=1)
 
 
 def search_shard(k: int, beam: int):
@@ -132,11 +161,14 @@ def search_shard(k: int, beam: int):
         vectors = np.stack(points["v"].to_numpy()).astype(np.float64)
         wanted = np.stack(queries["v"].to_numpy()).astype(np.float64)
         ids = points["ids"].to_list()
-        edges, start = build(unit(vectors))
+        edges, start = build(unit(vectors)) if len(vectors) > beam else (None, 0)
         out = []
         for low in range(0, len(wanted), BATCH):
             part = wanted[low:low + BATCH]
-            found, _ = greedy(unit(vectors), edges, start, unit(part), beam)
+            if len(vectors) <= beam:
+                found = np.broadcast_to(np.arange(len(vectors)), (len(part), len(vectors)))
+            else:
+                found, _ = greedy(unit(vectors), edges, start, unit(part), beam)
             for row, (query, target) in enumerate(zip(queries["query_id"].iloc[low:low + BATCH], part)):
                 hit = found[row][found[row] >= 0]
                 score = vectors[hit] @ target / (np.linalg.norm(vectors[hit], axis=1) * np.linalg.norm(target))
