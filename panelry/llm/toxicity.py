@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelry.llm.common import WORD, crc_bucket, fraction, in_parts, labelled_sample, whole_text, written
+from panelry.llm.common import WORD, crc_bucket, in_parts, labelled_sample, whole_text, written
 
 PREFIXES = (4, 5, 6, 7, 8)
 REPEATS = (2, 3)
@@ -209,15 +209,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, term
              threshold: float = 0.3) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score``, ``predicted``, ``votes``.
 
-    Labels are learnt from about ``sample_rows`` labelled rows whose crc32(doc_id) mod 4 is not
-    2; only texts enter the score.  Null and empty texts are scored like texts without any term.
+    Labels are learnt from rows whose crc32(doc_id) mod 4 is not 2; only texts enter the score.
+    About ``sample_rows`` labelled ones give the lexicon, its ``terms`` strongest terms; the label
+    model counts the votes of all rows, and the classifier is fitted on the posteriors of all.  Null and empty texts are scored like texts without any term.
     A null ``doc_id`` is never held out and never labelled.  Without labels of both kinds every
     score is the share of toxic rows known (0 if none).  Repeated rows are scored alike, further
     columns are ignored, an empty table gives an empty result.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    from pyspark.ml.feature import CountVectorizerModel
 
     plain = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"),
                         F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
@@ -238,17 +238,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, term
         counts[row["label"], row["votes"]] = row["count"]
     model = LabelModel(VOTERS, base).fit(counts[2], counts[:2])
     size = len(chosen) + len(PATTERNS)
-    vector = F.udf(lambda own: SparseVector(size, own, [1.0] * len(own)), VectorUDT())
     # where the label is known it is the posterior, as in the fit of the label model
-    posterior = F.coalesce(F.col("toxic").cast("double"), F.element_at(
-        F.lit([float(x) for x in model.posterior()]), F.col("votes") + 1))
-    share = min(1.0, sample_rows / max(1.0, counts.sum()))
-    soft = train.where(fraction("doc_id", 23) < share).select(vector("hits").alias("features"), posterior.alias("q"))
-    both = soft.select("features", F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")),
-        F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))).alias("at")).select("features", "at.*")
+    posterior = F.when(F.col("label") < 2, F.col("label").cast("double")).otherwise(
+        F.element_at(F.lit([float(x) for x in model.posterior()]), F.col("votes") + 1))
+    # all rows take part; those with the same hits are one row with their posteriors summed
+    alike = train.groupBy("hits").agg(F.sum(posterior).alias("one"), F.count("*").alias("n"))
+    to_vector = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(size)], inputCol="names", outputCol="features", minTF=0.0)
+    named = alike.select(F.col("hits").cast("array<string>").alias("names"), F.explode(F.array(
+        F.struct(F.lit(1.0).alias("label"), F.col("one").alias("weight")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("one")).alias("weight")))).alias("at"))
+    both = to_vector.transform(named.select("names", "at.*").where("weight > 0")).select("features", "label", "weight")
+    both = written(both, "soft")
     fitted = LogisticRegression(weightCol="weight", regParam=1e-4, maxIter=60, standardization=False).fit(both)
-    scored = fitted.transform(found.select("doc_id", "held_out", "votes", vector("hits").alias("features")))
-    score = F.element_at(vector_to_array("probability"), 2)
-    return scored.select("doc_id", "held_out", score.alias("score"),
-                         (score >= threshold).cast("int").alias("predicted"), "votes")
+    weights = F.lit([float(x) for x in fitted.coefficients])
+    logit = F.aggregate("hits", F.lit(float(fitted.intercept)), lambda sum_, i: sum_ + F.get(weights, i))
+    scored = found.select("doc_id", "held_out", (1 / (1 + F.exp(-logit))).alias("score"), "votes")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "votes")
