@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from panelry.llm.common import in_parts, whole_text, written
 
-CHUNK_BYTES = 24 << 20
-PART_BYTES = 4 << 20
+CHUNK_BYTES = 16 << 20
+PART_BYTES = 2 << 20
 #: Links expanded at once; a group of more is counted by its distinct ids instead.
 EXPANDED = 1 << 22
 WIDE = 1 << 12
@@ -88,14 +89,18 @@ def vocabularies(a_file: bytes, b_file: bytes):
     if name not in LOADED:
         ranks = byte_level_tokens(a_file)
         ranked = tiktoken.Encoding(name[0], pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        whole = Tokenizer.from_str(a_file.decode())
-        whole.encode_special_tokens = True
+
+        @cache
+        def library():
+            whole = Tokenizer.from_str(a_file.decode())
+            whole.encode_special_tokens = True
+            return whole
 
         def first(text: str) -> np.ndarray:
             try:
                 return ranked.encode_to_numpy(text, disallowed_special=())
             except ValueError:  # its pattern gives up on runs of a million blanks
-                return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+                return np.array(library().encode(text, add_special_tokens=False).ids, np.uint32)
 
         second = sentencepiece.SentencePieceProcessor(model_proto=b_file)
         a_tokens = [b""] * (max(ranks.values()) + 1)
@@ -153,13 +158,18 @@ def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray
     return low
 
 
-def common_ends(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks in both lists of the ends they share; both must rise strictly to the same last end."""
+def common_ends(a_ends: np.ndarray, b_ends: np.ndarray, a_n: np.ndarray, b_n: np.ndarray):
+    """Ranks in both lists of the ends they share; both must rise strictly to the same last end.
+
+    ``a_n`` and ``b_n`` tell how many tokens each text has, for a first guess within the text.
+    """
     turned = len(b_ends) < len(a_ends)
     short, long = (b_ends, a_ends) if turned else (a_ends, b_ends)
     if not len(short):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    guess = np.arange(len(short)) * len(long) // len(short)
+    n, m = (b_n, a_n) if turned else (a_n, b_n)
+    at = np.arange(len(short)) - np.repeat(np.cumsum(n) - n, n)
+    guess = np.repeat(np.cumsum(m) - m, n) + at * np.repeat(m, n) // np.repeat(n, n)
     place = gallop(short, long, guess)
     same = np.flatnonzero(long[place] == short)
     return (place[same], same) if turned else (same, place[same])
@@ -218,7 +228,7 @@ def aligned(texts: list[bytes], tools) -> tuple[dict, np.ndarray, np.ndarray]:
     a, b = a[a_keep], b[b_keep]
     a_n, b_n = np.where(whole, a_n, 0), np.where(whole, b_n, 0)
     # texts follow one another, so ends of one text can only meet ends of the same
-    a_last, b_last = common_ends(np.cumsum(np.diff(a_at)[a_keep]), np.cumsum(np.diff(b_at)[b_keep]))
+    a_last, b_last = common_ends(np.cumsum(np.diff(a_at)[a_keep]), np.cumsum(np.diff(b_at)[b_keep]), a_n, b_n)
     a_first, b_first = np.append(0, a_last[:-1] + 1)[:len(a_last)], np.append(0, b_last[:-1] + 1)[:len(b_last)]
     a_wide, b_wide = a_last - a_first + 1, b_last - b_first + 1
     of_text = np.repeat(np.arange(len(texts)), a_n)[a_last]

@@ -109,7 +109,7 @@ def test_common_ends_against_sets():
         last = 40 * max(n, m)
         a = np.unique(np.append(rng.integers(1, last, n), last))
         b = np.unique(np.append(rng.integers(1, last, m), last))
-        ia, ib = align.common_ends(a, b)
+        ia, ib = align.common_ends(a, b, np.array([len(a)]), np.array([len(b)]))
         assert (a[ia] == b[ib]).all() and a[ia].tolist() == sorted(set(a) & set(b))
 
 
