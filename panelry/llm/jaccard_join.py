@@ -2,8 +2,8 @@
 
 A run samples shared tokens of a set by minimum hashes: at each node of a random tree a set goes
 on to the child named by its smallest token under one hash, and with probability ``FORK`` also to
-a second child under another hash.  Two sets of similarity s keep a common path with chance
-p(d+1) = (1+f) s p(d) - f s^2 p(d)^2, p(0) = 1, whatever else is in the table.  A set alone in its
+a second child under another hash.  Whether two sets keep a common path depends on their
+similarity alone, whatever else is in the table.  A set alone in its
 node is done; below ``SHALLOW`` levels, which part texts that merely share a passage, a node of
 few sets is not split further but compared by brute force.  Nodes with the same members are
 compared once.  Runs repeat until 1 - (1 - p)^runs reaches the target recall for a pair at the
@@ -17,6 +17,7 @@ counted in the first of them.  Texts with the same set of shingles are one membe
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from panelry.llm.common import WORD, hash_words, in_parts, whole_text, written
 from panelry.llm.components import components
 
-DEPTH = 4
+DEPTH = 3
 FORK = 0.25
 SHALLOW = 2
 SMALL = 12
@@ -37,11 +38,23 @@ CHUNK = 1 << 16
 
 
 def survival(similarity: float, depth: int = DEPTH, fork: float = FORK) -> float:
-    """Chance that two sets of this similarity share a path of this depth in one run."""
-    p = 1.0
+    """Chance that two sets of this similarity share a path of this depth in one run.
+
+    All nodes of a level go by the same two minimum hashes, so the nodes that two sets share live
+    or end together: the number of nodes shared is followed from level to level.
+    """
+    shared = {1: 1.0}
     for _ in range(depth):
-        p = (1 + fork) * similarity * p - fork * (similarity * p) ** 2
-    return p
+        after: dict[int, float] = {}
+        for nodes, chance in shared.items():
+            for forked in range(nodes + 1):
+                split_ = math.comb(nodes, forked) * fork**forked * (1 - fork) ** (nodes - forked)
+                for first, second in itertools.product((0, 1), repeat=2):
+                    agree = math.prod(similarity if x else 1 - similarity for x in (first, second))
+                    left = nodes * first + forked * second
+                    after[left] = after.get(left, 0.0) + chance * split_ * agree
+        shared = {n: p for n, p in after.items() if n}
+    return sum(shared.values())
 
 
 def runs_for(recall: float, similarity: float, depth: int = DEPTH) -> int:
