@@ -67,8 +67,9 @@ def stack_editions(
 
     Types come from the dictionary where it has the column, otherwise from the
     schemas, promoted where they differ.  A union without this typing would read an alphanumeric code as
-    the integer of another year and fail at run time.  The result is one flat
-    union: columns in first-seen order, null where an edition lacks one.
+    the integer of another year and fail at run time.  Decimals beside integers or other decimals
+    stay exact; beside a double they become double, which holds 15 to 17 digits.  The result is one
+    flat union: columns in first-seen order, null where an edition lacks one.
     """
     if not editions:
         raise ValueError("give at least one edition")
