@@ -1,22 +1,31 @@
 """Approximate nearest neighbours on robust-pruned directed graphs, one per shard.
 
-Vectors are dealt to shards of bounded size by content.  In a shard, points enter the graph in
-growing batches: a greedy search from the medoid proposes neighbours, and relaxed pruning keeps
-a candidate only if no kept one is ``ALPHA`` times nearer to it than the point is, so edges point
-in different directions.  Points that pruning cut off are linked again.  A shard no larger than the
-beam is searched whole.  Every query then runs a beam search in every shard, and the shards'
-best are merged.  Queries are dealt to blocks of bounded size, and a task holds one shard and one
-block; the graph of a shard is built again for each block, which costs less than searching it.
-Scores of what the searches found are exact cosines in double precision.
+Vectors are dealt to shards of bounded size by content; a shard holds more points the larger the
+table is, so the number of shards grows with its root until shards are full.  In a shard, points
+enter the graph in growing batches: a greedy search from the medoid proposes neighbours, and
+relaxed pruning keeps a candidate only if no kept one is ``ALPHA`` times nearer to it than the
+point is, so edges point in different directions.  Points that pruning cut off are linked again.
+A shard no larger than the beam is searched whole.
+
+The graph of a shard is built once and stored in the shared folder, a row per point with its
+edges, so a lost executor repeats shards, not the index.  Every query then runs a beam search in
+every shard, and the shards' best are merged.  Queries are dealt to blocks of bounded size, and a
+task holds the stored graph of one shard and one block.  Scores of what the searches found are
+exact cosines in double precision.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelry.llm.common import written
+
 SHARD = 2048
+LARGEST = 16384
 DEGREE = 32
 BEAM = 64
 ALPHA = 1.2
@@ -149,29 +158,56 @@ def linked(points: np.ndarray, edges: np.ndarray, start: int) -> np.ndarray:
     return np.concatenate([edges, link[:, None]], axis=1)
 
 
+def shard_size(points: int, least: int = SHARD, most: int = LARGEST) -> int:
+    """Points a shard may hold: eight times the root of the table, within the bounds."""
+    return min(max(least, 8 * math.isqrt(points)), max(least, most))
+
+
+#: A point of a stored graph: its place in the shard, where searches of the shard start, its edges.
+GRAPH = "shard int, size int, at int, start int, ids array<long>, v array<double>, edges array<int>"
+
+
+def index_shard(beam: int):
+    """The graph over the points of one shard, a row per point; no edges where all are searched."""
+
+    def run(key, points):
+        import pandas as pd
+
+        points = points.sort_values("ids", key=lambda ids: ids.map(lambda x: x[0]))
+        vectors = np.stack(points["v"].to_numpy()).astype(np.float64)
+        whole = len(vectors) <= beam
+        edges, start = (np.zeros((len(vectors), 0), int), 0) if whole else build(unit(vectors))
+        return pd.DataFrame({
+            "shard": key[0], "size": key[1], "at": np.arange(len(vectors)), "start": start,
+            "ids": points["ids"].to_list(), "v": points["v"].to_list(), "edges": list(edges)})
+
+    return run
+
+
 def search_shard(k: int, beam: int):
-    """Index the points of one shard and search them for all queries."""
+    """Search the stored graph of one shard for a block of queries."""
 
     def run(key, points, queries):
         import pandas as pd
 
         if not len(points) or not len(queries):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        points = points.sort_values("ids", key=lambda ids: ids.map(lambda x: x[0]))
+        points = points.sort_values("at")
         vectors = np.stack(points["v"].to_numpy()).astype(np.float64)
         wanted = np.stack(queries["v"].to_numpy()).astype(np.float64)
         ids = points["ids"].to_list()
-        edges, start = build(unit(vectors)) if len(vectors) > beam else (None, 0)
+        edges, start = np.stack(points["edges"].to_numpy()), int(points["start"].iloc[0])
+        directions, lengths = unit(vectors), np.linalg.norm(vectors, axis=1)
         out = []
         for low in range(0, len(wanted), BATCH):
             part = wanted[low:low + BATCH]
             if len(vectors) <= beam:
                 found = np.broadcast_to(np.arange(len(vectors)), (len(part), len(vectors)))
             else:
-                found, _ = greedy(unit(vectors), edges, start, unit(part), beam)
+                found, _ = greedy(directions, edges, start, unit(part), beam)
             for row, (query, target) in enumerate(zip(queries["query_id"].iloc[low:low + BATCH], part)):
                 hit = found[row][found[row] >= 0]
-                score = vectors[hit] @ target / (np.linalg.norm(vectors[hit], axis=1) * np.linalg.norm(target))
+                score = vectors[hit] @ target / (lengths[hit] * np.linalg.norm(target))
                 best = sorted(((-s, i) for s, h in zip(score, hit) for i in ids[h] if i != query))[:k]
                 out += [(query, i, -s) for s, i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -187,6 +223,19 @@ def usable(vectors: DataFrame) -> DataFrame:
         F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
+def index(rows: DataFrame, shards: int, k: int = 5, beam: int = BEAM) -> DataFrame:
+    """The stored graphs of ``shards`` shards over ``vec_id`` and ``v``, a row per point (see ``GRAPH``).
+
+    Equal vectors are one point that keeps its ``k + 1`` smallest ids, which are all that can be
+    among the ``k`` nearest.
+    """
+    by_id = Window.partitionBy("v").orderBy("vec_id")
+    few = rows.distinct().withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
+    points = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")) \
+        .withColumn("size", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    return written(points.groupBy("shard", "size").applyInPandas(index_shard(beam), GRAPH), "graphs")
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD, beam: int = BEAM,
             block: int = QUERIES) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found by cosine.
@@ -194,19 +243,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, shard: int = SHARD,
     Queries are the rows whose id is divisible by ``every``; all rows are indexed, a row is not
     its own neighbour.  Ties go to the smaller id.  Null, zero and non-finite vectors and rows
     without an id take no part; vectors of another length than most are searched among their
-    kind.  Equal vectors are one point that keeps its ``k + 1`` smallest ids, which are all that
-    can be among the ``k`` nearest.  A repeated id is one query and one neighbour, by the
+    kind.  Equal vectors are one point.  A repeated id is one query and one neighbour, by the
     nearest of its vectors.  Further columns are ignored, an empty table gives an empty result.
     """
     rows = usable(vectors)
-    shards = max(1, -(-rows.count() // shard))
-    by_id = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.distinct().withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
-    points = few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")) \
-        .withColumn("size", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    total = rows.count()
+    shards = max(1, -(-total // shard_size(total, shard)))
+    graphs = index(rows, shards, k, beam)
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
     blocks = max(1, -(-asked.count() // block))
-    points = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    points = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     queries = asked.select(
         F.col("vec_id").alias("query_id"), "v", F.size("v").alias("size"),
         F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"),

@@ -404,6 +404,23 @@ def test_nearest_recall(spark):
     assert [v for v, _ in got[50].values()] == [100, 101, 102, 103, 104]
 
 
+def test_stored_graphs_serve_all_blocks(spark):
+    """A point is stored once however many blocks of queries search it, and blocks change no result."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(900, 8)))]
+    rows += [(900 + i, [1.0, float(i)]) for i in range(3)] + [(903, rows[0][1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    stored = graph_search.index(graph_search.usable(frame), 3).collect()
+    assert sorted(i for r in stored for i in r.ids) == list(range(904))
+    assert all(max(r.edges, default=-1) < 900 and r.start >= 0 for r in stored)
+    assert len({(r.shard, r["size"], r["at"]) for r in stored}) == len(stored) == 903
+    assert all(len(r.edges) == graph_search.DEGREE + 1 for r in stored if r["size"] == 8)
+    one, many = (sorted(map(tuple, graph_search.nearest(frame, shard=300, block=b).collect())) for b in (8192, 3))
+    assert one == many and len(one) == 18 * 5 + 2
+    sizes = [graph_search.shard_size(n) for n in (0, 1000, 10**6, 10**12)]
+    assert sizes == [graph_search.SHARD, graph_search.SHARD, 8000, graph_search.LARGEST]
+
+
 def test_license_scan_against_all_units(spark):
     texts = ["Released under the MIT License.", "x y z. Licensed under CC BY-NC 4.0. and more words here", None, "",
              "RELEASED under the\tMIT license", "all rights reserved", "nothing of the kind at all", "a\nAll rights reserved.\nb"]
