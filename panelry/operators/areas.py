@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -384,8 +386,6 @@ def coverage_warnings(coverage: DataFrame) -> DataFrame:
 
 # -- colour classes ----------------------------------------------------------
 
-_BINS = 128
-
 
 def quantile_breaks(
     df: DataFrame, value: str = "valor", by: str = "ano", k: int = fixed.COLOUR_CLASSES
@@ -393,9 +393,11 @@ def quantile_breaks(
     """``(by, cortes)``: the sorted values at positions ``floor(i*n/k)``, exactly.
 
     A group may hold most of the rows, so no group is sorted in one task.
-    Equal values are counted together, approximate quantiles split each group
-    into bins, and only the bins that contain a break are ranked.  The bin
-    edges affect the work alone, never the result.
+    Equal values are counted together and dealt by range of group and value.
+    The parts of a group are disjoint stretches of its values, so prefix sums
+    of their sizes tell which parts hold a break, and only those are ranked.
+    A stretch is known by its ends, not by its partition: how the ranges are
+    drawn affects the work alone, never the result.
     """
     require(df, [value, by])
     counts = (
@@ -405,47 +407,38 @@ def quantile_breaks(
         # Always true: it keeps the count in every use, so all share one shuffle.
         .filter(F.col("__c") > 0)
     )
-    shares = F.array(*[F.lit(i / _BINS) for i in range(1, _BINS)])
-    edges = counts.groupBy("__g").agg(
-        F.array_distinct(F.percentile_approx("__v", shares, F.lit(1_000))).alias("__edges")
+    stretches = (
+        counts.repartitionByRange("__g", "__v")
+        .groupBy("__g", F.spark_partition_id().alias("__part"))
+        .agg(
+            F.min("__v").alias("low"), F.max("__v").alias("high"), F.sum("__c").alias("size")
+        )
     )
-    # The number of edges not above the value.
-    in_bin = F.size(F.filter("__edges", lambda e: e <= F.col("__v")))
-    binned = counts.join(edges, "__g").select("__g", "__v", "__c", in_bin.alias("__bin"))
-
-    before = Window.partitionBy("__g").orderBy("__bin").rowsBetween(
+    before = Window.partitionBy("__g").orderBy("low").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    whole = Window.partitionBy("__g")
-    n = F.sum("__size").over(whole)
-    bins = (
-        binned.groupBy("__g", "__bin")
-        .agg(F.sum("__c").alias("__size"))
-        .withColumns({
-            "__start": F.coalesce(F.sum("__size").over(before), F.lit(0)),
-            "__n": n,
-        })
-    )
-    targets = F.transform(
-        F.sequence(F.lit(1), F.lit(k - 1)),
-        lambda i: F.struct(i.alias("i"), F.floor(i * F.col("__n") / k).alias("at")),
-    )
-    inside = F.filter(
-        targets,
-        lambda t: (t["at"] >= F.col("__start")) & (t["at"] < F.col("__start") + F.col("__size")),
-    )
-    wanted = bins.withColumn("__at", inside).filter(F.size("__at") > 0)
-    upto = Window.partitionBy("__g", "__bin").orderBy("__v").rowsBetween(
+    placed = stretches.withColumns({
+        "start": F.coalesce(F.sum("size").over(before), F.lit(0)),
+        "__n": F.sum("size").over(Window.partitionBy("__g")),
+    })
+    positions = [F.floor(F.lit(i) * F.col("__n") / k) for i in range(1, k)]
+
+    def any_break(start: Column, end: Column) -> Column:
+        return reduce(or_, [(at >= start) & (at < end) for at in positions])
+
+    # At most one stretch per break and group.
+    wanted = placed.filter(any_break(F.col("start"), F.col("start") + F.col("size"))).drop("size", "__part")
+    held = counts.join(wanted, "__g").filter(F.col("__v").between(F.col("low"), F.col("high")))
+    upto = Window.partitionBy("__g", "low").orderBy("__v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = binned.join(wanted.select("__g", "__bin", "__start", "__at"), ["__g", "__bin"])
-    ranked = ranked.withColumn("__end", F.col("__start") + F.sum("__c").over(upto))
-    hits = F.filter(
-        "__at",
-        lambda t: (t["at"] < F.col("__end")) & (t["at"] >= F.col("__end") - F.col("__c")),
-    )
-    found = ranked.select("__g", "__v", F.explode(hits).alias("__t"))
-    pairs = F.array_sort(F.collect_list(F.struct(F.col("__t.i").alias("i"), F.col("__v").alias("v"))))
+    end = F.col("__end")
+    ranked = held.withColumn("__end", F.col("start") + F.sum("__c").over(upto))
+    hits = F.array_compact(F.array(*[
+        F.when((at >= end - F.col("__c")) & (at < end), F.lit(i)) for i, at in enumerate(positions, 1)
+    ]))
+    found = ranked.filter(any_break(end - F.col("__c"), end)).select("__g", "__v", F.explode(hits).alias("__i"))
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__v").alias("v"))))
     return (
         found.groupBy("__g")
         .agg(pairs.alias("__p"))
