@@ -3,6 +3,9 @@
 A text is cut by the vocabulary's pattern; each distinct piece of a task is folded once, by
 always merging the adjacent pair of lowest rank, and its ids are remembered for the next
 occurrence.  The rank map is the only thing sent to the tasks, and its size is the vocabulary's.
+
+``folded_words`` is the same fold of a column of words by higher-order functions over a literal
+rank map.  It gives the same ids at some twenty times the cost a word, so texts do not go by it.
 """
 
 from __future__ import annotations
@@ -10,14 +13,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelry.llm.common import in_parts, whole_text
 
 SHORT = 48
 NONE = 1 << 40
+UNRANKED = (1 << 31) - 1
+BUCKETS = 1 << 16
 REMEMBERED = 1 << 20
 #: Pieces already folded by this Python worker, by vocabulary; it serves many tasks.
 FOLDED: dict[str, dict[str, bytes]] = {}
@@ -186,3 +192,60 @@ def _mapped(docs, ranks_path, pattern, schema, columns):
 
     plain = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text"))
     return plain.mapInArrow(run, schema)
+
+
+def literal_ranks(ranks: dict[bytes, int]) -> Column:
+    """The rank map as one literal: an array of small maps from bytes in hex, by their hash.
+
+    A map is searched from its first key, so one map of all tokens would be read through for
+    every pair; here a lookup reads about one entry.
+    """
+    import xxhash
+
+    held: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        key = piece.hex().upper()
+        held[xxhash.xxh64_intdigest(key.encode(), seed=42) % BUCKETS][key] = rank
+    return F.from_json(F.lit(json.dumps(held)), "array<map<string,int>>")
+
+
+def rank_of(held: Column, key: Column) -> Column:
+    bucket = F.get(held, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+    return F.coalesce(F.try_element_at(bucket, key), F.lit(UNRANKED))
+
+
+def folded(word: Column, held: Column) -> Column:
+    """The ids of a word: its bytes, merged pair by pair in order of rank, leftmost first."""
+    whole = F.hex(F.encode(word, "utf-8"))
+    single = F.regexp_extract_all(whole, F.lit(".."), F.lit(0))
+    before_last = F.slice(single, 1, F.greatest(F.size(single) - 1, F.lit(0)))
+    pairs = F.zip_with(before_last, F.slice(single, 2, F.size(single)), lambda a, b: rank_of(held, F.concat(a, b)))
+    no_rank = F.array().cast("array<int>")
+
+    def merge(state: Column, _: Column) -> Column:
+        parts, ranks, lowest = state["parts"], state["ranks"], F.array_min(state["ranks"])
+        at, n = F.array_position(ranks, lowest).cast("int"), F.size(parts)
+        joined = F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))
+        left = F.when(at > 1, F.array(rank_of(held, F.concat(F.get(parts, at - 2), joined)))).otherwise(no_rank)
+        right = F.when(at + 1 < n, F.array(rank_of(held, F.concat(joined, F.get(parts, at + 1))))).otherwise(no_rank)
+        merged = F.struct(
+            F.concat(F.slice(parts, 1, at - 1), F.array(joined), F.slice(parts, at + 2, n)).alias("parts"),
+            F.concat(F.slice(ranks, 1, F.greatest(at - 2, F.lit(0))), left, right,
+                     F.slice(ranks, at + 2, n)).alias("ranks"))
+        return F.when(F.coalesce(lowest, F.lit(UNRANKED)) == UNRANKED, state).otherwise(merged)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.size(single) - 1, F.lit(1)))
+    end = F.aggregate(steps, F.struct(single.alias("parts"), pairs.alias("ranks")), merge)
+    ids = F.transform(end["parts"], lambda part: rank_of(held, part))
+    return F.when(rank_of(held, whole) != UNRANKED, F.array(rank_of(held, whole))).otherwise(ids)
+
+
+def folded_words(words: DataFrame, ranks_path: str) -> DataFrame:
+    """``word`` and ``ids`` of every distinct word of a column ``word``, built-in functions only.
+
+    An empty word has no ids, a null one is left out, further columns are ignored and an empty
+    table gives an empty result.  The work of a word grows with the square of its length.
+    """
+    distinct = words.select("word").where("word IS NOT NULL").distinct()
+    held = F.array(literal_ranks(read_ranks(ranks_path)))
+    return distinct.select("word", F.get(F.transform(held, lambda ranks: folded(F.col("word"), ranks)), 0).alias("ids"))

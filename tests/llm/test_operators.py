@@ -78,6 +78,18 @@ def test_bpe_round_trip_and_library(spark):
     assert bpe.encoding_digest(docs(spark, []), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_words_folded_by_higher_order_functions(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    given = ["", "a", " the", "abracadabra" * 9, "漢字é", "\n\n  ", "zq" * 40, *words(6, 300)]
+    frame = spark.createDataFrame([(w, 1) for w in [*given, None, "a"]], "word string, ids int")
+    got = {r.word: list(r.ids) for r in bpe.folded_words(frame, path).collect()}
+    assert got == {w: bpe.fold(w.encode(), ranks) for w in given}
+    assert bpe.folded_words(frame.limit(0), path).count() == 0
+
+
 def near_copies():
     base = words(1, 120)
     texts = [" ".join(base)]
