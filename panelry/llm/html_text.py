@@ -3,12 +3,16 @@
 A page is a sequence of tokens: tags named by their path, and text nodes by path and content.
 Tokens that occur equally often on the same pages of a host form an equivalence class; the vector
 of occurrences is kept as a sum of hashes of (page, count), so a host of any size is one small
-aggregation per token.  A class is valid with ``SUPPORT`` pages and an element, whose opening and
-closing tags are two tokens that bound a slot.  A tag occurs only
-where the tag around it does, so the class of every tag nests in that of its enclosing tag, up to
-the root: classes of layouts, sections and repeated blocks that cover a part of the host's pages
-lie inside the one that covers them.  Text nodes in any valid class are the template's own words,
-whatever part of the host has that layout; what lies between template tokens is a slot.
+aggregation per token.  Classes are found on ``SUPPORT`` pages at least and need an element.
+
+A valid class is ordered and nested.  Its tokens form a tree by the element of the class around
+each; under every element, and among the tokens that have none, they must come in one order in
+all occurrences.  Where they do not, they part: elements go on as classes of their own with what
+is in them, text nodes alone are no class.  An element's members of its own class bound its slots.
+A token whose enclosing element is of another class lies in one of these slots; found in several,
+it has a role in each, and it nests if one of its roles has ``SUPPORT`` pages.  Text nodes in valid
+classes are the template's own words, whatever part of the host has that layout; what lies between
+template tokens is a slot.
 
 The article is the slot that the article or main element encloses, or, on pages without one, the
 slots whose enclosing tags are not page furniture.  Inside the element nothing is dropped for
@@ -95,29 +99,36 @@ def digest(token: str) -> int:
 class Text:
     """A text node: its block, its path, whether furniture, the article or a heading encloses it."""
 
-    __slots__ = ("text", "block", "path", "furniture", "article", "heading")
+    __slots__ = ("text", "block", "at", "path", "furniture", "article", "heading", "around")
 
-    def __init__(self, text, block, state):
-        self.text, self.block = text, block
-        _, self.path, self.furniture, self.article, self.heading = state
+    def __init__(self, text, block, at, state):
+        self.text, self.block, self.at = text, block, at
+        _, self.path, self.furniture, self.article, self.heading, self.around = state
 
 
 def tokens(page: str) -> tuple[list[int], list[Text]]:
-    """Template tokens of the tags, and the text nodes in page order.
+    """Template tokens of the tags, and the text nodes in page order."""
+    return parsed(page)[:2]
+
+
+def parsed(page: str) -> tuple[list[int], list[Text], list[int]]:
+    """The tags, the text nodes, and for each tag the number of the tag around it, -1 without one.
+
+    A text node has the number of tags before it and the number of the tag around it.
 
     A path is the hash of the path around it and the tag, so memory grows with the page and not
     with the depth of its tags.
     """
-    tags, texts, stack, block = [], [], [], 0
-    # stack: (tag, path, furniture, article, heading)
-    outside = ("", 0, False, False, False)
+    tags, texts, around, stack, block = [], [], [], [], 0
+    # stack: (tag, path, furniture, article, heading, number)
+    outside = ("", 0, False, False, False, -1)
     state = outside
 
     def text(raw):
         if raw and not raw.isspace():
-            texts.append(Text(html.unescape(raw), block, state))
+            texts.append(Text(html.unescape(raw), block, len(tags), state))
         elif raw:
-            texts.append(Text(" ", block, state))
+            texts.append(Text(" ", block, len(tags), state))
 
     def close(upto):
         nonlocal state
@@ -146,7 +157,7 @@ def tokens(page: str) -> tuple[list[int], list[Text]]:
                     break
             continue
         if tag == "br":
-            texts.append(Text(" ", block, state))
+            texts.append(Text(" ", block, len(tags), state))
             continue
         if tag in BLOCK:
             block += 1
@@ -164,14 +175,16 @@ def tokens(page: str) -> tuple[list[int], list[Text]]:
         article = state[3] or tag in ("article", "main")
         path = digest(f"{state[1]}/{tag}.{names}")
         tags.append(path)
+        around.append(state[5])
         if tag in VOID or found[3].rstrip().endswith("/"):
             continue
-        stack.append((tag, path, state[2] or is_furniture(tag, names, article), article, state[4] or tag in HEADINGS))
+        furniture, heading = state[2] or is_furniture(tag, names, article), state[4] or tag in HEADINGS
+        stack.append((tag, path, furniture, article, heading, len(tags) - 1))
         state = stack[-1]
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
             at = end.start() if end else len(page)
-    return tags, texts
+    return tags, texts, around
 
 
 def shown(text: str) -> str:
@@ -214,18 +227,138 @@ def occurrence_rows(batches):
                 names=["host", "token", "is_text", "vector", "pages"])
 
 
+#: Kinds of rows about the places of class tokens.
+ORDER, SLOT, PLACE = range(3)
+
+
+def places(page: str, classes: dict[int, int]) -> tuple[dict[int, set[int]], set[tuple[int, int, int]], set[tuple[int, int, int]]]:
+    """Where a page has its class tokens; ``classes`` tells the class of each.
+
+    Orders: per element, or per class for tokens without an element of it around them, the digests
+    of the sequences found there.  Slots: such a token, the element around it, and the member of
+    that element's class before it.  Places of text nodes: the token, the element or class whose
+    sequence holds it, and the outermost token of its class around it.
+    """
+    tags, texts, around = parsed(page)
+    own = [classes.get(t) for t in tags]
+    members: list[list[int]] = [[] for _ in tags]
+    roots: dict[int, list[int]] = {}
+    top, opened = [0] * len(tags), {}
+    slots, found = set(), set()
+    stack: list[int] = []
+
+    def put(token, kind, outer):
+        """The number of the element of its class around a token, None without one."""
+        while stack and stack[-1] != outer:
+            gone = stack.pop()
+            if own[gone] is not None:
+                opened[own[gone]].pop()
+        inside = opened.get(kind)
+        if inside:
+            members[inside[-1]].append(token)
+            return inside[-1]
+        roots.setdefault(kind, []).append(token)
+        if outer < 0:
+            slots.add((token, 0, 0))
+        else:
+            before = members[outer]
+            slots.add((token, tags[outer], before[-1] if before else 0))
+        return None
+
+    plain = iter(sorted(((t.at, k) for k, t in enumerate(texts) if not t.furniture and t.text.strip())))
+    next_text = next(plain, None)
+    for k in range(len(tags) + 1):
+        while next_text and next_text[0] <= k:
+            node = texts[next_text[1]]
+            token = text_token(node)
+            kind = classes.get(token)
+            if kind is not None:
+                up = put(token, kind, node.around)
+                found.add((token, kind, token) if up is None else (token, tags[up], top[up]))
+            next_text = next(plain, None)
+        if k == len(tags):
+            break
+        kind = own[k]
+        if kind is not None:
+            up = put(tags[k], kind, around[k])
+            top[k] = tags[k] if up is None else top[up]
+            opened.setdefault(kind, []).append(k)
+            stack.append(k)
+    orders: dict[int, set[int]] = {}
+    for token, kind, below in zip(tags, own, members):
+        if kind is not None:
+            orders.setdefault(token, set()).add(sequence(below))
+    for kind, row in roots.items():
+        one = row[:len(set(row))]
+        # as often as the class occurs, the same again
+        orders[kind] = {sequence(one)} if one * (len(row) // len(one)) == row else {0, 1}
+    return orders, slots, found
+
+
+def sequence(tokens: list[int]) -> int:
+    return digest(",".join(map(str, tokens))) if tokens else 0
+
+
+def place_rows(batches):
+    """The places of class tokens per host, folded within a batch."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    for given in in_parts(batches, "html"):
+        orders: dict[tuple[str, int], list[int]] = {}
+        slots, found = Counter(), set()
+        host_now, classes = None, {}
+        members, kinds = given.column("members"), given.column("kinds")
+        for i, (host, page) in enumerate(zip(given.column("host").to_pylist(), given.column("html").to_pylist())):
+            if host != host_now:
+                host_now, classes = host, dict(zip(members[i].as_py(), kinds[i].as_py()))
+            here, lying, placed = places(page, classes)
+            for key, digests in here.items():
+                kept = orders.setdefault((host, key), [min(digests), max(digests)])
+                kept[0], kept[1] = min(kept[0], *digests), max(kept[1], *digests)
+            slots.update((host, *slot) for slot in lying)
+            found.update((host, *place) for place in placed)
+        rows = [(host, ORDER, key, 0, 0, low, high, 0) for (host, key), (low, high) in orders.items()]
+        rows += [(host, SLOT, token, outer, slot, 0, 0, n) for (host, token, outer, slot), n in slots.items()]
+        rows += [(host, PLACE, token, part, top, 0, 0, 0) for host, token, part, top in found]
+        if rows:
+            columns = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0]), pa.array(columns[1], pa.int32()), *[pa.array(c, pa.int64()) for c in columns[2:]]],
+                names=["host", "kind", "token", "part", "slot", "low", "high", "pages"])
+
+
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """``host``, ``frame``: the text nodes in the valid classes of a host.
 
     A class is all tokens with one occurrence vector, on ``support`` pages at least; it is valid
-    if it holds an element.  A frame holds only texts that as many pages of its host share.
+    if it holds an element and is ordered and nested.  A frame holds only texts that as many pages
+    of its host share.
     """
     counts = pages.withColumn("row", F.monotonically_increasing_id()).select("row", "host", "html").mapInArrow(
         occurrence_rows, "host string, token long, is_text boolean, vector long, pages long")
     wide = written(counts.groupBy("host", "token", "is_text").agg(
         F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= support), "tokens")
     valid = wide.where("NOT is_text").select("host", "vector", "pages").distinct()
-    frames = wide.where("is_text").join(valid, ["host", "vector", "pages"])
+    words = wide.where("is_text").join(valid, ["host", "vector", "pages"])
+    # hosts without words in a class need no tags either
+    members = words.unionByName(wide.where("NOT is_text").join(words.select("host").distinct(), "host", "left_semi"))
+    listed = written(members.groupBy("host").agg(F.collect_list(
+        F.struct("token", F.xxhash64("vector", "pages").alias("kind"))).alias("m")).select(
+        "host", F.col("m.token").alias("members"), F.col("m.kind").alias("kinds")), "members")
+    found = pages.select("host", "html").join(listed, "host").mapInArrow(
+        place_rows, "host string, kind int, token long, part long, slot long, low long, high long, pages long")
+    layout = written(found.groupBy("host", "kind", "token", "part", "slot").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages")), "layout")
+    ordered = layout.where((F.col("kind") == ORDER) & (F.col("low") == F.col("high"))).select(
+        "host", F.col("token").alias("part"))
+    roles = layout.where(F.col("kind") == SLOT).groupBy("host", "token", "part").agg(F.max("pages").alias("pages"))
+    # an element whose own members come in no order has no slots
+    nested = roles.join(ordered.withColumn("slotted", F.lit(True)), ["host", "part"], "left").where(
+        (F.col("pages") >= support) | F.col("slotted").isNull()).select("host", F.col("token").alias("slot"))
+    frames = layout.where(F.col("kind") == PLACE).join(ordered, ["host", "part"], "left_semi").join(
+        nested, ["host", "slot"], "left_semi")
     return written(frames.groupBy("host").agg(F.collect_set("token").alias("frame")), "frames")
 
 

@@ -10,8 +10,9 @@ far, so no state is kept per document and every round is one scan of a narrow ta
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelry.llm.common import fraction, in_parts, labelled_sample, whole_text, written
 
@@ -79,13 +80,27 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: int, sample_rows: in
     return plain.mapInArrow(posteriors(weights, bias), "doc_id long, n_tokens long, p array<double>")
 
 
-def rate_of(steps: list[np.ndarray], low: float, high: float) -> Column:
-    """The rate after all steps so far: start at one, move along p, keep to the bounds."""
-    rate = F.lit(min(max(1.0, low), high))
-    for step in steps:
-        move = sum((F.col("p")[d] * F.lit(float(s)) for d, s in enumerate(step)), F.lit(0.0))
-        rate = F.least(F.greatest(rate - move, F.lit(low)), F.lit(high))
-    return rate
+def rated(steps: list[np.ndarray], low: float, high: float):
+    """Adds the rate after all steps: start at one, move along p, keep to the bounds.
+
+    The steps go to the tasks as numbers: a Spark expression of some hundred nodes a step would be planned
+    and compiled anew for every fit, which takes the driver's memory.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for given in batches:
+            if not given.num_rows:
+                continue
+            p = given.column("p").flatten().to_numpy(zero_copy_only=False).reshape(given.num_rows, -1)
+            rate = np.full(given.num_rows, min(max(1.0, low), high))
+            for step in steps:
+                move = sum((p[:, d] * float(s) for d, s in enumerate(step)), 0.0)
+                rate = np.minimum(np.maximum(rate - move, low), high)
+            yield pa.RecordBatch.from_arrays([*given.columns, pa.array(rate)], names=[*given.schema.names, "rate"])
+
+    return run
 
 
 def sums_of(steps: list[np.ndarray], tried: list[np.ndarray], low: float, high: float):
@@ -170,7 +185,8 @@ def fit_rates(docs: DataFrame, target: list[float], low: float, high: float, rou
         steps.append(tried[best])
         at = found[best]
     residual = float(np.abs(missed(at)).sum() / at[:d].sum()) if at[:d].sum() else 0.0
-    return docs.withColumn("rate", rate_of(steps, low, high)), residual
+    schema = StructType([*docs.schema.fields, StructField("rate", DoubleType())])
+    return docs.mapInArrow(rated(steps, low, high), schema), residual
 
 
 def mix(docs: DataFrame, labelled: DataFrame, target: list[float], low: float = 0.0, high: float = 4.0,
