@@ -9,10 +9,14 @@ A valid class is ordered and nested.  Its tokens form a tree by the element of t
 each; under every element, and among the tokens that have none, they must come in one order in
 all occurrences.  Where they do not, they part: elements go on as classes of their own with what
 is in them, text nodes alone are no class.  An element's members of its own class bound its slots.
-A token whose enclosing element is of another class lies in one of these slots; found in several,
-it has a role in each, and it nests if one of its roles has ``SUPPORT`` pages.  Text nodes in valid
-classes are the template's own words, whatever part of the host has that layout; what lies between
-template tokens is a slot.
+
+A token found in several of these slots, in one of them on ``SUPPORT`` pages, has a role in each.
+Tokens that are so told apart, and what lies in them, are counted again by role, and the classes of
+the host are found anew, until no role is left in several slots: then the classes nest, each in a
+slot of another, and that is the template.  Each round tells more roles apart, so the rounds end;
+a host takes part only while it has such tokens.  A role that no slot holds on ``SUPPORT`` pages does
+not nest.  Text nodes whose role is in a valid class are the template's own words, whatever part of
+the host has that layout, and in that place only; what lies between template tokens is a slot.
 
 The article is the slot that the article or main element encloses, or, on pages without one, the
 slots whose enclosing tags are not page furniture.  Inside the element nothing is dropped for
@@ -99,11 +103,12 @@ def digest(token: str) -> int:
 class Text:
     """A text node: its block, its path, whether furniture, the article or a heading encloses it."""
 
-    __slots__ = ("text", "block", "at", "path", "furniture", "article", "heading", "around")
+    __slots__ = ("text", "block", "at", "path", "furniture", "article", "heading", "around", "role")
 
     def __init__(self, text, block, at, state):
         self.text, self.block, self.at = text, block, at
         _, self.path, self.furniture, self.article, self.heading, self.around = state
+        self.role = None
 
 
 def tokens(page: str) -> tuple[list[int], list[Text]]:
@@ -195,24 +200,119 @@ def text_token(node: Text) -> int:
     return digest(f"{node.path}#{shown(node.text)}")
 
 
+def role_of(node: Text) -> int:
+    """The role of a text node: its token until ``differentiated`` gives it another."""
+    if node.role is None:
+        node.role = text_token(node)
+    return node.role
+
+
+def in_template(node: Text) -> bool:
+    """Text inside furniture is dropped anyway; only its tags matter."""
+    return not node.furniture and bool(node.text.strip())
+
+
 def host_of(url: str = "url") -> Column:
     """The host of an address in lower case, empty where there is none."""
     pattern = r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
     return F.lower(F.coalesce(F.regexp_extract(url, pattern, 1), F.lit("")))
 
 
+def laid(tags: list[int], texts: list[Text], around: list[int], classes: dict[int, int]):
+    """Where a page has its class tokens; ``classes`` tells the class of each role.
+
+    A list in page order of the text node, None for a tag, the number of the tag, the class, the
+    number of the element of its class around it, that of the nearest element of any class around
+    it, -1 without one, and the member of that element's class before it, 0 without one.  Then for
+    each tag its members: the roles of its class in it.
+    """
+    own = [classes.get(t) for t in tags]
+    near: list[int] = []  # the nearest element of a class, the tag itself included
+    members: list[list[int]] = [[] for _ in tags]
+    opened: dict[int, list[int]] = {}
+    stack: list[int] = []
+    out = []
+
+    def put(node, k, role, kind, outer):
+        while stack and stack[-1] != outer:
+            opened[own[stack.pop()]].pop()
+        inside = opened.get(kind)
+        up = inside[-1] if inside else -1
+        before = members[outer][-1] if outer >= 0 and members[outer] else 0
+        out.append((node, k, kind, up, outer, before))
+        if up >= 0:
+            members[up].append(role)
+
+    plain = (t for t in texts if in_template(t))
+    node = next(plain, None)
+    for k in range(len(tags) + 1):
+        while node and node.at <= k:
+            role = role_of(node)
+            if role in classes:
+                put(node, -1, role, classes[role], near[node.around] if node.around >= 0 else -1)
+            node = next(plain, None)
+        if k == len(tags):
+            break
+        outer = near[around[k]] if around[k] >= 0 else -1
+        near.append(outer if own[k] is None else k)
+        if own[k] is not None:
+            put(None, k, tags[k], own[k], outer)
+            opened.setdefault(own[k], []).append(k)
+            stack.append(k)
+    return out, members
+
+
+def differentiated(page: str, rounds) -> tuple[list[int], list[Text], list[int]]:
+    """A page as ``parsed`` gives it, with the roles after ``rounds`` of classes for the tokens.
+
+    A round is the class of each role, the elements that have slots, and the roles to be told apart
+    by slot.  A token's next role is made of its role, the next role of the element around it, of
+    its own class if it has one there, and of its slot if it is to be told apart.
+    """
+    tags, texts, around = parsed(page)
+    for classes, slotted, parted in rounds:
+        roles = list(tags)
+        for node, k, _, up, outer, before in laid(tags, texts, around, classes)[0]:
+            role = node.role if node else tags[k]
+            if up >= 0:
+                role = digest(f"{role}@{roles[up]}")
+            elif outer >= 0:
+                slot = before if role in parted and tags[outer] in slotted else 0
+                role = digest(f"{role}@{roles[outer]}/{slot}")
+            if node:
+                node.role = role
+            else:
+                roles[k] = role
+        tags = roles
+    return tags, texts, around
+
+
+def rounds_of(given):
+    """``rounds`` of a host by row number, unpacked once a host."""
+    hosts, packed, held = given.column("host"), given.column("rounds"), {}
+
+    def unpacked(i):
+        host = hosts[i].as_py()
+        if host not in held:
+            held[host] = [(dict(zip(r["roles"], r["kinds"])), set(r["slotted"]), set(r["parted"]))
+                          for r in packed[i].as_py() or ()]
+        return held[host]
+
+    return unpacked
+
+
 def occurrence_rows(batches):
-    """Per host and token the xor of hashes of (page, count), folded within a batch."""
+    """Per host and role the xor of hashes of (page, count), folded within a batch."""
     from collections import Counter
 
     import pyarrow as pa
 
     for given in in_parts(batches, "html"):
         held: dict[tuple[str, int, bool], list[int]] = {}
-        for row, host, page in zip(*(given.column(c).to_pylist() for c in ("row", "host", "html"))):
-            tags, texts = tokens(page)
-            # text inside furniture is dropped anyway; only its tags matter
-            plain = Counter(text_token(t) for t in texts if not t.furniture and t.text.strip())
+        rounds = rounds_of(given)
+        for i, (row, host, page) in enumerate(zip(*(given.column(c).to_pylist() for c in ("row", "host", "html")))):
+            tags, texts, _ = differentiated(page, rounds(i))
+            plain = Counter(role_of(t) for t in texts if in_template(t))
             for is_text, counts in ((False, Counter(tags)), (True, plain)):
                 for token, n in counts.items():
                     own = held.setdefault((host, token, is_text), [0, 0])
@@ -231,62 +331,31 @@ def occurrence_rows(batches):
 ORDER, SLOT, PLACE = range(3)
 
 
-def places(page: str, classes: dict[int, int]) -> tuple[dict[int, set[int]], set[tuple[int, int, int]], set[tuple[int, int, int]]]:
-    """Where a page has its class tokens; ``classes`` tells the class of each.
+def places(page: str, rounds, classes: dict[int, int]) -> tuple[dict[int, set[int]], set[tuple[int, int, int]], set[tuple[int, int, int]]]:
+    """Where a page has its class tokens; ``classes`` tells the class of each role.
 
     Orders: per element, or per class for tokens without an element of it around them, the digests
-    of the sequences found there.  Slots: such a token, the element around it, and the member of
-    that element's class before it.  Places of text nodes: the token, the element or class whose
-    sequence holds it, and the outermost token of its class around it.
+    of the sequences found there.  Slots: such a token, the nearest element of a class around it,
+    and the member of that element's class before it.  Places of text nodes: the role, the element
+    or class whose sequence holds it, and the outermost token of its class around it.
     """
-    tags, texts, around = parsed(page)
-    own = [classes.get(t) for t in tags]
-    members: list[list[int]] = [[] for _ in tags]
+    tags, texts, around = differentiated(page, rounds)
+    lying, members = laid(tags, texts, around, classes)
+    top = list(tags)
     roots: dict[int, list[int]] = {}
-    top, opened = [0] * len(tags), {}
     slots, found = set(), set()
-    stack: list[int] = []
-
-    def put(token, kind, outer):
-        """The number of the element of its class around a token, None without one."""
-        while stack and stack[-1] != outer:
-            gone = stack.pop()
-            if own[gone] is not None:
-                opened[own[gone]].pop()
-        inside = opened.get(kind)
-        if inside:
-            members[inside[-1]].append(token)
-            return inside[-1]
-        roots.setdefault(kind, []).append(token)
-        if outer < 0:
-            slots.add((token, 0, 0))
-        else:
-            before = members[outer]
-            slots.add((token, tags[outer], before[-1] if before else 0))
-        return None
-
-    plain = iter(sorted(((t.at, k) for k, t in enumerate(texts) if not t.furniture and t.text.strip())))
-    next_text = next(plain, None)
-    for k in range(len(tags) + 1):
-        while next_text and next_text[0] <= k:
-            node = texts[next_text[1]]
-            token = text_token(node)
-            kind = classes.get(token)
-            if kind is not None:
-                up = put(token, kind, node.around)
-                found.add((token, kind, token) if up is None else (token, tags[up], top[up]))
-            next_text = next(plain, None)
-        if k == len(tags):
-            break
-        kind = own[k]
-        if kind is not None:
-            up = put(tags[k], kind, around[k])
-            top[k] = tags[k] if up is None else top[up]
-            opened.setdefault(kind, []).append(k)
-            stack.append(k)
+    for node, k, kind, up, outer, before in lying:
+        role = node.role if node else tags[k]
+        if up < 0:
+            roots.setdefault(kind, []).append(role)
+            slots.add((role, tags[outer] if outer >= 0 else 0, before))
+        elif not node:
+            top[k] = top[up]
+        if node:
+            found.add((role, kind, role) if up < 0 else (role, tags[up], top[up]))
     orders: dict[int, set[int]] = {}
-    for token, kind, below in zip(tags, own, members):
-        if kind is not None:
+    for token, below in zip(tags, members):
+        if token in classes:
             orders.setdefault(token, set()).add(sequence(below))
     for kind, row in roots.items():
         one = row[:len(set(row))]
@@ -308,12 +377,12 @@ def place_rows(batches):
     for given in in_parts(batches, "html"):
         orders: dict[tuple[str, int], list[int]] = {}
         slots, found = Counter(), set()
-        host_now, classes = None, {}
+        host_now, classes, rounds = None, {}, rounds_of(given)
         members, kinds = given.column("members"), given.column("kinds")
         for i, (host, page) in enumerate(zip(given.column("host").to_pylist(), given.column("html").to_pylist())):
             if host != host_now:
                 host_now, classes = host, dict(zip(members[i].as_py(), kinds[i].as_py()))
-            here, lying, placed = places(page, classes)
+            here, lying, placed = places(page, rounds(i), classes)
             for key, digests in here.items():
                 kept = orders.setdefault((host, key), [min(digests), max(digests)])
                 kept[0], kept[1] = min(kept[0], *digests), max(kept[1], *digests)
@@ -329,37 +398,65 @@ def place_rows(batches):
                 names=["host", "kind", "token", "part", "slot", "low", "high", "pages"])
 
 
+#: What leads from tokens to roles, a round of classes each.
+ROUNDS = "array<struct<roles: array<long>, kinds: array<long>, slotted: array<long>, parted: array<long>>>"
+
+
 def templates(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """``host``, ``frame``: the text nodes in the valid classes of a host.
+    """``host``, ``frame``, ``rounds``: the roles of text nodes in the valid classes of a host.
 
-    A class is all tokens with one occurrence vector, on ``support`` pages at least; it is valid
+    A class is all roles with one occurrence vector, on ``support`` pages at least; it is valid
     if it holds an element and is ordered and nested.  A frame holds only texts that as many pages
-    of its host share.
+    of its host share in one place.  ``rounds`` lead from the tokens of a page to their roles, see
+    ``differentiated``; a host whose tokens have one role each has none.
     """
-    counts = pages.withColumn("row", F.monotonically_increasing_id()).select("row", "host", "html").mapInArrow(
-        occurrence_rows, "host string, token long, is_text boolean, vector long, pages long")
-    wide = written(counts.groupBy("host", "token", "is_text").agg(
-        F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= support), "tokens")
-    valid = wide.where("NOT is_text").select("host", "vector", "pages").distinct()
-    words = wide.where("is_text").join(valid, ["host", "vector", "pages"])
-    # hosts without words in a class need no tags either
-    members = words.unionByName(wide.where("NOT is_text").join(words.select("host").distinct(), "host", "left_semi"))
-    listed = written(members.groupBy("host").agg(F.collect_list(
-        F.struct("token", F.xxhash64("vector", "pages").alias("kind"))).alias("m")).select(
-        "host", F.col("m.token").alias("members"), F.col("m.kind").alias("kinds")), "members")
-    found = pages.select("host", "html").join(listed, "host").mapInArrow(
-        place_rows, "host string, kind int, token long, part long, slot long, low long, high long, pages long")
-    layout = written(found.groupBy("host", "kind", "token", "part", "slot").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages")), "layout")
-    ordered = layout.where((F.col("kind") == ORDER) & (F.col("low") == F.col("high"))).select(
-        "host", F.col("token").alias("part"))
-    roles = layout.where(F.col("kind") == SLOT).groupBy("host", "token", "part").agg(F.max("pages").alias("pages"))
-    # an element whose own members come in no order has no slots
-    nested = roles.join(ordered.withColumn("slotted", F.lit(True)), ["host", "part"], "left").where(
-        (F.col("pages") >= support) | F.col("slotted").isNull()).select("host", F.col("token").alias("slot"))
-    frames = layout.where(F.col("kind") == PLACE).join(ordered, ["host", "part"], "left_semi").join(
-        nested, ["host", "slot"], "left_semi")
-    return written(frames.groupBy("host").agg(F.collect_set("token").alias("frame")), "frames")
+    known, done, nothing = None, None, F.array().cast("array<long>")
+    while True:
+        given = pages.select("host", "html")
+        given = given.withColumn("rounds", F.lit(None).cast(ROUNDS)) if known is None else given.join(known, "host")
+        counts = given.withColumn("row", F.monotonically_increasing_id()).select("row", "host", "html", "rounds").mapInArrow(
+            occurrence_rows, "host string, token long, is_text boolean, vector long, pages long")
+        wide = written(counts.groupBy("host", "token", "is_text").agg(
+            F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")).where(F.col("pages") >= support), "tokens")
+        elements, texts = wide.where("NOT is_text"), wide.where("is_text")
+        # hosts without such texts need no tags either
+        members = texts.unionByName(elements.join(texts.select("host").distinct(), "host", "left_semi"))
+        listed = written(members.groupBy("host").agg(F.collect_list(
+            F.struct("token", F.xxhash64("vector", "pages").alias("kind"))).alias("m")).select(
+            "host", F.col("m.token").alias("members"), F.col("m.kind").alias("kinds")), "members")
+        found = given.join(listed, "host").mapInArrow(
+            place_rows, "host string, kind int, token long, part long, slot long, low long, high long, pages long")
+        layout = written(found.groupBy("host", "kind", "token", "part", "slot").agg(
+            F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages")), "layout")
+        ordered = layout.where((F.col("kind") == ORDER) & (F.col("low") == F.col("high"))).select(
+            "host", F.col("token").alias("part"))
+        # an element whose own members come in no order has no slots
+        slots = layout.where(F.col("kind") == SLOT).join(
+            ordered.withColumn("slotted", F.lit(True)), ["host", "part"], "left").groupBy(
+            "host", "token", "part", "slotted", F.when(F.col("slotted"), F.col("slot")).alias("slot")).agg(
+            F.max("pages").alias("pages"))
+        parted = slots.groupBy("host", "token").agg(F.count("*").alias("n"), F.max("pages").alias("pages")).where(
+            (F.col("n") > 1) & (F.col("pages") >= support))
+        # the hosts that go on, with one more round
+        told = listed.join(parted.groupBy("host").agg(F.collect_list("token").alias("parted")), "host").join(
+            ordered.groupBy("host").agg(F.collect_list("part").alias("slotted")), "host", "left")
+        one = F.array(F.struct(
+            F.col("members").alias("roles"), "kinds", F.coalesce("slotted", nothing).alias("slotted"), "parted")).cast(ROUNDS)
+        if known is not None:
+            told, one = told.join(known, "host"), F.concat("rounds", one)
+        later = written(told.select("host", one.alias("rounds")), "rounds")
+        # in the others every role has one slot; texts whose class has no element are no template
+        nested = slots.where((F.col("pages") >= support) | F.col("slotted").isNull()).select(
+            "host", F.col("token").alias("slot"))
+        words = texts.join(elements.select("host", "vector", "pages").distinct(), ["host", "vector", "pages"], "left_semi")
+        frames = layout.where(F.col("kind") == PLACE).join(ordered, ["host", "part"], "left_semi").join(
+            nested, ["host", "slot"], "left_semi").join(words, ["host", "token"], "left_semi").join(
+            later, "host", "left_anti").groupBy("host").agg(F.collect_set("token").alias("frame"))
+        frames = frames.withColumn("rounds", F.lit(None).cast(ROUNDS)) if known is None else frames.join(known, "host")
+        done = frames if done is None else done.unionByName(frames)
+        if later.isEmpty():
+            return written(done, "frames")
+        known = later
 
 
 def main_text(texts: list[Text], frame: set[int]) -> str:
@@ -368,7 +465,7 @@ def main_text(texts: list[Text], frame: set[int]) -> str:
     if any(t.article and t.text.strip() for t in inside):
         inside = [t for t in inside if t.article]
     elif frame:
-        free = [t for t in inside if t.text.strip() and text_token(t) not in frame]
+        free = [t for t in inside if t.text.strip() and role_of(t) not in frame]
         if not all(t.heading for t in free):
             # a block goes when all its text is template; inside other blocks the words stay
             live = {t.block for t in free}
@@ -383,9 +480,9 @@ def extracted(batches):
     import pyarrow as pa
 
     for given in in_parts(batches, "html"):
-        out = []
-        for page, frame in zip(given.column("html").to_pylist(), given.column("frame").to_pylist()):
-            out.append(main_text(tokens(page)[1], set(frame or ())))
+        out, rounds = [], rounds_of(given)
+        for i, (page, frame) in enumerate(zip(given.column("html").to_pylist(), given.column("frame").to_pylist())):
+            out.append(main_text(differentiated(page, rounds(i) if frame else ())[1], set(frame or ())))
         yield pa.RecordBatch.from_arrays(
             [given.column("page_id"), given.column("url"), pa.array(out, pa.string()),
              pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
@@ -401,5 +498,5 @@ def extract(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     """
     plain = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"),
                          F.coalesce("html", F.lit("")).alias("html"), host_of().alias("host"))
-    rows = plain.join(templates(plain, support), "host", "left").select("page_id", "url", "html", "frame")
+    rows = plain.join(templates(plain, support), "host", "left").select("page_id", "url", "html", "host", "frame", "rounds")
     return rows.mapInArrow(extracted, "page_id long, url string, text string, n_chars long")

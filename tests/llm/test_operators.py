@@ -369,6 +369,32 @@ def test_equivalence_classes_against_brute_force(spark):
     assert set(html_text.templates(frame).first().frame) == expected and len(expected) >= 2
 
 
+def test_roles_are_told_apart_until_classes_nest(spark):
+    """A notice is template in its place only; its class shows when paragraphs and sections are told apart by slot."""
+    def page(i):
+        same, own = "Follow us", "" if i % 4 else "<p>Follow us</p>"
+        return f"<body><div><h1>Title {i}</h1><p>Text {i}</p>{own}<hr><p>{same}</p></div></body>"
+
+    def deep(i):
+        own = "" if i % 4 else "<section><p>Follow us</p></section>"
+        first = f"Text {i}" if i % 3 else "Follow us"
+        return (f"<body><div><h1>Title {i}</h1>{own}<hr><section><p>{first}</p><hr><p>Follow us</p></section></div></body>")
+
+    def rare(i):  # the sections are in either place on too few pages to be told apart, their paragraphs nest in them
+        boxes = ["<h1>T</h1>", "<section><p>Follow us</p></section>" if i < 11 else ""]
+        return f"<body><div>{'' if i else '<section></section>'}{boxes[i < 6]}{boxes[i > 5]}</div><p>Text {i}</p></body>"
+
+    pages = [("a", page(i)) for i in range(12)] + [("b", deep(i)) for i in range(12)] + [("c", rare(i)) for i in range(12)]
+    got = texts_of(spark, pages)
+    assert got[:12] == [f"Title {i}\n\nText {i}" + ("" if i % 4 else "\n\nFollow us") for i in range(12)]
+    assert got[12:24] == [f"Title {i}" + ("" if i % 4 else "\n\nFollow us") + "\n\n" + (f"Text {i}" if i % 3 else "Follow us")
+                          for i in range(12)]
+    assert got[24:] == [f"Text {i}" for i in range(12)]
+    frame = spark.createDataFrame(pages, "host string, html string")
+    rounds = {r.host: r.rounds for r in html_text.templates(frame).collect()}
+    assert len(rounds["a"]) == 1 and len(rounds["b"]) == 2 and rounds["c"] is None
+
+
 def test_deep_pages_need_little_memory():
     import tracemalloc
 
