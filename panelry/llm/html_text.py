@@ -73,7 +73,6 @@ TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)>?", re.S)
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-zA-Z]+")
 PARTS = re.compile(r"[-_0-9]+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -193,7 +192,7 @@ def parsed(page: str) -> tuple[list[int], list[Text], list[int]]:
 
 
 def shown(text: str) -> str:
-    return SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 def text_token(node: Text) -> int:
